@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Up to this many values one task may hold and sort; beyond it the range is narrowed first.
@@ -48,14 +48,11 @@ def _at_rank(df: DataFrame, value: str, rank: int, count: int, keep: int):
     settled, rest, below = _narrowed(df, value, rank, 0, count, keep)
     if rest is None:
         return settled
-    # Distinct values with their counts are far fewer than rows where one value repeats.
-    tally = rest.groupBy(value).count().orderBy(value)
-    position = below
-    for row in tally.toLocalIterator():
-        position += row["count"]
-        if position > rank:
-            return row[value]
-    raise AssertionError("rank lies inside the counted range")
+    # At most ``keep`` rows are left, so one task may order their distinct values.
+    tally = rest.groupBy(value).count()
+    running = F.sum("count").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    reached = tally.withColumn("upto", running + below).filter(F.col("upto") > rank)
+    return reached.agg(F.min(value)).first()[0]
 
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: list[float], keep: int = GATHERED_VALUES) -> DataFrame:

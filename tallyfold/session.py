@@ -34,6 +34,7 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
         .appName("tallyfold")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )

@@ -51,9 +51,6 @@ MIDNIGHT = r" 0?0:00(:00(\.0+)?)?\z"
 MAX_EXACT_SCALE = 10
 # ----------------------------------------------------------------------------------------------
 
-# Lower-case letters that take part in full-match patterns are compared as written.
-_CLOCK = r"(?: (\d{1,2}):(\d{2})(?::(\d{2})(\.\d{1,6})?)?(?: ?([AaPp])[Mm])?)?"
-
 
 def full_match(c: Column, pattern: str) -> Column:
     return c.rlike(rf"^(?:{pattern})\z")
@@ -106,28 +103,17 @@ def _month_number(word: Column) -> Column:
 
 _DAY_NAME = r"^(\d{1,2})\.?\s+(\p{L}+)\.?,?\s+(\d{4})(.*)\z"
 _NAME_DAY = r"^(\p{L}+)\.?\s+(\d{1,2}),?\s+(\d{4})(.*)\z"
+_STARTS_NAMED = r"^[0-9]{1,2}\.?\s+\p{L}|^\p{L}+\.?\s+[0-9]"
 
 
 def month_names(c: Column) -> Column:
     """``5 Ocak 2025`` and ``January 5, 2025`` written as ``5.01.2025``; other text is unchanged."""
     low = F.lower(F.replace(c, F.lit("İ"), F.lit("i")))
-    first = _month_number(F.regexp_extract(low, _DAY_NAME, 2))
-    second = _month_number(F.regexp_extract(low, _NAME_DAY, 1))
-    # Only text that starts like a named date pays for the lookups.
-    named = c.rlike(r"^[0-9]{1,2}\.?\s+\p{L}|^\p{L}+\.?\s+[0-9]")
-    return F.when(
-        named & first.isNotNull(),
-        F.concat(
-            F.regexp_extract(low, _DAY_NAME, 1), F.lit("."), first, F.lit("."),
-            F.regexp_extract(low, _DAY_NAME, 3), F.regexp_extract(low, _DAY_NAME, 4),
-        ),
-    ).when(
-        named & second.isNotNull(),
-        F.concat(
-            F.regexp_extract(low, _NAME_DAY, 2), F.lit("."), second, F.lit("."),
-            F.regexp_extract(low, _NAME_DAY, 3), F.regexp_extract(low, _NAME_DAY, 4),
-        ),
-    ).otherwise(c)
+    day_first = F.regexp_replace(low, _NAME_DAY, "$2 $1 $3$4")
+    month = _month_number(F.regexp_extract(day_first, _DAY_NAME, 2))
+    written = F.regexp_replace(day_first, F.lit(_DAY_NAME), F.concat(F.lit("$1."), month, F.lit(".$3$4")))
+    # Only text that starts like a named date pays for the lookup.
+    return F.when(c.rlike(_STARTS_NAMED), F.coalesce(written, c)).otherwise(c)
 
 
 def dotted(c: Column) -> Column:
@@ -147,49 +133,34 @@ def dashed(c: Column) -> Column:
     return F.regexp_replace(spaced, r"(:\d{2}(?:\.\d+)?)(?:Z|[+-]\d{2}:?\d{2})\z", "$1")
 
 
-def _moment(text: Column, pattern: str, year: int, month: int, day: int, clock: int) -> Column:
-    """Build a timestamp from the groups of ``pattern``; null when the text is not such a date.
+def _moment(text: Column) -> Column:
+    """Timestamp of a year-first text; null when there is no such moment.
 
-    ``try_cast`` from the standard form is one JVM call, where a list of formats would be tried one
-    after another and throw for every miss.
+    One ``try_cast`` reads every plain form. A list of formats would be tried one after another, with
+    an exception for every miss; only the rare AM/PM clocks need formats.
     """
-
-    def part(n: int) -> Column:
-        return F.regexp_extract(text, pattern, n)
-
-    hour, minute, second, fraction, half = (part(clock + k) for k in range(5))
-    number = hour.try_cast("int")
-    twelve = F.when(
-        number.between(1, 12) & (fraction == ""),
-        (number % 12 + F.when(F.upper(half) == "P", 12).otherwise(0)).cast("string"),
-    )
-    hours = F.when(hour == "", F.lit("0")).when(half == "", hour).otherwise(twelve)
-    day_text = F.concat_ws("-", part(year), part(month), F.lit("1") if day == 0 else part(day))
-    clock_text = F.concat(
-        hours, F.lit(":"), F.when(minute == "", F.lit("00")).otherwise(minute),
-        F.lit(":"), F.when(second == "", F.lit("00")).otherwise(second), fraction,
-    )
-    return F.when(text.rlike(pattern), F.concat(day_text, F.lit(" "), clock_text).try_cast("timestamp_ntz"))
+    spaced = F.regexp_replace(text, r" ?([AaPp][Mm])\z", " $1")
+    half_day = F.coalesce(*[
+        F.try_to_timestamp(F.upper(spaced), F.lit(f"yyyy-M-d {clock}")).cast("timestamp_ntz") for clock in ("h:mm:ss a", "h:mm a")
+    ])
+    return F.when(text.rlike(r"[AaPp][Mm]\z"), half_day).when(~text.rlike(r"\.\d{7}"), text.try_cast("timestamp_ntz"))
 
 
-_DOTTED = r"^(\d{1,2})\.(\d{1,2})\.(\d{4})" + _CLOCK + r"\z"
-_DASHED = r"^(\d{4})-(\d{1,2})-(\d{1,2})" + _CLOCK + r"\z"
-_DASHED_MONTH = r"^(\d{4})-(\d{1,2})()()()()()\z"
+_DOTTED_DAY = r"^(\d{1,2})\.(\d{1,2})\.(\d{4})"
 
 
 def parse_dmy(dotted_text: Column) -> Column:
-    return _moment(dotted_text, _DOTTED, 3, 2, 1, 4)
+    shaped = F.when(full_match(dotted_text, DMY_SHAPE), dotted_text)
+    return _moment(F.regexp_replace(shaped, _DOTTED_DAY, "$3-$2-$1"))
 
 
 def parse_mdy(dotted_text: Column) -> Column:
-    return _moment(dotted_text, _DOTTED, 3, 1, 2, 4)
+    shaped = F.when(full_match(dotted_text, DMY_SHAPE), dotted_text)
+    return _moment(F.regexp_replace(shaped, _DOTTED_DAY, "$3-$1-$2"))
 
 
 def parse_iso(dashed_text: Column) -> Column:
-    return F.coalesce(
-        _moment(dashed_text, _DASHED, 1, 2, 3, 4),
-        _moment(dashed_text, _DASHED_MONTH, 1, 2, 0, 3),
-    )
+    return _moment(F.when(full_match(dashed_text, ISO_SHAPE), dashed_text))
 
 
 def number_type(scale: int) -> str:
@@ -199,34 +170,39 @@ def number_type(scale: int) -> str:
     return f"decimal(38,{scale})" if scale <= MAX_EXACT_SCALE else "double"
 
 
-def to_integer(c: Column) -> Column:
-    return money_text(present(c)).try_cast("bigint")
+# The readers below take money text (see ``money_text``).
+
+
+def read_integer(text: Column) -> Column:
+    return text.try_cast("bigint")
 
 
-def to_decimal(c: Column, scale: int) -> Column:
-    return money_text(present(c)).try_cast(number_type(scale))
+def read_decimal(text: Column, scale: int) -> Column:
+    return text.try_cast(number_type(scale))
 
 
-def to_comma_decimal(c: Column, scale: int) -> Column:
-    text = money_text(present(c))
+def read_comma_decimal(text: Column, scale: int) -> Column:
+    """Dots group thousands, the comma is the decimal mark."""
     return F.translate(text, ",.", ".").try_cast(number_type(scale))
 
 
-def to_us_number(c: Column, scale: int) -> Column:
-    return F.replace(money_text(present(c)), F.lit(","), F.lit("")).try_cast(number_type(scale))
+def read_us_number(text: Column, scale: int) -> Column:
+    """Commas group thousands."""
+    return F.translate(text, ",", "").try_cast(number_type(scale))
 
 
-def to_moment(c: Column, order: str, with_time: bool) -> Column:
-    """``order`` is ``iso``, ``dmy`` or ``mdy``; a column of midnights becomes a plain DATE."""
+def date_text(c: Column, order: str) -> Column:
+    """A cell brought to the form its reading order is parsed from."""
     value = present(c)
-    parsed = {
-        "iso": lambda: parse_iso(dashed(value)),
-        "dmy": lambda: parse_dmy(dotted(value)),
-        "mdy": lambda: parse_mdy(dotted(value)),
-    }[order]()
+    return dashed(value) if order == "iso" else dotted(value)
+
+
+def parse_date_text(text: Column, order: str, with_time: bool) -> Column:
+    """``order`` is ``iso``, ``dmy`` or ``mdy``; a column of midnights becomes a plain DATE."""
+    parsed = {"iso": parse_iso, "dmy": parse_dmy, "mdy": parse_mdy}[order](text)
     return parsed if with_time else parsed.cast("date")
 
 
 def has_time(value: Column) -> Column:
-    """A clock time other than midnight is written in the text."""
+    """A clock time other than a plain midnight is written in the text."""
     return value.contains(":") & ~value.rlike(MIDNIGHT)

@@ -39,37 +39,35 @@ def profile_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
     counted where its cells are.
     """
     value = cells.select(*keys, "column", V.present(F.col("value")).alias("v"))
-    derived = value.select(
-        *keys,
-        "column",
-        "v",
-        V.strip_money(F.col("v")).alias("s"),
-        V.money_text(F.col("v")).alias("m"),
-        V.dotted(F.col("v")).alias("day_first"),
-        V.dashed(F.col("v")).alias("year_first"),
+    v = F.col("v")
+    stripped = value.withColumn("s", V.strip_money(v)).withColumn("m", V.accounting_sign(F.col("s")))
+    # Cheap tests first: only text that can be a number or a date reaches the exact shapes.
+    derived = stripped.select(
+        *keys, "column", "v", "s",
+        F.when(F.col("m").rlike(r"^[-+0-9.,]+\z"), F.col("m")).alias("m"),
+        F.regexp_extract(F.col("m"), r"[.,]\d+\z", 0).alias("tail"),
+        F.when(v.rlike(r"^\d{1,2}[./-]\d{1,2}[./-]\d\d|^\d{1,2}\.?\s+\p{L}|^\p{L}+\.?\s+\d"), V.dotted(v)).alias("day_first"),
+        F.when(v.rlike(r"^\d{4}[./-]\d"), V.dashed(v)).alias("year_first"),
     )
 
     def matches(name: str) -> Column:
         return F.count_if(V.full_match(F.col("m"), V.SHAPES[name])).alias(name)
 
     def digits(mark: str) -> Column:
-        tail = F.regexp_extract(F.col("m"), rf"{mark}(\d+)\z", 1)
-        return F.coalesce(F.max(F.length(tail)), F.lit(0)).cast("bigint")
+        longest = F.max(F.when(F.startswith("tail", F.lit(mark)), F.length("tail") - 1))
+        return F.coalesce(longest, F.lit(0)).cast("bigint")
 
-    dmy_shaped = V.full_match(F.col("day_first"), V.DMY_SHAPE)
-    iso_shaped = V.full_match(F.col("year_first"), V.ISO_SHAPE)
     counted = derived.groupBy(*keys, "column").agg(
         F.count("v").alias("n"),
         *[matches(name) for name in V.SHAPES],
-        F.count_if(F.col("s") != F.col("v")).alias("stripped"),
-        F.count_if(iso_shaped).alias("iso_shape"),
-        F.count_if(dmy_shaped).alias("dmy_shape"),
-        # Parsing is reached only by values that already have the shape of a date.
-        F.count(F.when(iso_shaped, V.parse_iso(F.col("year_first")))).alias("iso_ok"),
-        F.count(F.when(dmy_shaped, V.parse_dmy(F.col("day_first")))).alias("dmy_ok"),
-        F.count(F.when(dmy_shaped, V.parse_mdy(F.col("day_first")))).alias("mdy_ok"),
-        F.count_if(V.has_time(F.col("v"))).alias("time"),
-        digits(r"\.").alias("frac_dot"),
+        F.count_if(F.col("s") != v).alias("stripped"),
+        F.count_if(V.full_match(F.col("year_first"), V.ISO_SHAPE)).alias("iso_shape"),
+        F.count_if(V.full_match(F.col("day_first"), V.DMY_SHAPE)).alias("dmy_shape"),
+        F.count(V.parse_iso(F.col("year_first"))).alias("iso_ok"),
+        F.count(V.parse_dmy(F.col("day_first"))).alias("dmy_ok"),
+        F.count(V.parse_mdy(F.col("day_first"))).alias("mdy_ok"),
+        F.count_if(V.has_time(v)).alias("time"),
+        digits(".").alias("frac_dot"),
         digits(",").alias("frac_comma"),
     )
     # A parse count stands only where every value has the shape; month first only where day first failed.
@@ -158,16 +156,24 @@ class Decision:
     scale: int = 0
     with_time: bool = False
 
-    def expression(self) -> Column:
+    def prepared(self) -> Column:
+        """First step: the text the conversion reads, so that it is computed once per cell."""
+        c = F.col(f"`{self.column}`")
+        if self.kind.endswith("-date"):
+            return V.date_text(c, self.kind[:3])
+        return V.present(c) if self.kind == "text" else V.money_text(V.present(c))
+
+    def converted(self) -> Column:
+        """Second step, on the prepared text."""
         c = F.col(f"`{self.column}`")
         if self.kind.endswith("-date"):
-            return V.to_moment(c, self.kind[:3], self.with_time)
+            return V.parse_date_text(c, self.kind[:3], self.with_time)
         return {
-            "text": lambda: V.present(c),
-            "integer": lambda: V.to_integer(c),
-            "decimal": lambda: V.to_decimal(c, self.scale),
-            "tr-number": lambda: V.to_comma_decimal(c, self.scale),
-            "us-thousands": lambda: V.to_us_number(c, self.scale),
+            "text": lambda: c,
+            "integer": lambda: V.read_integer(c),
+            "decimal": lambda: V.read_decimal(c, self.scale),
+            "tr-number": lambda: V.read_comma_decimal(c, self.scale),
+            "us-thousands": lambda: V.read_us_number(c, self.scale),
         }[self.kind]()
 
 
@@ -178,11 +184,13 @@ def collect_decisions(decisions: DataFrame) -> list[Decision]:
 
 
 def convert(df: DataFrame, decisions: list[Decision]) -> DataFrame:
-    """Every conversion in one projection; columns without a decision pass unchanged."""
+    """Every conversion in one pass over the rows; columns without a decision pass unchanged."""
     by_name = {d.column: d for d in decisions}
-    return df.select(*[
-        by_name[c].expression().alias(c) if c in by_name else F.col(f"`{c}`") for c in df.columns
-    ])
+
+    def step(source: DataFrame, pick) -> DataFrame:
+        return source.select(*[pick(by_name[c]).alias(c) if c in by_name else F.col(f"`{c}`") for c in source.columns])
+
+    return step(step(df, Decision.prepared), Decision.converted)
 
 
 def clean_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -183,7 +183,7 @@ CONVERTED = STRIPPED + ["day_first", "month_first", "named_day"]
 
 def _decisions_sql(with_scale: bool) -> str:
     def one(c: str, kind: str) -> str:
-        scale = f"{SCALES.get(c, 0)} AS scale, false AS with_time, " if with_scale else ""
+        scale = f"{SCALES.get(c, 0)} AS scale, {str(c == 'iso_day').lower()} AS with_time, " if with_scale else ""
         blocked = "(SELECT count(*) FILTER (o_orderkey % 1000 = 1) FROM orders)" if c == "typo" else "0"
         return f"""SELECT '{c}' AS "column", '{kind}' AS kind, {scale}{str(c in CONVERTED).lower()} AS converted,
             {str(c in STRIPPED).lower()} AS currency_stripped, {blocked} AS unreadable, {str(c == 'unsure').lower()} AS ambiguous"""
@@ -201,27 +201,31 @@ def cleaning_report(t: Tables) -> DataFrame:
     return R.cleaning_report(messy_orders(t))
 
 
-@query("to_integer", "SELECT o_orderkey AS order_no, CASE WHEN o_orderkey % 1000 = 1 THEN NULL ELSE o_custkey END AS customer FROM orders")
+def converted(df: DataFrame, *decisions: R.Decision) -> DataFrame:
+    return R.convert(df, list(decisions)).select("order_no", *[d.column for d in decisions if d.column != "order_no"])
+
+
+@query("to_integer", "SELECT o_orderkey AS order_no, CASE WHEN o_orderkey % 1000 = 1 THEN NULL ELSE o_custkey END AS typo FROM orders")
 def to_integer(t: Tables) -> DataFrame:
-    return messy_orders(t).select(V.to_integer(F.col("order_no")).alias("order_no"), V.to_integer(F.col("typo")).alias("customer"))
+    return converted(messy_orders(t), R.Decision("order_no", "integer"), R.Decision("typo", "integer"))
 
 
-def _to_number(name: str, column: str, convert, sign: str = "") -> None:
+def _to_number(name: str, column: str, kind: str, sign: str = "") -> None:
     @query(name, f"SELECT CAST(o_orderkey AS VARCHAR) AS order_no, CAST({sign} CAST(o_totalprice AS DECIMAL(38,2)) AS VARCHAR) AS amount FROM orders")
     def number(t: Tables) -> DataFrame:
-        return messy_orders(t).select("order_no", convert(F.col(column), 2).cast("string").alias("amount"))
+        return converted(messy_orders(t), R.Decision(column, kind, 2)).select("order_no", F.col(column).cast("string").alias("amount"))
 
 
-_to_number("to_decimal", "plain_money", V.to_decimal)
-_to_number("to_comma_decimal", "local_money", V.to_comma_decimal)
-_to_number("to_us_number", "us_money", V.to_us_number)
-_to_number("to_signed_decimal", "signed_money", V.to_comma_decimal, "CASE WHEN o_orderkey % 3 = 2 THEN 1 ELSE -1 END *")
+_to_number("to_decimal", "plain_money", "decimal")
+_to_number("to_comma_decimal", "local_money", "tr-number")
+_to_number("to_us_number", "us_money", "us-thousands")
+_to_number("to_signed_decimal", "signed_money", "tr-number", "CASE WHEN o_orderkey % 3 = 2 THEN 1 ELSE -1 END *")
 
 
 def _to_date(order: str, column: str) -> None:
     @query(f"to_date_{order}", "SELECT CAST(o_orderkey AS VARCHAR) AS order_no, CAST(o_orderdate AS DATE) AS day FROM orders")
     def date(t: Tables) -> DataFrame:
-        return messy_orders(t).select("order_no", V.to_moment(F.col(column), order, False).alias("day"))
+        return converted(messy_orders(t), R.Decision(column, f"{order}-date")).select("order_no", F.col(column).alias("day"))
 
 
 for _order, _column in [("iso", "iso_day"), ("dmy", "named_day"), ("mdy", "month_first")]:
@@ -229,18 +233,19 @@ for _order, _column in [("iso", "iso_day"), ("dmy", "named_day"), ("mdy", "month
 
 
 @query("to_timestamp", """
-    SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS morning_clock FROM events""")
+    SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at FROM events""")
 def to_timestamp(t: Tables) -> DataFrame:
     """Clock times with AM/PM."""
     written = t.events.select("event_id", F.date_format("ts", "d.M.yyyy h:mm:ss a").alias("at"))
-    return written.select("event_id", F.date_format(V.to_moment(F.col("at"), "dmy", True), "yyyy-MM-dd HH:mm:ss").alias("morning_clock"))
+    out = R.convert(written, [R.Decision("at", "dmy-date", with_time=True)])
+    return out.select("event_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 @query("clean_table", f"""
     SELECT o_orderkey AS order_no, lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS customer_code, CAST(o_totalprice AS DECIMAL(38,2)) AS local_money,
            CAST(o_totalprice AS DECIMAL(38,2)) AS us_money, CAST(o_totalprice AS DECIMAL(38,2)) AS plain_money,
            CASE WHEN o_orderkey % 3 = 2 THEN 1 ELSE -1 END * CAST(o_totalprice AS DECIMAL(18,2)) AS signed_money,
-           CAST(o_orderdate AS DATE) AS iso_day, CAST(o_orderdate AS DATE) AS day_first, CAST(o_orderdate AS DATE) AS month_first,
+           o_orderdate AS iso_day, CAST(o_orderdate AS DATE) AS day_first, CAST(o_orderdate AS DATE) AS month_first,
            CAST(o_orderdate AS DATE) AS named_day, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS status,
            CASE WHEN o_orderkey % 1000 = 1 THEN '12:5)' ELSE CAST(o_custkey AS VARCHAR) END AS typo,
            (o_orderkey % 9 + 1) || ',' || lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') AS unsure FROM orders""")

@@ -94,7 +94,7 @@ def test_money_total_is_exact(spark):
 def test_local_number_round_trip(spark, cents):
     texts = [f"{c / 100:,.2f}".replace(",", "_").replace(".", ",").replace("_", ".") for c in cents]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    out = df.select("i", V.to_comma_decimal(F.col("t"), 2).alias("v")).orderBy("i").collect()
+    out = df.select("i", V.read_comma_decimal(V.money_text(F.col("t")), 2).alias("v")).orderBy("i").collect()
     assert [r["v"] for r in out] == [Decimal(c) / 100 for c in cents]
 
 

@@ -16,7 +16,7 @@ NULL_MARKERS = [
     "#div/0!", "#sayı/0!", "#sayi/0!", "#value!", "#değer!", "#ref!", "#başv!", "#name?", "#ad?",
     "#num!", "#sayı!", "#sayi!", "#null!", "#boş!",
 ]
-MONEY_NOISE = r"(?iu)(₺|TL|TRY|USD|EUR|\$|€|%|[ \t\n\f\r])"
+MONEY_NOISE = r"[₺$€% \t\n\f\r]+|[Tt](?:[Ll]|[Rr][Yy])|[Uu][Ssſ][Dd]|[Ee][Uu][Rr]"
 
 # A letter pair in brackets stands for either letter.
 MONTH_NAMES = [
@@ -49,6 +49,8 @@ ISO_SHAPE = r"\d{4}-\d{1,2}(-\d{1,2}" + TIME_TAIL + ")?"
 DMY_SHAPE = r"(\d{1,2}\.\d{1,2}\.\d{4}|\d{2}\.\d{2}\.\d{2})" + TIME_TAIL
 MIDNIGHT = r" 0?0:00(:00(\.0+)?)?\z"
 MAX_EXACT_SCALE = 10
+DIGITS = "0123456789"
+NUMBER_CHARS = DIGITS + "+-.,"
 # ----------------------------------------------------------------------------------------------
 
 
@@ -56,6 +58,11 @@ def full_match(c: Column, pattern: str) -> Column:
     return c.rlike(rf"^(?:{pattern})\z")
 
 
+def only_chars(c: Column, chars: str) -> Column:
+    """True when the text has no other characters; far cheaper than a pattern."""
+    return F.translate(c, chars, "") == ""
+
+
 def present(c: Column) -> Column:
     """The trimmed text, or null when it only says that there is no value."""
     trimmed = F.trim(c)
@@ -64,14 +71,16 @@ def present(c: Column) -> Column:
 
 def strip_money(c: Column) -> Column:
     """Currency signs and codes, percent signs and spaces removed."""
-    return F.regexp_replace(c, MONEY_NOISE, "")
+    return F.when(only_chars(c, NUMBER_CHARS), c).otherwise(F.regexp_replace(c, MONEY_NOISE, ""))
 
 
 def accounting_sign(c: Column) -> Column:
     """``(1,00)``, ``1,00-`` and the typographic minus, all written with a leading ``-``."""
     plain = F.replace(c, F.lit("−"), F.lit("-"))
     unbracketed = F.regexp_replace(plain, r"^\(([0-9.,]+)\)\z", "-$1")
-    return F.regexp_replace(unbracketed, r"^([0-9.,]+)-\z", "-$1")
+    written = F.regexp_replace(unbracketed, r"^([0-9.,]+)-\z", "-$1")
+    marked = c.contains("(") | c.contains("−") | c.endswith("-")
+    return F.when(marked, written).otherwise(c)
 
 
 def money_text(c: Column) -> Column:
@@ -120,8 +129,8 @@ def dotted(c: Column) -> Column:
     """A date text in dotted form with a four-digit year (00–69 → 20xx, 70–99 → 19xx)."""
     dots = F.regexp_replace(month_names(c), r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4}|\d{2})", "$1.$2.$3")
     # The century goes between the date's last dot and a year of exactly two digits.
-    young = F.regexp_replace(dots, r"(?<=^\d{2}\.\d{2}\.)(?=[0-6]\d(?:\z|\s))", "20")
-    old = F.regexp_replace(young, r"(?<=^\d{2}\.\d{2}\.)(?=[7-9]\d(?:\z|\s))", "19")
+    young = F.regexp_replace(dots, r"^(\d{2}\.\d{2}\.)([0-6]\d)(?=\z|\s)", "$120$2")
+    old = F.regexp_replace(young, r"^(\d{2}\.\d{2}\.)([7-9]\d)(?=\z|\s)", "$119$2")
     return F.upper(old)
 
 

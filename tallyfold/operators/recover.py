@@ -33,42 +33,62 @@ def unpivot_text(df: DataFrame, columns: list[str], keys: list[str]) -> DataFram
 
 
 def profile_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Counters per ``keys`` + column over ``(keys…, column, value)`` rows; one pass, one shuffle.
+    """Counters per ``keys`` + column over ``(keys…, column, value)`` rows, in one pass.
 
-    The shuffle carries one partial row per column and task, so a column or file of any size is
-    counted where its cells are.
+    Number texts are first collapsed to their shape (every digit a 9, a leading zero kept): a column
+    of any size has a handful of shapes, so the exact patterns run on shapes, not on cells, and the
+    shuffles carry a few rows per column and task. A hot column or file is counted where its cells are.
     """
+    v, s, m = F.col("v"), F.col("s"), F.col("m")
     value = cells.select(*keys, "column", V.present(F.col("value")).alias("v"))
-    v = F.col("v")
-    stripped = value.withColumn("s", V.strip_money(v)).withColumn("m", V.accounting_sign(F.col("s")))
-    # Cheap tests first: only text that can be a number or a date reaches the exact shapes.
+    stripped = value.withColumn("s", V.strip_money(v)).withColumn("m", V.accounting_sign(s))
+
+    # Only text that can be a date pays for the date forms: figures with commas or one dot cannot.
+    marks = F.translate(v, V.DIGITS, "")
+    figures = V.only_chars(marks, ".,") & (marks.contains(",") | (F.length(marks) < 2))
+    day_led = v.rlike(r"^\d{1,2}[./-]\d{1,2}[./-]\d\d|^\d{1,2}\.?\s+\p{L}|^\p{L}+\.?\s+\d")
+    number = V.only_chars(m, V.NUMBER_CHARS)
     derived = stripped.select(
-        *keys, "column", "v", "s",
-        F.when(F.col("m").rlike(r"^[-+0-9.,]+\z"), F.col("m")).alias("m"),
-        F.regexp_extract(F.col("m"), r"[.,]\d+\z", 0).alias("tail"),
-        F.when(v.rlike(r"^\d{1,2}[./-]\d{1,2}[./-]\d\d|^\d{1,2}\.?\s+\p{L}|^\p{L}+\.?\s+\d"), V.dotted(v)).alias("day_first"),
-        F.when(v.rlike(r"^\d{4}[./-]\d"), V.dashed(v)).alias("year_first"),
+        *keys, "column", "v",
+        (s != v).alias("noisy"),
+        F.when(number, F.translate(m, "012345678", "9" * 9)).alias("shape"),
+        F.ltrim(m, F.lit("+-")).startswith("0").alias("zero_led"),
+        F.when(~number & F.right(m, F.lit(1)).between("0", "9"), F.regexp_extract(m, r"[.,]\d+\z", 0)).alias("tail"),
+        F.when(~figures & day_led, V.dotted(v)).alias("day_first"),
+        F.when(~figures & v.rlike(r"^\d{4}[./-]\d"), V.dashed(v)).alias("year_first"),
     )
 
-    def matches(name: str) -> Column:
-        return F.count_if(V.full_match(F.col("m"), V.SHAPES[name])).alias(name)
-
-    def digits(mark: str) -> Column:
-        longest = F.max(F.when(F.startswith("tail", F.lit(mark)), F.length("tail") - 1))
-        return F.coalesce(longest, F.lit(0)).cast("bigint")
+    def tail_digits(text: Column, mark: str) -> Column:
+        return F.max(F.when(F.startswith(text, F.lit(mark)), F.length(text) - 1))
 
-    counted = derived.groupBy(*keys, "column").agg(
+    shaped = derived.groupBy(*keys, "column", "shape", "zero_led").agg(
         F.count("v").alias("n"),
-        *[matches(name) for name in V.SHAPES],
-        F.count_if(F.col("s") != v).alias("stripped"),
+        F.count_if("noisy").alias("stripped"),
         F.count_if(V.full_match(F.col("year_first"), V.ISO_SHAPE)).alias("iso_shape"),
         F.count_if(V.full_match(F.col("day_first"), V.DMY_SHAPE)).alias("dmy_shape"),
         F.count(V.parse_iso(F.col("year_first"))).alias("iso_ok"),
         F.count(V.parse_dmy(F.col("day_first"))).alias("dmy_ok"),
         F.count(V.parse_mdy(F.col("day_first"))).alias("mdy_ok"),
         F.count_if(V.has_time(v)).alias("time"),
-        digits(".").alias("frac_dot"),
-        digits(",").alias("frac_comma"),
+        tail_digits(F.col("tail"), ".").alias("dot_tail"),
+        tail_digits(F.col("tail"), ",").alias("comma_tail"),
+    )
+    # A representative number of every shape: the leading zero is put back.
+    typical = F.when(F.col("zero_led"), F.regexp_replace("shape", r"^([-+]*)9", "$10")).otherwise(F.col("shape"))
+    shaped = shaped.withColumn("typical", typical).withColumn("shape_tail", F.regexp_extract("shape", r"[.,]\d+\z", 0))
+
+    def matching(name: str) -> Column:
+        return F.coalesce(F.sum(F.when(V.full_match(F.col("typical"), V.SHAPES[name]), F.col("n"))), F.lit(0)).alias(name)
+
+    def digits(kept: str, mark: str) -> Column:
+        longest = F.greatest(F.max(kept), tail_digits(F.col("shape_tail"), mark))
+        return F.coalesce(longest, F.lit(0)).cast("bigint")
+
+    counted = shaped.groupBy(*keys, "column").agg(
+        *[matching(name) for name in V.SHAPES],
+        *[F.sum(c).alias(c) for c in ("n", "stripped", "iso_shape", "dmy_shape", "iso_ok", "dmy_ok", "mdy_ok", "time")],
+        digits("dot_tail", ".").alias("frac_dot"),
+        digits("comma_tail", ",").alias("frac_comma"),
     )
     # A parse count stands only where every value has the shape; month first only where day first failed.
     n = F.col("n")

@@ -9,6 +9,7 @@ from tallyfold.functions import text as X
 from tallyfold.functions import values as V
 from tallyfold.operators import recover as R
 from tallyfold.plans.registry import Tables, query
+from tallyfold.session import spread
 
 MONTH_WORDS = ["Ocak", "Şubat", "Mart", "NİSAN", "Mayıs", "Haz.", "Temmuz", "AĞUSTOS", "September", "EKİM", "Kasım", "Ara."]
 
@@ -23,7 +24,7 @@ def messy_orders(t: Tables) -> DataFrame:
     price, date = F.col("o_totalprice"), F.col("o_orderdate")
     month = F.element_at(F.array(*[F.lit(m) for m in MONTH_WORDS]), F.month(date))
     day, year = F.dayofmonth(date).cast("string"), F.year(date).cast("string")
-    return t.orders.select(
+    return spread(t.orders).select(
         F.col("o_orderkey").cast("string").alias("order_no"),
         F.lpad(F.col("o_custkey").cast("string"), 8, "0").alias("customer_code"),
         F.concat(local_number(price), F.lit(" TL")).alias("local_money"),
@@ -68,14 +69,14 @@ SPACES = r"[\s\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{205f}\x{3000}]+"
         '[\x{{200b}}-\x{{200d}}\x{{feff}}]', '', 'g'), '^{SPACES}|{SPACES}$', '', 'g'), '')) AS cleaned FROM documents""")
 def clean_cell(t: Tables) -> DataFrame:
     padded = F.concat(F.lit(" "), F.col("text"), F.lit("​"))
-    return t.documents.select("doc_id", F.md5(X.clean_cell(padded).cast("binary")).alias("cleaned"))
+    return spread(t.documents).select("doc_id", F.md5(X.clean_cell(padded).cast("binary")).alias("cleaned"))
 
 
 @query("fold_text", """
     SELECT doc_id, md5(strip_accents(replace(replace(replace(replace(replace(replace(lower(replace(replace(text, 'İ', 'i'), 'I', 'ı')),
         'ı', 'i'), 'ş', 's'), 'ğ', 'g'), 'ü', 'u'), 'ö', 'o'), 'ç', 'c'))) AS folded FROM documents""")
 def fold_text(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.md5(X.fold_text(F.col("text")).cast("binary")).alias("folded"))
+    return spread(t.documents).select("doc_id", F.md5(X.fold_text(F.col("text")).cast("binary")).alias("folded"))
 
 
 @query("value_like", """

@@ -13,6 +13,7 @@ from tallyfold.session import settled
 # ---- fixed values --------------------------------------------------------------------------------
 SLIDING_LIMIT, SLIDING_SECONDS = 10, 60
 DAILY_LIMIT = 2000
+SLICE_WINDOWS = 64
 # --------------------------------------------------------------------------------------------------
 
 MICRO = 1_000_000
@@ -65,9 +66,10 @@ def sliding_limit(
     few admitted times. All slices are decided at once as if each started empty; then only the slices
     whose entry turns out different are decided again, until nothing changes. A hot key is thereby spread
     over as many tasks as it has slices, and what is exchanged between rounds is ``limit`` numbers per slice.
+    A slice of many windows mostly forgets its entry before it ends, so few rounds are needed.
     """
     window = seconds * MICRO
-    width = max(slice_seconds or 0, seconds) * MICRO
+    width = max(slice_seconds or SLICE_WINDOWS * seconds, seconds) * MICRO
     rows = events.select(F.col(key).alias("key"), micros(F.col(ts)).alias("t"), F.col(id_).cast("bigint").alias("id"))
     rows = rows.withColumn("slice", F.floor(F.col("t") / width))
     kinds = dict(rows.dtypes)

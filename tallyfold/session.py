@@ -13,6 +13,9 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # windows-1254 is refused by the decoder unless the JVM's own charsets are allowed.
     "spark.sql.legacy.javaCharsets": "true",
+    # Long chains of text patterns make methods the JVM will not compile; beyond its limit of 8000 bytes
+    # separate, compiled steps are faster than one fused, interpreted one.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -91,8 +91,3 @@ def natural_key(c: Column, width: int = 20) -> Column:
         ).otherwise(p),
     )
     return F.array_join(padded, "")
-
-
-def sql_text(value: str) -> str:
-    """A text literal for generated SQL."""
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import chat, mixing, token_output
+from tallyfold.llm import chat, mixing, simhash, token_output
 from tallyfold.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,9 @@ def vocabulary() -> str:
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the sources' target weights."""
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@register("op2_simhash")
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their near-duplicate components."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import chat, mixing, quality, simhash, token_output, toxicity
+from tallyfold.llm import chat, decontaminate, mixing, quality, simhash, token_output, toxicity
 from tallyfold.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,22 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents, learned from the labels outside the held-out quarter."""
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op6_decontaminate", """
+    WITH lowered AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    items AS (SELECT item_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+    cuts AS (SELECT DISTINCT item_id, list_slice(w, s, s + 9) AS gram FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS s FROM items WHERE len(w) > 0)),
+    lengths AS (SELECT DISTINCT len(gram) AS n FROM cuts),
+    places AS (SELECT row, s, list_slice(w, s, s + n - 1) AS gram FROM (SELECT row, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM lowered, lengths WHERE len(w) >= n)),
+    hits AS (SELECT row, s, gram FROM places WHERE gram IN (SELECT gram FROM cuts)),
+    hit_words AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(generate_series(s, s + len(gram) - 1)) AS p FROM hits) GROUP BY 1),
+    hit_items AS (SELECT row, list(DISTINCT CAST(item_id AS VARCHAR) ORDER BY CAST(item_id AS VARCHAR)) AS items FROM hits JOIN cuts USING (gram) WHERE item_id IS NOT NULL GROUP BY 1)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+        sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM lowered LEFT JOIN hit_words USING (row) LEFT JOIN hit_items USING (row)""")
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all documents."""
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

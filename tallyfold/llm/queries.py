@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import chat, decontaminate, mixing, pii, quality, simhash, token_output, toxicity
+from tallyfold.llm import chat, decontaminate, mixing, pii, quality, simhash, token_output, topk, toxicity
 from tallyfold.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,17 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents: base spans and those that bootstrapped patterns add."""
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@register("op7_top_products", """
+    WITH ints AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+        SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(d.v AS DOUBLE[])) AS BIGINT) AS score
+        FROM ints q JOIN ints d ON q.vec_id % 100 = 0 AND d.vec_id <> q.vec_id)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10""")
+def op7_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest integer products of every hundredth vector with all others."""
+    return topk.self_top_products(table(spark, sf_dir, "embeddings"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import chat, decontaminate, mixing, pii, quality, simhash, token_output, topk, toxicity
+from tallyfold.llm import chat, decontaminate, mixing, pii, quality, repeats, simhash, token_output, topk, toxicity
 from tallyfold.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,9 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten highest integer products of every hundredth vector with all others."""
     return topk.self_top_products(table(spark, sf_dir, "embeddings"))
+
+
+@register("op1_repeats")
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated strings of 400 bytes removed from all documents."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)

@@ -16,7 +16,9 @@ are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,48 +30,67 @@ from tallyfold.llm.common import text_of
 from tallyfold.session import scratch_path
 
 END_ID = 0
-REMEMBERED = 500_000  # pieces a worker keeps; about 100 MB
+REMEMBERED = 800_000  # pieces a worker keeps; about 150 MB
 STRIPE_BYTES = 32 << 20
 ROW_GROUP = 1_000
 
-_loaded: dict = {}
+# A word, with its leading space, and the punctuation after it. Apostrophes are left out: the tokenizer may cut there.
+_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
+_LINES = re.compile(r" ?\S+(?:\n\S+)+\Z")
 
 
-def _encoder(path: str):
-    """The tokenizer and the table of pieces of this worker."""
-    if path not in _loaded:
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable bytes stand for themselves, the others follow from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Known(dict):
+    """Ids of the pieces met so far. A new piece is put together from known parts where the tokenizer would cut it anyway."""
+
+    def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _loaded[path] = (tokenizer, {})
-    return _loaded[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
 
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each text as little-endian 32-bit integers."""
-    tokenizer, known = _encoder(path)
+    def __missing__(self, piece: str) -> bytes:
+        if word := _WORD.match(piece):
+            base, tail = word.groups()
+            if tail:
+                ids = self[base] + self[tail]
+            else:
+                ids = array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        elif _LINES.match(piece):
+            ids = self["\n"].join([self[x] for x in piece.split("\n")])
+        else:
+            ids = self.whole(piece)
+        self[piece] = ids
+        return ids
 
-    def whole(items: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(items, add_special_tokens=False)]
 
-    out = []
+_loaded: dict[str, _Known] = {}
+
+
+def encode_texts(texts: list[str], path: str) -> list[bytes]:
+    """The ids of each text as little-endian 32-bit integers."""
+    if path not in _loaded:
+        _loaded[path] = _Known(path)
+    known, out = _loaded[path], []
     for text in texts:
-        if "  " in text:
-            out.append(whole([text])[0])
-            continue
-        pieces = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
-        if pieces is None:
-            out.append(whole([text])[0])
-            continue
-        fresh = list(set(pieces).difference(known))
-        if fresh:
-            if len(known) + len(fresh) > REMEMBERED:
-                known.clear()
-                fresh = list(set(pieces))
-            known.update(zip(fresh, whole(fresh)))
-        out.append(b"".join(map(known.__getitem__, pieces)))
+        if len(known) > REMEMBERED:
+            known.clear()
+        if "  " in text or "\0" in text:
+            out.append(known.whole(text))
+        else:
+            out.append(b"".join(map(known.__getitem__, text.replace(" ", "\0 ").split("\0"))))
     return out
 
 

@@ -84,6 +84,10 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 def mix(docs: DataFrame, share: float = 1.5, passes: int = 2, weights: tuple = WEIGHTS, block_words: int = BLOCK_WORDS, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
+    return mix_with_source(docs, share, passes, weights, block_words, seed).drop("source")
+
+
+def mix_with_source(docs: DataFrame, share: float = 1.5, passes: int = 2, weights: tuple = WEIGHTS, block_words: int = BLOCK_WORDS, seed: int = 7) -> DataFrame:
     return _mixed(docs.select("doc_id", "source", _size(F.col("text")).alias("size")), share, passes, weights, block_words, seed)
 
 
@@ -102,7 +106,7 @@ def _mixed(sized: DataFrame, share, passes, weights, block_words, seed) -> DataF
     inside = Window.partitionBy("source", "piece").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = docs.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("row", F.monotonically_increasing_id())
     laid = written(placed.join(starts, docs["source"].eqNullSafe(starts["of"]) & (F.col("piece") == F.col("in_piece"))).select(
-        "row", "doc_id", "size", "source_no", "source_size", "target", (F.col("start") + F.col("within")).alias("offset")), "mix-streams")
+        "row", "doc_id", "source", "size", "source_no", "source_size", "target", (F.col("start") + F.col("within")).alias("offset")), "mix-streams")
 
     # A document's words in pass p are [offset + p * source_size, … + size); it lies in one or more blocks.
     turns = laid.where(F.col("size") > 0).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).select(
@@ -111,4 +115,18 @@ def _mixed(sized: DataFrame, share, passes, weights, block_words, seed) -> DataF
     parts = bounded.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / block_words), F.floor((F.col("hi") - 1) / block_words)))).select(
         "row", "source_no", "block", (F.least(F.col("hi"), (F.col("block") + 1) * block_words) - F.greatest(F.col("lo"), F.col("block") * block_words)).alias("words"))
     taken = parts.join(schedule(targets, block_words), ["source_no", "block"]).groupBy("row").agg(F.sum("words").alias("taken"))
-    return laid.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+    return laid.join(taken, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+    """The documents as often as the mix takes them: not at all, or once per pass that takes any of their words.
+
+    Documents without words cost nothing and stay once. Rows that share id and source are taken equally often. All columns stay.
+    """
+    took = mix_with_source(docs, **settings)
+    times = F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.greatest("size", F.lit(1)))).cast("int")
+    per_key = written(took.groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source")).agg(F.max(times).alias("mix_times")).where(F.col("mix_times") > 0), "mix-times")
+    # Each row travels as one struct, so its columns cannot clash with those of the mix.
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("kept"))
+    kept = rows.join(per_key, F.col("kept.doc_id").eqNullSafe(F.col("mix_id")) & F.col("kept.source").eqNullSafe(F.col("mix_source")))
+    return kept.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select("kept.*")

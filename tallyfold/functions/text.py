@@ -45,11 +45,30 @@ def accent_table() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+@lru_cache(maxsize=1)
+def joined_letters() -> dict[str, str]:
+    """Letters that decompose to several ASCII letters (ligatures, digraphs), by Unicode's own rule, in lower case."""
+    found = {}
+    for code in range(0x80, 0x10000):
+        ch = chr(code)
+        if 0xD800 <= code <= 0xDFFF or not ch.isalpha() or ch != ch.lower():
+            continue
+        plain = _stripped(ch)
+        if len(plain) > 1 and plain.isascii() and plain.isalpha():
+            found[ch] = plain.lower()
+    return found
+
+
 def fold_text(c: Column) -> Column:
-    """Compare-form of a text: Turkish lower case, ASCII letters, no accents."""
+    """Compare-form of a text: Turkish lower case, ASCII letters, no accents, ligatures as their letters."""
     lowered = F.translate(tr_lower(c), TURKISH_FROM, TURKISH_TO)
     source, target = accent_table()
-    return F.regexp_replace(F.translate(lowered, source, target), _MARKS, "")
+    joined, apart = joined_letters(), lowered
+    for ch, plain in joined.items():
+        apart = F.replace(apart, F.lit(ch), F.lit(plain))
+    # The chain of replacements runs only for texts that hold such a letter.
+    whole = F.when(lowered.rlike("[" + "".join(joined) + "]"), apart).otherwise(lowered)
+    return F.regexp_replace(F.translate(whole, source, target), _MARKS, "")
 
 
 def fold_python(text: str) -> str:
@@ -76,18 +95,18 @@ def header_like(c: Column) -> Column:
     return c.rlike(YEAR) | ~value_like(c)
 
 
-def natural_key(c: Column, width: int = 20) -> Column:
-    """Sort key: folded text with every digit run padded, so ``item 9`` comes before ``item 10``.
+def natural_key(c: Column, language: str = "tr") -> Column:
+    """Sort key: ``item 9`` comes before ``item 10``, and letters stand where the language's alphabet has them.
 
-    The longest run decides how far a value is padded; runs longer than ``width`` keep their length
-    and sort behind the shorter ones.
+    A run of digits is compared by its length without leading zeros and then by its digits, whatever its length; numbers come
+    before letters. The runs between them are compared by the collation of the language.
     """
-    parts = F.regexp_extract_all(fold_text(c), F.lit(r"(\d+|\D+)"), F.lit(1))
-    padded = F.transform(
-        parts,
-        lambda p: F.when(
-            p.rlike(r"^\d"),
-            F.when(F.length(p) <= width, F.lpad(p, width, "0")).otherwise(F.concat(F.lit("9" * width), p)),
-        ).otherwise(p),
-    )
-    return F.array_join(padded, "")
+    parts = F.regexp_extract_all(c, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+
+    def key(p: Column) -> Column:
+        number, digits = p.rlike("^[0-9]"), F.regexp_replace(p, "^0+(?=[0-9])", "")
+        return F.struct(
+            F.when(number, 0).otherwise(1).alias("kind"), F.when(number, F.length(digits)).otherwise(0).alias("length"),
+            F.when(number, digits).otherwise("").alias("digits"), F.collate(F.when(number, "").otherwise(p), language).alias("text"))
+
+    return F.transform(parts, key)

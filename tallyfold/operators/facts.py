@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.operators import quantiles as Z
 from tallyfold.operators import shape as S
 
 # ---- fixed values -----------------------------------------------------------------------------------
@@ -33,10 +34,6 @@ def _change(start: Column, end: Column) -> Column:
     return F.try_divide(end - start, F.abs(start))
 
 
-def _at(points: Column, index: Column | int) -> Column:
-    return F.get(points, index if isinstance(index, Column) else F.lit(index))
-
-
 def line_facts(
     df: DataFrame, x: str, y: str, cumulative: bool = False, coverage: tuple[str, str] | None = None, monthly: bool = True
 ) -> DataFrame:
@@ -44,15 +41,16 @@ def line_facts(
 
     With the data's date range, edge months covered only partly are left out of the comparison;
     without it a last period far below the others counts as unfinished. A running total only reports
-    what it reached. Lines of more points than can be drawn have no takeaway.
+    what it reached. The edges come from two rank limits and the rest from one aggregate and one exact
+    median, so a line may have any number of points.
     """
     rows = df.filter(F.col(y).isNotNull()).select(F.col(x).cast("string").alias("x"), F.col(y).cast("double").alias("y"))
-    drawn = rows.filter(rows.agg((F.count("*") <= S.MAX_LINE_POINTS).alias("ok")).scalar())
-    one = drawn.agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("p")).filter(F.size("p") > 0)
-    p, n = F.col("p"), F.size("p")
-    first, last = _at(p, 0), _at(p, n - 1)
-    values = F.transform(p, lambda q: q["y"])
-    peak = F.filter(p, lambda q: q["y"] == F.array_max(values))
+    point = F.struct("x", "y")
+    one = rows.agg(F.count("*").alias("n"), F.min(point).alias("first"), F.max(point).alias("last"), F.min(F.struct((-F.col("y")).alias("down"), F.col("x"))).alias("peak")).filter(F.col("n") > 0)
+    # With a single point the neighbour of an edge is missing.
+    second = rows.orderBy("x", "y").limit(2).agg(F.max(point).alias("p")).scalar()
+    before_last = rows.orderBy(F.desc("x"), F.desc("y")).limit(2).agg(F.min(point).alias("p")).scalar()
+    n, first, last = F.col("n"), F.col("first"), F.col("last")
 
     def edge(point: Column, day: str, is_start: bool) -> Column:
         whole = F.to_date(F.lit(day[:10]))
@@ -62,20 +60,22 @@ def line_facts(
     no = F.lit(False)
     start_partial = edge(first, coverage[0], True) & (n >= MIN_POINTS_PARTIAL) if coverage and monthly else no
     end_partial = edge(last, coverage[1], False) & (n >= MIN_POINTS_PARTIAL) if coverage and monthly else no
-    earlier = F.array_sort(F.slice(values, F.lit(1), F.greatest(n - 1, F.lit(0))))
-    half = F.size(earlier) / 2
-    middle = (F.get(earlier, F.ceil(half).cast("int") - 1) + F.get(earlier, F.floor(half).cast("int"))) / 2
-    unfinished = (n >= MIN_POINTS_INCOMPLETE) & (last["y"] >= 0) & (last["y"] < INCOMPLETE_SHARE * middle)
-    facts = one.withColumn("start_partial", start_partial).withColumn("end_partial", end_partial)
-    partial = F.col("start_partial") | F.col("end_partial")
-    facts = facts.withColumn("incomplete_last", ~partial & F.coalesce(unfinished, no) & F.lit(not cumulative))
-    start = F.when(F.col("start_partial"), _at(p, 1)).otherwise(first)
-    end = F.when(F.col("end_partial") | F.col("incomplete_last"), _at(p, n - 2)).otherwise(last)
+    facts = one.withColumn("second", second).withColumn("before_last", before_last).withColumn("start_partial", start_partial).withColumn("end_partial", end_partial)
+    if cumulative:
+        facts = facts.withColumn("incomplete_last", no)
+    else:
+        last_x = rows.agg(F.max("x").alias("x")).scalar()
+        middle = Z.quantile_value(rows.filter(F.col("x") < last_x), "y", 0.5)
+        low = (n >= MIN_POINTS_INCOMPLETE) & (last["y"] >= 0) & (last["y"] < INCOMPLETE_SHARE * middle)
+        facts = facts.withColumn("incomplete_last", ~(F.col("start_partial") | F.col("end_partial")) & F.coalesce(low, no))
+    start = F.when(F.col("start_partial"), F.col("second")).otherwise(first)
+    step_back = (F.col("end_partial") | F.col("incomplete_last")) & F.lit(not cumulative)
+    end = F.when(step_back, F.col("before_last")).otherwise(last)
     change = F.lit(None).cast("double") if cumulative else F.when(n > 1, _change(F.col("start.y"), F.col("end.y")))
     return facts.withColumn("start", start).withColumn("end", end).select(
-        n.alias("points"), F.col("start.x").alias("from_x"), F.col("start.y").alias("from_value"),
+        n.cast("int").alias("points"), F.col("start.x").alias("from_x"), F.col("start.y").alias("from_value"),
         F.col("end.x").alias("to_x"), F.col("end.y").alias("to_value"), change.alias("change"),
-        _at(peak, 0)["x"].alias("peak_x"), _at(peak, 0)["y"].alias("peak_value"),
+        F.col("peak.x").alias("peak_x"), (-F.col("peak.down")).alias("peak_value"),
         "start_partial", "end_partial", "incomplete_last",
     )
 

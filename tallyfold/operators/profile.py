@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # ---- fixed values ------------------------------------------------------------------------------
-MAX_PROFILED_COLUMNS = 100
-MAX_TOP_COLUMNS = 40
 TOP_VALUES = 3
 # ------------------------------------------------------------------------------------------------
 
@@ -21,8 +19,7 @@ def coarse_type(t: T.DataType) -> str:
 
 
 def columns_of(df: DataFrame, kind: str | None = None) -> list[str]:
-    fields = df.schema.fields[:MAX_PROFILED_COLUMNS]
-    return [f.name for f in fields if kind is None or coarse_type(f.dataType) == kind]
+    return [f.name for f in df.schema.fields if kind is None or coarse_type(f.dataType) == kind]
 
 
 def _wide_to_long(df: DataFrame, columns: list[str], facts: dict[str, dict[str, Column]]) -> DataFrame:
@@ -75,7 +72,7 @@ def top_values(df: DataFrame, columns: list[str] | None = None, n: int = TOP_VAL
     Counting collapses equal values before the shuffle, and the rank limit is applied per task before
     the columns are brought together, so neither a hot value nor a wide column gathers in one task.
     """
-    columns = (columns or columns_of(df, "text"))[:MAX_TOP_COLUMNS]
+    columns = columns or columns_of(df, "text")
     cells = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns
     ])))
@@ -90,7 +87,7 @@ def coverage(df: DataFrame) -> DataFrame:
     if len(dates) != 1:
         return df.sparkSession.createDataFrame([], "from string, to string")
     shape = "yyyy-MM-dd HH:mm"
-    row = df.agg(F.date_format(F.min(dates[0]), shape).alias("from"), F.date_format(F.max(dates[0]), shape).alias("to"))
+    row = df.agg(F.date_format(F.min(f"`{dates[0]}`"), shape).alias("from"), F.date_format(F.max(f"`{dates[0]}`"), shape).alias("to"))
     return row.filter(F.col("from").isNotNull())
 
 

@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this many values one task may hold and sort; beyond it the range is narrowed first.
-GATHERED_VALUES = 1_000_000
+# A task orders at most about so many distinct values of one quantile's last range.
+KEPT_VALUES = 100_000
 _ACCURACY = 10_000
 
 
@@ -20,63 +20,64 @@ def approximate_quantiles(df: DataFrame, value: str, probabilities: list[float])
     ])
 
 
-def _narrowed(df: DataFrame, value: str, rank: int, below: int, inside: int, keep: int):
-    """Shrink ``df`` to a value range that holds the 0-based ``rank``; counts are exact throughout."""
-    c = F.col(value)
-    margin = 4.0 / _ACCURACY
-    while inside > keep:
-        p = (rank - below) / inside
-        low, high = max(0.0, p - margin), min(1.0, p + margin)
-        bounds = df.agg(F.percentile_approx(c, F.array(F.lit(low), F.lit(high)), F.lit(_ACCURACY)).alias("b")).first()["b"]
-        within = c.between(F.lit(bounds[0]), F.lit(bounds[1]))
-        counts = df.agg(
-            F.count_if(c < F.lit(bounds[0])).alias("less"), F.count_if(within).alias("within")
-        ).first()
-        start = below + counts["less"]
-        if not start <= rank < start + counts["within"]:
-            margin *= 4  # the sketch missed: look wider, never guess
-            continue
-        if bounds[0] == bounds[1]:
-            return bounds[0], None, start
-        if counts["within"] == inside:
-            break  # nothing left to cut off
-        df, below, inside = df.filter(within), start, counts["within"]
-    return None, df, below
-
-
-def _at_rank(df: DataFrame, value: str, rank: int, count: int, keep: int):
-    settled, rest, below = _narrowed(df, value, rank, 0, count, keep)
-    if rest is None:
-        return settled
-    # At most ``keep`` rows are left, so one task may order their distinct values.
-    tally = rest.groupBy(value).count()
-    running = F.sum("count").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    reached = tally.withColumn("upto", running + below).filter(F.col("upto") > rank)
-    return reached.agg(F.min(value)).first()[0]
-
-
-def exact_quantiles(df: DataFrame, value: str, probabilities: list[float], keep: int = GATHERED_VALUES) -> DataFrame:
+class _Range:
+    """A value range that holds the 0-based ranks ``low`` and ``high``; None stands for the column's ends."""
+
+    def __init__(self, position: float):
+        self.low, self.high = math.floor(position), math.ceil(position)
+        self.share = position - self.low
+        self.bounds: tuple[float, float] | None = None
+        self.below, self.inside, self.margin, self.done = 0, 0, 4.0 / _ACCURACY, False
+
+    def within(self, x: Column) -> Column:
+        return x.between(F.lit(self.bounds[0]), F.lit(self.bounds[1])) if self.bounds else F.lit(True)
+
+    def proposal(self, x: Column, name: str) -> Column:
+        """A sketch of the values in the range, asked a little below and above the wanted ranks."""
+        first, last = (self.low - self.below) / self.inside, (self.high - self.below) / self.inside
+        shares = F.array(F.lit(max(0.0, first - self.margin)), F.lit(min(1.0, last + self.margin)))
+        return F.percentile_approx(F.when(self.within(x), x), shares, F.lit(_ACCURACY)).alias(name)
+
+
+def exact_quantiles(df: DataFrame, value: str, probabilities: list[float], keep: int = KEPT_VALUES) -> DataFrame:
     """One row ``q0, q1, …`` of interpolated quantiles (continuous, on doubles).
 
-    Small columns use Spark's own exact aggregate, whose buffer then holds at most ``keep`` values.
-    Larger ones are narrowed: a sketch proposes a range, exact counts confirm that it holds the wanted
-    rank, and only the last, small range is sorted.
+    All quantiles are narrowed together: sketches propose a range for each, one pass of exact counts confirms
+    that the ranges hold the wanted ranks, and one more pass counts the distinct values in the ranges, which are then
+    ordered. A range that still holds more than ``keep`` values is narrowed again.
     """
-    source = df.select(F.col(value).cast("double").alias("x")).filter(F.col("x").isNotNull())
+    x = F.col("x")
+    source = df.select(F.col(value).cast("double").alias("x")).filter(x.isNotNull())
+    names = [f"q{i}" for i in range(len(probabilities))]
+    schema = ", ".join(f"{n} double" for n in names)
     count = source.count()
-    if count <= keep:
-        shares = F.array(*[F.lit(float(p)) for p in probabilities])
-        q = source.agg(F.percentile("x", shares).alias("q"))
-        return q.select(*[F.get(F.col("q"), F.lit(i)).alias(f"q{i}") for i in range(len(probabilities))])
-    out = []
-    for p in probabilities:
-        position = p * (count - 1)
-        low, high = math.floor(position), math.ceil(position)
-        a = _at_rank(source, "x", low, count, keep)
-        b = a if high == low else _at_rank(source, "x", high, count, keep)
-        out.append(a + (b - a) * (position - low))
-    schema = ", ".join(f"q{i} double" for i in range(len(out)))
-    return df.sparkSession.createDataFrame([tuple(out)], schema)
+    if not count:
+        return df.sparkSession.createDataFrame([(None,) * len(names)], schema)
+    ranges = [_Range(p * (count - 1)) for p in probabilities]
+    for r in ranges:
+        r.inside = count
+    while active := [r for r in ranges if not r.done]:
+        bounds = source.agg(*[r.proposal(x, f"b{i}") for i, r in enumerate(active)]).first()
+        tries = [tuple(bounds[f"b{i}"]) for i in range(len(active))]
+        counts = source.agg(*[c for i, (lo, hi) in enumerate(tries) for c in (
+            F.count_if(x < F.lit(lo)).alias(f"l{i}"), F.count_if(x.between(F.lit(lo), F.lit(hi))).alias(f"w{i}"))]).first()
+        for i, (r, found) in enumerate(zip(active, tries)):
+            below, inside = counts[f"l{i}"], counts[f"w{i}"]
+            if not (below <= r.low and r.high < below + inside):
+                r.margin *= 4  # the sketch missed: look wider, never guess
+                continue
+            # A range that does not shrink is held by values equal to its ends; counting distinct values copes with those.
+            r.done = inside <= keep or found[0] == found[1] or inside == r.inside
+            r.bounds, r.below, r.inside = found, below, inside
+    asked = F.array(*[
+        F.when(r.within(x), F.struct(F.lit(i).alias("i"), F.lit(r.below).cast("bigint").alias("below"), F.lit(r.low).cast("bigint").alias("low"), F.lit(r.high).cast("bigint").alias("high")))
+        for i, r in enumerate(ranges)])
+    tally = source.select("x", F.explode(F.filter(asked, lambda a: a.isNotNull())).alias("a")).groupBy("a", "x").count()
+    running = F.sum("count").over(Window.partitionBy("a").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)) + F.col("a.below")
+    reached = tally.withColumn("upto", running)
+    ends = reached.groupBy("a.i").agg(F.min(F.when(F.col("upto") > F.col("a.low"), x)).alias("lo"), F.min(F.when(F.col("upto") > F.col("a.high"), x)).alias("hi")).collect()
+    found = {row["i"]: row["lo"] + (row["hi"] - row["lo"]) * ranges[row["i"]].share if row["hi"] != row["lo"] else row["lo"] for row in ends}
+    return df.sparkSession.createDataFrame([tuple(found[i] for i in range(len(names)))], schema)
 
 
 def quantile_value(df: DataFrame, value: str, probability: float) -> Column:

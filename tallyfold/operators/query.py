@@ -151,9 +151,17 @@ def strict_number(c: Column, kind: str = "decimal(38,10)") -> Column:
 
 
 def precise_sum(c: Column) -> Column:
-    """Sum of doubles that does not drift: ten decimals summed exactly, the remainder beside them."""
-    exact = c.cast("decimal(38,10)")
-    return F.sum(exact).cast("double") + F.sum(c - exact.cast("double"))
+    """Sum of doubles that does not drift, whatever their size.
+
+    Numbers below 1e17 are summed exactly to ten decimals with the remainder beside them, whole numbers below 1e27 exactly,
+    larger ones as doubles. A value that is not finite makes the sum what plain addition makes it.
+    """
+    size = F.abs(c)
+    fine, whole = F.when(size < 1e17, c), F.when((size >= 1e17) & (size < 1e27), c)
+    exact = fine.cast("decimal(38,10)")
+    parts = [F.sum(exact).cast("double"), F.sum(fine - exact.cast("double")), F.sum(whole.cast("decimal(38,0)")).cast("double"), F.sum(F.when((size >= 1e27) | F.isnan(c), c))]
+    large_first = F.coalesce(parts[3], F.lit(0.0)) + F.coalesce(parts[2], F.lit(0.0))
+    return F.when(F.count(c) > 0, large_first + (F.coalesce(parts[0], F.lit(0.0)) + F.coalesce(parts[1], F.lit(0.0))))
 
 
 # ---- rankings, shares and series over grouped results ------------------------------------------

@@ -10,7 +10,7 @@ from tallyfold.operators import readings as R
 from tallyfold.operators import tidy as T
 from tallyfold.plans.registry import Tables, query
 from tallyfold.plans.recovery import local_number
-from tallyfold.session import settled, spread
+from tallyfold.session import settled
 
 ROWS = 8
 
@@ -18,7 +18,7 @@ ROWS = 8
 def numbered_orders(t: Tables) -> DataFrame:
     """The orders of each customer (some ten) with their place in the customer's report."""
     n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
-    return spread(t.orders).withColumn("n", n).withColumn("page", (F.floor(F.col("n") / ROWS) + 1).cast("int"))
+    return t.orders.withColumn("n", n).withColumn("page", (F.floor(F.col("n") / ROWS) + 1).cast("int"))
 
 
 def _item(text: Column, x0: float, y: Column) -> Column:
@@ -107,7 +107,7 @@ def found_tables(t: Tables) -> DataFrame:
     SELECT doc_id, 1 AS page, doc_id % 7 = 0 OR list_sum(list_transform(string_split(text, chr(10)), lambda l: length(trim(l)))) < 10 AS needs_ocr FROM documents""")
 def needs_ocr(t: Tables) -> DataFrame:
     """Every document as a page of its lines; every seventh has no text layer."""
-    lines = spread(t.documents).filter(F.col("doc_id") % 7 != 0).select("doc_id", F.lit(1).alias("page"), F.explode(F.split("text", "\n", -1)).alias("text"))
+    lines = t.documents.filter(F.col("doc_id") % 7 != 0).select("doc_id", F.lit(1).alias("page"), F.explode(F.split("text", "\n", -1)).alias("text"))
     pages = t.documents.select("doc_id", F.lit(1).alias("page"))
     return G.needs_ocr(lines, pages)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions.text import natural_key
+from tallyfold.operators.shape import number_rows
 from tallyfold.operators import quantiles as Z
 from tallyfold.operators import query as Q
 from tallyfold.plans.registry import Tables, query
@@ -485,19 +486,29 @@ _ranking("bottom_n", False, 3)
 
 
 @query("sort_nulls_last", """
-    SELECT label, price FROM (SELECT 'Item ' || p_partkey AS label, p_partkey, CASE WHEN p_size > 3 THEN p_retailprice END AS price FROM part)
-    ORDER BY price DESC NULLS LAST, p_partkey LIMIT 50""")
+    SELECT row_number() OVER (ORDER BY price DESC NULLS LAST, p_partkey) AS row_no, label, price
+    FROM (SELECT 'Item ' || p_partkey AS label, p_partkey, CASE WHEN p_size > 3 THEN p_retailprice END AS price FROM part)""")
 def sort_nulls_last(t: Tables) -> DataFrame:
     """Empty cells last in both directions, text in natural order (item 9 before item 10)."""
     rows = t.part.select(
         F.concat(F.lit("Item "), F.col("p_partkey").cast("string")).alias("label"),
         F.when(F.col("p_size") > 3, F.col("p_retailprice")).alias("price"),
     )
-    return rows.orderBy(F.col("price").desc_nulls_last(), natural_key(F.col("label"))).limit(50)
+    return number_rows(rows, F.col("price").desc_nulls_last(), natural_key(F.col("label"))).select("row_no", "label", "price")
 
 
-@query("sort_natural", """
-    SELECT label FROM (SELECT 'Item ' || p_partkey AS label, p_partkey FROM part) ORDER BY p_partkey LIMIT 30""")
+# In the order of the Turkish alphabet.
+WORDS = ["cuma", "çay", "dal", "ılık", "iğne", "sol", "şal", "uç", "üç"]
+LONG = "CASE p_partkey % 3 WHEN 0 THEN CAST(p_partkey AS VARCHAR) WHEN 1 THEN '1' || lpad(CAST(p_partkey AS VARCHAR), 21, '0') ELSE '9' || lpad(CAST(p_partkey AS VARCHAR), 20, '0') END"
+
+
+@query("sort_natural", f"""
+    WITH named AS (SELECT p_partkey % 9 AS w, {WORDS!r}[p_partkey % 9 + 1] AS word, {LONG} AS digits FROM part)
+    SELECT row_number() OVER (ORDER BY w, length(digits), digits) AS row_no, word || ' ' || digits AS label FROM named""")
 def sort_natural(t: Tables) -> DataFrame:
-    labels = t.part.select(F.concat(F.lit("Item "), F.col("p_partkey").cast("string")).alias("label"))
-    return labels.orderBy(natural_key(F.col("label"))).limit(30)
+    """Turkish letters in their alphabet's order, numbers of 21 and 22 digits in theirs."""
+    key = F.col("p_partkey").cast("string")
+    digits = F.when(F.col("p_partkey") % 3 == 0, key).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("1"), F.lpad(key, 21, "0"))).otherwise(F.concat(F.lit("9"), F.lpad(key, 20, "0")))
+    word = F.element_at(F.array(*map(F.lit, WORDS)), (F.col("p_partkey") % 9 + 1).cast("int"))
+    labels = t.part.select(F.concat_ws(" ", word, digits).alias("label"))
+    return number_rows(labels, natural_key(F.col("label"))).select("row_no", "label")

@@ -151,6 +151,15 @@ def line_facts_cumulative(t: Tables) -> DataFrame:
     return K.line_facts(series, "x", "cumulative", cumulative=True).select("points", "from_x", "to_x", "to_value", "change")
 
 
+@query("line_facts_cumulative_covered", f"""
+    SELECT count(*) AS points, max(x) AS to_x, CAST(sum(CAST(y AS DECIMAL(18,2))) AS DOUBLE) AS to_value, true AS end_partial FROM {MONTHLY}""")
+def line_facts_cumulative_covered(t: Tables) -> DataFrame:
+    """A running total with data up to the 2nd of the last month still reports its last value."""
+    series = Q.cumulative(monthly(t).withColumn("y", F.col("y").cast("decimal(18,2)")), "x", "y")
+    ends = series.agg(F.min("x").alias("a"), F.max("x").alias("b")).first()
+    return K.line_facts(series, "x", "cumulative", cumulative=True, coverage=(f"{ends['a']}-01", f"{ends['b']}-02")).select("points", "to_x", "to_value", "end_partial")
+
+
 @query("incomplete_last", f"""
     SELECT arg_max(y, x) < 0.25 * (SELECT median(y) FROM {MONTHLY} WHERE x < (SELECT max(x) FROM {MONTHLY})) AS incomplete FROM {MONTHLY}""")
 def incomplete_last(t: Tables) -> DataFrame:

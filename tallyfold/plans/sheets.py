@@ -12,7 +12,6 @@ from tallyfold.plans.recovery import local_number
 from tallyfold.sources import delimited as D
 from tallyfold.sources import export as E
 from tallyfold.sources import workbook as W
-from tallyfold.session import spread
 
 HEADER = ["Sipariş No", "Müşteri Adı", "Durum", None, "Tutar (TL)", "Tutar (TL)", "2024", "Not 💰"]
 
@@ -29,7 +28,7 @@ def messy_sheets(t: Tables) -> DataFrame:
     order = _cells(key, F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")), F.col("o_orderstatus"), None, price, price,
                    F.col("o_orderpriority"), F.when(key % 50 == 0, "geç"))
     upper_header = _cells(*[h.upper() if h else None for h in HEADER])
-    orders = spread(t.orders).withColumn("file_id", F.date_format("o_orderdate", "yyyy-MM"))
+    orders = t.orders.withColumn("file_id", F.date_format("o_orderdate", "yyyy-MM"))
     body = orders.select("file_id", F.inline(F.filter(F.array(
         F.struct((key * 10).alias("row_idx"), order.alias("cells"), F.lit(True).alias("there")),
         F.struct((key * 10 + 1).alias("row_idx"), F.array().cast("array<string>").alias("cells"), (key % 97 == 0).alias("there")),
@@ -335,17 +334,18 @@ def formula_guard(t: Tables) -> DataFrame:
     risky = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("@"), F.col("text"))).otherwise(F.concat(F.lit("."), F.col("text")))
     safe = E.formula_guard(risky)
     plain = F.length(E.formula_guard(F.col("text"))).alias("chars")
-    return spread(t.documents).select("doc_id", plain, safe.startswith("'@").alias("guarded"))
+    return t.documents.select("doc_id", plain, safe.startswith("'@").alias("guarded"))
 
 
 @query("bounded_fetch", """
-    SELECT 'orders' AS source, least(count(*), 10000) AS fetched, count(*) > 10000 AS partial FROM orders
-    UNION ALL SELECT 'nation', count(*), false FROM nation""")
+    SELECT 'orders' AS source, count(*) AS fetched, max(o_orderkey) AS last, (SELECT count(*) FROM orders) > 10000 AS partial FROM (SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 10000)
+    UNION ALL SELECT 'nation', count(*), max(n_nationkey), false FROM nation""")
 def bounded_fetch(t: Tables) -> DataFrame:
-    def facts(df: DataFrame, name: str) -> DataFrame:
-        return E.bounded_fetch(df).groupBy("partial").agg(F.count("*").alias("fetched")).select(F.lit(name).alias("source"), "fetched", "partial")
+    def facts(df: DataFrame, name: str, key: str) -> DataFrame:
+        held = E.bounded_fetch(df, key).groupBy("partial").agg(F.count("*").alias("fetched"), F.max(key).cast("bigint").alias("last"))
+        return held.select(F.lit(name).alias("source"), "fetched", "last", "partial")
 
-    return facts(t.orders, "orders").unionByName(facts(t.nation, "nation"))
+    return facts(t.orders, "orders", "o_orderkey").unionByName(facts(t.nation, "nation", "n_nationkey"))
 
 
 @query("preview", """

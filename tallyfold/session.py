@@ -75,13 +75,3 @@ def settled(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan in fewer pieces than there are cores, dealt out to all of them.
-
-    For work that costs much more than reading. Only plain scans may be passed: counting their pieces
-    needs no job. A large table already has enough pieces and is left as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < min(cores, 64) else scan

@@ -13,7 +13,6 @@ SEPARATORS = {"tr": ";", "en": ","}
 DECIMALS = {"currency": 2, "percent": 2, "integer": 0, "number": 4, "text": 4, "date": 4, "month": 4}
 FORMULA_START = r"^[=+\-@\t\r]"
 MAX_RESULT_ROWS = 10_000
-MAX_EXPORT_ROWS = 1_000_000
 PREVIEW_ROWS = 20
 BYTE_ORDER_MARK = "﻿"
 # -----------------------------------------------------------------------------------------------------
@@ -26,8 +25,9 @@ def formula_guard(c: Column) -> Column:
 
 def number_text(c: Column, decimals: int, locale: str) -> Column:
     """At most ``decimals`` decimals, rounded half away from zero, no grouping, no trailing zeros."""
-    text = c.cast(f"decimal(38,{decimals})").cast("string")
-    short = F.regexp_replace(text, r"\.?0+\z", "") if decimals else text
+    # A number beyond the decimal type keeps its plain form instead of failing the export.
+    text = F.coalesce(c.try_cast(f"decimal(38,{decimals})").cast("string"), c.cast("string"))
+    short = F.when(text.contains("E"), text).otherwise(F.regexp_replace(text, r"\.?0+\z", "")) if decimals else text
     return F.replace(short, F.lit("."), F.lit(",")) if locale == "tr" else short
 
 
@@ -73,13 +73,13 @@ def export_typed(df: DataFrame, path: str, formats: dict[str, str] | None = None
     df.select(*[typed(f) for f in df.schema.fields]).write.mode("overwrite").parquet(path)
 
 
-def bounded_fetch(df: DataFrame, limit: int = MAX_RESULT_ROWS) -> DataFrame:
-    """The first ``limit`` rows with a flag that says whether there are more.
+def bounded_fetch(df: DataFrame, *order, limit: int = MAX_RESULT_ROWS) -> DataFrame:
+    """The first ``limit`` rows in the given order with a flag that says whether there are more.
 
     One row more than wanted is looked at; the full result is for the export, which has no limit here.
     """
     more = df.limit(limit + 1).agg((F.count("*") > limit).alias("partial")).scalar()
-    return df.limit(limit).withColumn("partial", more)
+    return df.orderBy(*order).limit(limit).withColumn("partial", more)
 
 
 def preview(df: DataFrame, *order) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyfold.functions.text import clean_cell
 from tallyfold.operators import tidy as T
 from tallyfold.plans.registry import Tables, query
+from tallyfold.session import scratch_path
 from tallyfold.plans.recovery import local_number
 from tallyfold.sources import delimited as D
 from tallyfold.sources import export as E
@@ -164,7 +165,9 @@ def file_texts(t: Tables) -> DataFrame:
     wide = _delimited(mark, key.cast("string"), F.concat(F.lit('"'), name, mark, F.lit(' ""şube"""')), balance, F.col("c_mktsegment"))
     first = _delimited(mark, key.cast("string"), F.concat(F.lit('"'), name))
     second = F.concat(F.lit('devamı"'), _delimited(mark, F.lit(""), balance, F.col("c_mktsegment")))
-    lines = F.when(twofold, F.array(first, second)).otherwise(F.array(wide))
+    # A quote inside a field is an ordinary character.
+    inches = _delimited(mark, key.cast("string"), F.concat(name, F.lit('" boy')), balance, F.col("c_mktsegment"))
+    lines = F.when(twofold, F.array(first, second)).when(key % 5 == 1, F.array(inches)).otherwise(F.array(wide))
     body = t.customer.select("c_nationkey", F.posexplode(lines).alias("i", "text"), (key * 2 + 2).alias("line")).select(
         "c_nationkey", (F.col("line") + F.col("i")).alias("line"), "text")
     head = t.customer.select("c_nationkey").distinct().select(
@@ -191,7 +194,7 @@ def file_lines(t: Tables) -> DataFrame:
 FILES = "(SELECT DISTINCT c_nationkey AS k, format('nation-{:02d}', c_nationkey) AS file_id FROM customer)"
 BALANCE = "CASE WHEN c_nationkey % 4 = 0 THEN format('{:.2f}', c_acctbal) ELSE replace(format('{:.2f}', c_acctbal), '.', ',') END"
 MARK = "[',', ';', chr(9), '|'][c_nationkey % 4 + 1]"
-RECORD = f"""c_custkey || '¦' || CASE WHEN c_custkey % 37 = 0 THEN c_name || chr(10) || 'devamı' ELSE c_name || {MARK} || ' "şube"' END
+RECORD = f"""c_custkey || '¦' || CASE WHEN c_custkey % 37 = 0 THEN c_name || chr(10) || 'devamı' WHEN c_custkey % 5 = 1 THEN c_name || '" boy' ELSE c_name || {MARK} || ' "şube"' END
     || '¦' || {BALANCE} || '¦' || c_mktsegment"""
 
 
@@ -202,7 +205,7 @@ def detect_encoding(t: Tables) -> DataFrame:
 
 @query("decode_files", f"""
     SELECT format('nation-{{:02d}}', c_nationkey) AS file_id, count(*) + count(*) FILTER (c_custkey % 37 = 0) + 1 AS lines,
-           count(*) FILTER (c_custkey % 37 <> 0) AS branches FROM customer GROUP BY 1""")
+           count(*) FILTER (c_custkey % 37 <> 0 AND c_custkey % 5 <> 1) AS branches FROM customer GROUP BY 1""")
 def decode_files(t: Tables) -> DataFrame:
     lines = file_lines(t)
     texts = D.decode_lines(lines, D.detect_encoding(lines))
@@ -220,10 +223,21 @@ def sniff_delimiter(t: Tables) -> DataFrame:
 def scan_text(t: Tables) -> DataFrame:
     """Records and fields of every file, quoted line breaks and separators included."""
     texts = file_texts(t).select("file_id", "at", "text")
-    rows = D.split_fields(D.join_quoted_lines(texts), D.sniff_delimiter(texts))
+    delimiters = D.sniff_delimiter(texts)
+    rows = D.split_fields(D.join_quoted_lines(texts, delimiters), delimiters)
     return rows.select("file_id", F.array_join("cells", "¦").alias("cells"))
 
 
+@query("read_delimited", """
+    SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || ' "a;b"' || chr(10) || 'c' AS note, c_mktsegment FROM customer""")
+def read_delimited(t: Tables) -> DataFrame:
+    """Files whose dialect is known, read by Spark's own scan; separators, quotes and line breaks inside fields."""
+    note = F.concat("c_name", F.lit(' "a;b"\nc'))
+    path = scratch_path(t.spark, "known-dialect")
+    t.customer.select(F.col("c_custkey").cast("string").alias("c_custkey"), note.alias("note"), "c_mktsegment").write.csv(path, header=True, sep=";", quote='"', escape='"')
+    return D.read_delimited(t.spark, path, ";")
+
+
 @query("ingest", f"SELECT format('nation-{{:02d}}', c_nationkey) AS file_id, {RECORD} AS cells FROM customer")
 def ingest(t: Tables) -> DataFrame:
     return D.ingest(file_lines(t)).rows.select("file_id", F.array_join("cells", "¦").alias("cells"))

@@ -47,10 +47,13 @@ def detect_encoding(lines: DataFrame) -> DataFrame:
 
     Every line is checked where it is; only the lines of a file's first 4096 bytes are brought together.
     """
+    # Line numbers rise within a piece of a file, so only lines of its first piece whose number is near the first one can begin in its first bytes.
+    first = F.min(F.struct("at.block", "at.line"))
+    begin = lines.groupBy("file_id").agg(first.alias("begin"))
+    near = lines.join(begin, "file_id").filter((F.col("at.block") == F.col("begin.block")) & (F.col("at.line") - F.col("begin.line") < SAMPLE_BYTES))
     order = Window.partitionBy("file_id").orderBy("at")
-    head = lines.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_BYTES)
     before = F.coalesce(F.sum(F.octet_length("raw") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    head = head.withColumn("start", before).filter(F.col("start") < SAMPLE_BYTES)
+    head = near.withColumn("n", F.row_number().over(order)).withColumn("start", before).filter(F.col("start") < SAMPLE_BYTES)
     head = head.withColumn("piece", F.substring("raw", F.lit(1), (SAMPLE_BYTES - F.col("start")).cast("int")))
     even_start = F.col("start") % 2 == 0
     odd_zeros = F.when(even_start, _zeros(F.col("piece"), True)).otherwise(_zeros(F.col("piece"), False))
@@ -73,47 +76,101 @@ def detect_encoding(lines: DataFrame) -> DataFrame:
     return sample.join(valid, "file_id").select("file_id", encoding.alias("encoding"))
 
 
-def _without_first(raw: Column) -> Column:
-    return F.substring(raw, F.lit(2), F.octet_length(raw))
+def _running(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``name``: the sum of ``value`` over the lines of the file before this one, summed per piece and carried over the pieces."""
+    marked = df.withColumn("block", F.col("at.block")).withColumn("step", value.cast("bigint"))
+    blocks_before = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marked.groupBy("file_id", "block").agg(F.sum("step").alias("step")).select("file_id", "block", F.coalesce(F.sum("step").over(blocks_before), F.lit(0)).alias("carried"))
+    inside = Window.partitionBy("file_id", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum("step").over(inside), F.lit(0))
+    return marked.withColumn("own", own).join(carried, ["file_id", "block"]).withColumn(name, F.col("own") + F.col("carried")).drop("own", "carried", "step", "block")
+
+
+def _whole_utf16_lines(lines: DataFrame) -> DataFrame:
+    """UTF-16 lines put together where a character, not a line end, holds the newline byte; the line end's other half is removed.
+
+    Whether a newline byte ends a line follows from its place in the file, odd or even, and from the byte beside it.
+    """
+    raw, size = F.col("raw"), F.octet_length("raw")
+    placed = _running(lines, size + 1, "start")
+    little = F.col("encoding") == "utf-16le"
+    starts = (F.col("start") == 0) | ((F.col("start") % 2 == 1) & (F.hex(F.substring(raw, 1, 1)) == "00"))
+    ends = ((F.col("start") + size) % 2 == 1) & (F.hex(F.substring(raw, -1, 1)) == "00")
+    # Little endian counts the lines that started up to here, big endian the lines that ended before.
+    counted = _running(placed.withColumn("starts", starts.cast("int")), F.when(little, F.col("starts")).otherwise(ends.cast("int")), "line_no")
+    named = counted.withColumn("line_no", F.when(little, F.col("line_no") + F.col("starts")).otherwise(F.col("line_no")))
+    whole = named.groupBy("file_id", "encoding", "line_no").agg(
+        F.min("at").alias("at"), F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "raw"))), lambda r: F.hex(r["raw"])), "0A")).alias("raw"))
+    odd = size % 2 == 1
+    cut = F.when(~odd, raw).when(little, F.substring(raw, F.lit(2), size)).otherwise(F.substring(raw, F.lit(1), size - 1))
+    return whole.select("file_id", "at", "encoding", cut.alias("raw"))
 
 
 def decode_lines(lines: DataFrame, encodings: DataFrame) -> DataFrame:
-    """``(file_id, at, text)``. UTF-16 lines were cut at the newline's byte: its other half is removed."""
-    raw = F.col("raw")
-    halved = F.octet_length(raw) % 2 == 1
-    zero_first = F.hex(F.substring(raw, 1, 1)) == "00"
-    zero_last = F.hex(F.substring(raw, -1, 1)) == "00"
-    broken = F.raise_error(F.lit("a character of this UTF-16 file holds a newline byte")).cast("string")
-    little = F.when(~halved, F.decode(raw, "UTF-16LE")).when(zero_first, F.decode(_without_first(raw), "UTF-16LE")).otherwise(broken)
-    shorter = F.substring(raw, F.lit(1), F.octet_length(raw) - 1)
-    big = F.when(~halved, F.decode(raw, "UTF-16BE")).when(zero_last, F.decode(shorter, "UTF-16BE")).otherwise(broken)
+    """``(file_id, at, text)`` of every line."""
+    raw, known = F.col("raw"), lines.join(encodings, "file_id").select("file_id", "at", "encoding", "raw")
+    wide = F.col("encoding").startswith("utf-16")
+    rows = known.filter(~wide)
+    if not encodings.filter(wide).isEmpty():
+        rows = rows.unionByName(_whole_utf16_lines(known.filter(wide)))
     text = (
-        F.when(F.col("encoding") == "utf-16le", little).when(F.col("encoding") == "utf-16be", big)
+        F.when(F.col("encoding") == "utf-16le", F.decode(raw, "UTF-16LE")).when(F.col("encoding") == "utf-16be", F.decode(raw, "UTF-16BE"))
         .when(F.col("encoding") == "windows-1254", F.decode(raw, "windows-1254")).otherwise(raw.cast("string"))
     )
     plain = F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\\z", "")
-    return lines.join(encodings, "file_id").select("file_id", "at", plain.alias("text"))
+    return rows.select("file_id", "at", plain.alias("text"))
 
 
 def _count_of(text: Column, mark: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
 
 
+def _quoting(text: Column, d: str) -> tuple[Column, Column]:
+    """Whether a quote is open after the line, if none was open before it and if one was.
+
+    A quote opens only at the start of a field; within it two quotes are one character, and a single one closes it.
+    """
+    mark = "\\" + d if d == "|" else d
+    inside, rest = r'(?:[^"]|"")*+', rf"[^{mark}]*+"
+    fields = rf'(?:(?:"{inside}"{rest}|[^"{mark}]{rest}|){mark})*+'
+    opens = rf'{fields}"{inside}\z'
+    return text.rlike("^" + opens), text.rlike(rf'^{inside}(?:\z|"{rest}{mark}{opens})')
+
+
+def _open_before(rows: DataFrame, keys: list[str], carried: Column | None = None) -> DataFrame:
+    """``opened``: whether a quote is open before the line; rows have at, after_closed, after_open.
+
+    A line either leaves the state as it is, sets it, or turns it: the state is that of the last line that set it, turned as often as
+    lines have turned it since.
+    """
+    before = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    sets = F.col("after_closed") == F.col("after_open")
+    turned = F.coalesce(F.sum(F.when(F.col("after_closed") & ~F.col("after_open"), 1).otherwise(0)).over(before), F.lit(0))
+    counted = rows.withColumn("turned", turned)
+    last = F.max(F.when(sets, F.struct("at", F.col("after_closed").cast("int").alias("state"), "turned"))).over(before)
+    state = F.coalesce(F.col("last.state"), carried.cast("int") if carried is not None else F.lit(0)) + F.col("turned") - F.coalesce(F.col("last.turned"), F.lit(0))
+    return counted.withColumn("last", last).withColumn("opened", state % 2 == 1).drop("last", "turned")
+
+
 def sniff_delimiter(texts: DataFrame) -> DataFrame:
     """``(file_id, delimiter)``: the mark under which most of the first lines agree on their field count."""
     order = Window.partitionBy("file_id").orderBy("at")
     head = texts.filter(F.trim("text") != "").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SNIFFED_LINES)
-    # Lines of one record are put together first; at most fifty lines of a file meet here.
-    so_far = F.coalesce(F.sum(_count_of(F.col("text"), '"')).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    marked = head.withColumn("starts", (so_far % 2 == 0).cast("int"))
-    numbered = marked.withColumn("record", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    records = numbered.groupBy("file_id", "record").agg(
+    # Lines of one record are put together under each mark; at most fifty lines of a file meet here.
+    each = head.select("file_id", "at", "text", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("place"), F.lit(d).alias("delimiter"), a.alias("after_closed"), b.alias("after_open"))
+        for i, d in enumerate(DELIMITERS) for a, b in [_quoting(F.col("text"), d)]])))
+    upto = Window.partitionBy("file_id", "place").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = _open_before(each, ["file_id", "place"]).withColumn("record", F.sum(F.when(F.col("opened"), 0).otherwise(1)).over(upto))
+    records = numbered.groupBy("file_id", "place", "delimiter", "record").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda r: r["text"]), "\n").alias("text")
     )
-    outside = F.regexp_replace("text", r'"[^"]*"', "")
-    fields = records.select("file_id", F.inline(F.array(*[
-        F.struct(F.lit(i).alias("place"), F.lit(d).alias("delimiter"), (_count_of(outside, d) + 1).alias("fields")) for i, d in enumerate(DELIMITERS)
-    ])))
+    count = F.lit(None).cast("int")
+    for d in DELIMITERS:
+        mark = "\\" + d if d == "|" else d
+        outside = F.regexp_replace("text", rf'(^|{mark})"(?:[^"]|"")*+"', "$1")
+        count = F.when(F.col("delimiter") == d, _count_of(outside, d) + 1).otherwise(count)
+    fields = records.select("file_id", "place", "delimiter", count.alias("fields"))
     tally = fields.groupBy("file_id", "place", "delimiter", "fields").agg(F.count("*").alias("agreeing"))
     modal = tally.groupBy("file_id", "place", "delimiter").agg(F.max(F.struct("agreeing", "fields")).alias("best"))
     usable = modal.filter(F.col("best.fields") >= 2).groupBy("file_id").agg(
@@ -123,30 +180,36 @@ def sniff_delimiter(texts: DataFrame) -> DataFrame:
     return files.join(usable, "file_id", "left").select("file_id", F.coalesce("delimiter", F.lit(DELIMITERS[0])).alias("delimiter"))
 
 
-def join_quoted_lines(texts: DataFrame) -> DataFrame:
-    """Records: lines belong together while a quote is open.
+def join_quoted_lines(texts: DataFrame, delimiters: DataFrame) -> DataFrame:
+    """Records: lines belong together while a quoted field is open.
 
-    Only files with an unbalanced line need it. Whether a quote is open is counted per piece of a
-    file and carried over the pieces, so that no file is walked by a single task.
+    Only files with a line that leaves a quote open need it. What a line does to the state is composed per piece of a file
+    and carried over the pieces, so that no file is walked by a single task.
     """
-    quotes = texts.withColumn("quotes", _count_of(F.col("text"), '"')).withColumn("block", F.col("at.block"))
-    # One row per piece of a file; settled, because several steps read it.
-    per_block = settled(quotes.groupBy("file_id", "block").agg(
-        F.sum("quotes").alias("in_block"), F.bool_or(F.col("quotes") % 2 == 1).alias("odd")
-    ))
-    open_files = per_block.filter("odd").select("file_id").distinct()
+    known = texts.join(delimiters, "file_id", "left").withColumn("delimiter", F.coalesce("delimiter", F.lit(DELIMITERS[0])))
+    after_closed, after_open = F.lit(False), F.lit(True)
+    for d in DELIMITERS:
+        closed, opened = _quoting(F.col("text"), d)
+        this = (F.col("delimiter") == d) & F.contains("text", F.lit('"'))
+        after_closed, after_open = F.when(this, closed).otherwise(after_closed), F.when(this, opened).otherwise(after_open)
+    lines = known.select("file_id", "at", "text", after_closed.alias("after_closed"), after_open.alias("after_open"), F.col("at.block").alias("block"))
+    open_files = settled(lines.filter("after_closed").select("file_id").distinct())
     if open_files.isEmpty():
         return texts
     simple = texts.join(open_files, "file_id", "left_anti")
-    broken = quotes.join(open_files, "file_id", "left_semi")
-    blocks_before = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_block.select("file_id", "block", F.coalesce(F.sum("in_block").over(blocks_before), F.lit(0)).alias("carried"))
-    in_block = Window.partitionBy("file_id", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    placed = broken.join(carried, ["file_id", "block"]).withColumn(
-        "opened", (F.col("carried") + F.coalesce(F.sum("quotes").over(in_block), F.lit(0))) % 2
-    )
+    broken = lines.join(open_files, "file_id", "left_semi")
+    # What a whole piece does to the state: its last line, met with the quote closed and open before the piece.
+    last = F.struct("at", F.when(F.col("opened"), F.col("after_open")).otherwise(F.col("after_closed")).alias("after"))
+    piece = None
+    for name, before in (("after_closed", False), ("after_open", True)):
+        ends = _open_before(broken, ["file_id", "block"], F.lit(before)).groupBy("file_id", "block").agg(F.max(last).getField("after").alias(f"piece_{name}"))
+        piece = ends if piece is None else piece.join(ends, ["file_id", "block"])
+    pieces = settled(piece.select("file_id", "block", F.col("block").alias("at"), F.col("piece_after_closed").alias("after_closed"), F.col("piece_after_open").alias("after_open")))
+    carried = _open_before(pieces, ["file_id"]).select("file_id", "block", F.col("opened").alias("carried"))
+    placed = _open_before(broken.join(carried, ["file_id", "block"]), ["file_id", "block"], F.col("carried"))
     # A line starts a record when no quote is open before it; a record is named by its first line.
-    started = placed.withColumn("start", F.when(F.col("opened") == 0, F.col("at")))
+    started = placed.withColumn("start", F.when(~F.col("opened"), F.col("at")))
+    blocks_before = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     last_in_block = started.groupBy("file_id", "block").agg(F.max("start").alias("latest"))
     earlier = last_in_block.select("file_id", "block", F.max("latest").over(blocks_before).alias("earlier"))
     upto = Window.partitionBy("file_id", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
@@ -161,7 +224,7 @@ def _fields(text: Column, d: str) -> Column:
     mark = "\\" + d if d == "|" else d
     plain = F.split(text, mark, -1)
     pieces = F.regexp_extract_all(
-        F.concat(F.lit(d), text), F.lit(rf'{mark}("(?:[^"]|"")*"(?={mark}|\z)|[^{mark}]*)'), F.lit(1)
+        F.concat(F.lit(d), text), F.lit(rf'{mark}("(?:[^"]|"")*+"(?={mark}|\z)|[^{mark}]*)'), F.lit(1)
     )
     bare = F.transform(
         pieces,
@@ -188,6 +251,6 @@ def ingest(lines: DataFrame) -> T.Tidied:
     texts = decode_lines(lines, encodings)
     delimiters = settled(sniff_delimiter(texts))
     # The tidying reads the cells several times: they are written once, the small facts too.
-    done = T.tidy(settled(split_fields(join_quoted_lines(texts), delimiters)))
+    done = T.tidy(settled(split_fields(join_quoted_lines(texts, delimiters), delimiters)))
     report = done.report.join(encodings, "file_id").join(delimiters, "file_id", "left")
     return T.Tidied(done.rows, done.headers, report)

@@ -7,9 +7,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyfold.functions.text import natural_key
 from tallyfold.operators import facts as K
 from tallyfold.operators import joins as J
 from tallyfold.operators import overview as O
+from tallyfold.operators import profile as P
 from tallyfold.operators import quantiles as Z
 from tallyfold.operators import query as Q
 from tallyfold.operators import shape as S
@@ -18,76 +20,116 @@ from tallyfold.streaming import metering as M
 
 
 def test_series_pivot(spark):
-    df = spark.createDataFrame([("2026-01", "Giyim", 10.0), ("2026-01", "Elektronik", 50.0), ("2026-02", "Elektronik", 70.0)], "x string, s string, y double")
+    """The series with the larger sum stands first; a missing point is null."""
+    df = spark.createDataFrame([("q1", "rail", 3.0), ("q1", "road", 8.0), ("q2", "road", 6.5), ("q3", "rail", 1.0)], "x string, s string, y double")
     out = S.series_pivot(df, "x", "s", "y")
-    assert [f.metadata["comment"] for f in out.schema.fields[1:]] == ["Elektronik", "Giyim"]
-    assert [tuple(r) for r in out.collect()] == [("2026-01", 50.0, 10.0), ("2026-02", 70.0, None)]
-    many = spark.range(9).select(F.lit("a").alias("x"), F.col("id").cast("string").alias("s"), F.lit(1.0).alias("y"))
+    assert [f.metadata["comment"] for f in out.schema.fields[1:]] == ["road", "rail"]
+    assert [tuple(r) for r in out.collect()] == [("q1", 8.0, 3.0), ("q2", 6.5, None), ("q3", None, 1.0)]
+    many = spark.range(12).select(F.lit("q").alias("x"), F.col("id").cast("string").alias("s"), F.lit(2.0).alias("y"))
     with pytest.raises(S.TooManySeries):
         S.series_pivot(many, "x", "s", "y")
 
 
 def test_fold_other(spark):
-    df = spark.createDataFrame([(f"c{i}", 10 - i) for i in range(10)], "k string, v int")
+    sizes = [2 ** i for i in range(9)]
+    df = spark.createDataFrame([(f"n{i}", v) for i, v in enumerate(sizes)], "k string, v int")
     out = {r["name"]: r["value"] for r in S.fold_other(df, "k", "v").collect()}
-    assert len(out) == 7 and out["Diğer"] == 10 and sum(out.values()) == 55
-    assert S.fold_other(df.withColumn("v", F.col("v") - 2), "k", "v").count() == 0
-    assert S.fold_other(df.withColumn("k", F.lit("same")), "k", "v").count() == 0
+    assert len(out) == 7 and out["Diğer"] == sum(sizes[:3]) and sum(out.values()) == sum(sizes)
+    assert S.fold_other(df.withColumn("v", F.col("v") - 3), "k", "v").count() == 0
+    assert S.fold_other(df.withColumn("k", F.lit("one")), "k", "v").count() == 0
 
 
 def test_totals_and_views(spark):
-    df = spark.range(600).select(F.concat(F.lit("u"), "id").alias("k"), F.lit(0.1).alias("v"))
-    assert S.table_totals(df, ["v"]).first()["total"] == 60.0
+    df = spark.range(750).select(F.concat(F.lit("r"), "id").alias("k"), F.lit(0.7).alias("v"))
+    assert S.table_totals(df, ["v"]).first()["total"] == 525.0
     assert S.table_totals(df.limit(1), ["v"]).count() == 0 and S.table_totals(df, ["v"], complete=False).count() == 0
-    long_line = spark.range(2500).select(F.concat(F.lit("2026-01-"), F.lpad("id", 5, "0")).alias("x"), F.col("id").cast("double").alias("y"))
-    flags = S.valid_views(long_line).first()
+    days = spark.range(S.MAX_LINE_POINTS + 1).select(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("x"), F.col("id").cast("double").alias("y"))
+    flags = S.valid_views(days).first()
     assert not flags["line"] and flags["default_view"] == "table"
     assert S.valid_views(df, ["v"], partial=True).first()["default_view"] == "table"
 
 
+def months(values, year=2018):
+    return [(f"{year}-{i + 1:02d}", float(v)) for i, v in enumerate(values)]
+
+
 def test_line_facts_with_coverage(spark):
-    df = spark.createDataFrame([(f"2026-0{i + 1}", v) for i, v in enumerate([500.0, 560.0, 580.0, 700.0])], "x string, y double")
-    cut = K.line_facts(df, "x", "y", coverage=("2026-01-01", "2026-04-24")).first()
-    assert (cut["from_x"], cut["to_x"], round(cut["change"], 2), cut["end_partial"]) == ("2026-01", "2026-03", 0.16, True)
-    whole = K.line_facts(df, "x", "y", coverage=("2026-01-01", "2026-04-30")).first()
-    assert whole["to_x"] == "2026-04" and not whole["end_partial"]
-    late = spark.createDataFrame([("2025-09", 100.0), ("2025-10", 110.0), ("2025-11", 120.0), ("2025-12", 3.0)], "x string, y double")
-    facts = K.line_facts(late, "x", "y").first()
-    assert facts["incomplete_last"] and facts["to_x"] == "2025-11" and math.isclose(facts["change"], 0.2)
-    zero = spark.createDataFrame([("a", 0.0), ("b", 5.0)], "x string, y double")
-    assert K.line_facts(zero, "x", "y").first()["change"] is None
+    df = spark.createDataFrame(months([80, 90, 60, 100, 40]), "x string, y double")
+    cut = K.line_facts(df, "x", "y", coverage=("2018-01-01", "2018-05-11")).first()
+    assert (cut["from_x"], cut["to_x"], cut["change"], cut["end_partial"], cut["peak_x"]) == ("2018-01", "2018-04", 0.25, True, "2018-04")
+    both = K.line_facts(df, "x", "y", coverage=("2018-01-09", "2018-05-11")).first()
+    assert (both["from_x"], both["start_partial"]) == ("2018-02", True)
+    whole = K.line_facts(df, "x", "y", coverage=("2018-01-01", "2018-05-31")).first()
+    assert whole["to_x"] == "2018-05" and whole["change"] == -0.5 and not whole["end_partial"]
+    fallen = K.line_facts(spark.createDataFrame(months([40, 44, 50, 1]), "x string, y double"), "x", "y").first()
+    assert fallen["incomplete_last"] and fallen["to_x"] == "2018-03" and math.isclose(fallen["change"], 0.25)
+    flat = spark.createDataFrame(months([0, 7]), "x string, y double")
+    assert K.line_facts(flat, "x", "y").first()["change"] is None
+    assert K.line_facts(flat.limit(1), "x", "y").first()["points"] == 1 and K.line_facts(flat.filter("false"), "x", "y").count() == 0
+
+
+def test_running_total_reports_its_last_value(spark):
+    df = spark.createDataFrame(months([5, 9, 14]), "x string, y double")
+    got = K.line_facts(df, "x", "y", cumulative=True, coverage=("2018-01-01", "2018-03-08")).first()
+    assert (got["to_x"], got["to_value"], got["end_partial"], got["change"]) == ("2018-03", 14.0, True, None)
+
+
+def test_lines_of_any_length_have_facts(spark):
+    df = spark.range(5000).select(F.format_string("p%05d", "id").alias("x"), (500 + F.col("id") % 977).cast("double").alias("y"))
+    got = K.line_facts(df, "x", "y").first()
+    assert (got["points"], got["from_x"], got["to_x"], got["peak_x"], got["peak_value"]) == (5000, "p00000", "p04999", "p00976", 1476.0)
+
+
+def test_wide_tables_are_profiled_whole(spark):
+    wide = spark.range(3).select(*[F.col("id").cast("string").alias(f"c{i}") for i in range(120)], F.lit("2018-04-05").cast("date").alias("day"))
+    assert P.filled(wide).count() == 121 and P.coverage(wide).count() == 1
+    assert P.top_values(wide).select("column").distinct().count() == 120
 
 
 def test_bar_facts(spark):
-    df = spark.createDataFrame([("Konya", 100.0), ("İstanbul", 250.0)], "k string, v double")
+    df = spark.createDataFrame([("Ordu", 30.0), ("Gediz", 48.0), ("Foça", 36.0)], "k string, v double")
     f = K.bar_facts(df, "k", "v").first()
-    assert (f["max_x"], f["min_x"], f["difference"], f["total"]) == ("İstanbul", "Konya", 1.5, None)
-    zero = spark.createDataFrame([("A", 0.0), ("B", 10.0)], "k string, v double")
-    assert K.bar_facts(zero, "k", "v").first()["difference"] is None
+    assert (f["max_x"], f["min_x"], f["difference"], f["total"]) == ("Gediz", "Ordu", 0.6, None)
+    assert K.bar_facts(df.withColumn("v", F.col("v") - 30), "k", "v").first()["difference"] is None
 
 
 def test_precise_and_strict_sums(spark):
-    tenths = spark.range(10_000).select(F.lit(0.1).alias("v"))
-    assert tenths.agg(Q.precise_sum(F.col("v"))).first()[0] == 1000.0
-    far = spark.createDataFrame([(1e16,), (1.0,), (-1e16,)], "v double")
-    assert far.agg(Q.precise_sum(F.col("v"))).first()[0] == 1.0
-    mixed = spark.createDataFrame([("1.5",), ("x",)], "v string")
+    def total(*values):
+        return spark.createDataFrame([(v,) for v in values], "v double").agg(Q.precise_sum(F.col("v"))).first()[0]
+
+    assert spark.range(7_000).select(F.lit(0.3).alias("v")).agg(Q.precise_sum(F.col("v"))).first()[0] == 2100.0
+    assert total(4e15, 0.25, -4e15) == 0.25 and total(3e18, 2.0, -3e18) == 2.0 and total(1e30, 2.0, -1e30) == 2.0
+    assert total(1e30) == 1e30 and total(None) is None and math.isnan(total(1.0, math.nan)) and total(5.0, math.inf) == math.inf
+    mixed = spark.createDataFrame([("8.25",), ("eight",)], "v string")
     with pytest.raises(Exception, match="not a number"):
         mixed.agg(F.sum(Q.strict_number(F.col("v")))).collect()
 
 
+def test_natural_order(spark):
+    names = ["ek 10", "ek 9", "ek 009", "çam 2", "cam 30", "ılgın", "ilgi", "ek " + "8" * 22, "ek " + "9" * 21, "dal"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r["n"] for r in df.orderBy(natural_key(F.col("n")), "n").collect()]
+    assert got == ["cam 30", "çam 2", "dal", "ek 009", "ek 9", "ek 10", "ek " + "9" * 21, "ek " + "8" * 22, "ılgın", "ilgi"]
+
+
+def test_stems_match_through_ligatures(spark):
+    df = spark.createDataFrame([("Oﬃce ĳs",), ("Of fice",), ("Ofis",)], "t string")
+    assert [r[0] for r in df.select(Q.contains_stem(F.col("t"), "oﬃce ĳ")).collect()] == [True, False, False]
+    assert [r[0] for r in df.select(Q.contains_stem(F.col("t"), "office")).collect()] == [True, False, False]
+
+
 def test_refusals(spark):
-    sales = spark.createDataFrame([("İzmir", 1)], "sehir string, tutar int")
-    staff = spark.createDataFrame([("Ali", 1)], "ad string, maas int")
-    targets = spark.createDataFrame([("İzmir", 5), ("İzmir", 6)], "sehir string, hedef_tl int")
+    sales = spark.createDataFrame([("Ordu", 4)], "depo string, ton int")
+    staff = spark.createDataFrame([("Ece", 9)], "isim string, yas int")
+    plans = spark.createDataFrame([("Ordu", 30), ("Ordu", 12)], "depo string, hedef_ton int")
     with pytest.raises(J.NoSharedKey):
         J.safe_join(sales, staff)
-    row = J.safe_join(sales, targets, None, [F.sum("tutar").alias("t")], [F.sum("hedef_tl").alias("h")]).first()
-    assert (row["t"], row["h"]) == (1, 11)
+    row = J.safe_join(sales, plans, None, [F.sum("ton").alias("t")], [F.sum("hedef_ton").alias("h")]).first()
+    assert (row["t"], row["h"]) == (4, 42)
     with pytest.raises(Q.MissingColumn):
-        Q.require_columns(sales, "memnuniyet")
+        Q.require_columns(sales, "raf")
     with pytest.raises(Q.DuplicateColumn):
-        Q.project(sales, [("a", F.col("sehir")), ("a", F.col("tutar"))])
+        Q.project(sales, [("z", F.col("depo")), ("z", F.col("ton"))])
 
 
 @pytest.mark.parametrize("keep", [50, 1_000_000])
@@ -104,15 +146,15 @@ def test_exact_quantiles(spark, keep):
 
 
 def test_outliers_and_text_only(spark):
-    rows = [("a" if i % 2 else "b", 100 + i % 10) for i in range(200)] + [("a", 250_000), ("b", -40)]
-    df = spark.createDataFrame(rows, "sube string, tutar int")
+    rows = [(("kuzey", "güney", "doğu")[i % 3], 40 + i * 7 % 13) for i in range(300)] + [("doğu", 9_000), ("kuzey", -6)]
+    df = spark.createDataFrame(rows, "depo string, tutar int")
     found = {r["kind"]: r for r in O.overview(df).collect()}
-    assert found["outliers"]["rows"] == 1 and found["outliers"]["amount"] == 250_000
+    assert found["outliers"]["rows"] == 1 and found["outliers"]["amount"] == 9_000
     assert found["negatives"]["rows"] == 1 and "top" not in found
-    text = spark.createDataFrame([("İzmir", "çay"), ("İzmir", "su"), ("Ankara", "çay")], "sehir string, urun string")
+    text = spark.createDataFrame([("raf", "pul"), ("raf", "vida"), ("kasa", "vida"), ("raf", "çivi")], "yer string, kalem string")
     rows = O.overview(text).collect()
-    assert rows[0]["kind"] == "total" and rows[0]["rows"] == 3 and rows[0]["subject"] is None
-    assert rows[1]["value"] == "İzmir" and rows[1]["amount"] == 2
+    assert rows[0]["kind"] == "total" and rows[0]["rows"] == 4 and rows[0]["subject"] is None
+    assert rows[1]["value"] == "raf" and rows[1]["amount"] == 3
 
 
 def test_month_spike(spark):
@@ -141,14 +183,16 @@ def test_sliding_limit_against_brute_force(spark):
 
 
 def test_export(spark, tmp_path):
-    df = spark.createDataFrame([("=HYPERLINK(1)", 1234567.891, -450.5), ("a;b", 2.0, None)], "t string, m double, n double")
+    df = spark.createDataFrame([("+SUM(B1)", 80412.3456, -7.25), ("x;y", 3.0, None), ("büyük", 1e40, 0.5)], "t string, m double, n double")
     rows = [tuple(r) for r in E.export_format(df, {"m": "currency"}).collect()]
-    assert rows == [("'=HYPERLINK(1)", "1234567,89", "-450,5"), ("a;b", "2", None)]
-    E.export_csv(df.coalesce(1), str(tmp_path / "out"), {"m": "currency"}, {"t": "Metin", "m": "Tutar", "n": "Sayı"})
+    assert rows == [("'+SUM(B1)", "80412,35", "-7,25"), ("x;y", "3", None), ("büyük", "1,0E40", "0,5")]
+    E.export_csv(df.limit(2).coalesce(1), str(tmp_path / "out"), {"m": "currency"}, {"t": "Not", "m": "Bedel", "n": "Fark"})
     text = next((tmp_path / "out").glob("*.csv")).read_bytes().decode("utf-8")
-    assert text == "﻿Metin;Tutar;Sayı\r\n'=HYPERLINK(1);1234567,89;-450,5\r\n\"a;b\";2;\r\n"
-    E.export_typed(spark.createDataFrame([("2025-01-05", 1)], "d string, n int"), str(tmp_path / "typed"), {"d": "date"})
+    assert text == "\ufeffNot;Bedel;Fark\r\n'+SUM(B1);80412,35;-7,25\r\n\"x;y\";3;\r\n"
+    E.export_typed(spark.createDataFrame([("2018-04-05", 1)], "d string, n int"), str(tmp_path / "typed"), {"d": "date"})
     assert dict(spark.read.parquet(str(tmp_path / "typed")).dtypes) == {"d": "timestamp_ntz", "n": "int"}
+    first = E.bounded_fetch(spark.range(50), F.desc("id"), limit=3).collect()
+    assert [(r["id"], r["partial"]) for r in first] == [(49, True), (48, True), (47, True)]
 
 
 def test_page_rows(spark):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from tallyfold.functions.text import fold_python, fold_text, header_like, value_like
-from tallyfold.session import settled
+from tallyfold.session import stored
 
 # ---- fixed values: limits and labels ------------------------------------------------------------------
 HEADER_SCAN_ROWS = 15
@@ -29,6 +29,7 @@ TOTAL_LABELS = [
     "total", "totals", "grand total", "sub total", "subtotal", "sum", "average", "avg", "mean",
 ]
 NAME_LENGTH = 60
+LABEL_LENGTH = 40
 GENERATED_PREFIX = "col"
 # -------------------------------------------------------------------------------------------------------
 
@@ -70,16 +71,20 @@ def row_key(cells: Column) -> Column:
 
 
 def total_label(cells: Column) -> Column:
-    """The label of a summary row: a total or average word alone, every other filled cell a value."""
+    """The label of a summary row: a total or average word alone, every other filled cell a value.
+
+    Only a short first cell with a letter can be such a word; the others are not folded.
+    """
     present = present_cells(cells)
     first = F.get(present, F.lit(0))
+    likely = (F.length(first) <= LABEL_LENGTH) & first.rlike(r"\p{L}")
     word = F.regexp_replace(F.regexp_replace(fold_text(first), r"[:.\s]+\z", ""), r"\s+", " ")
     others = F.slice(present, F.lit(2), F.greatest(F.size(present), F.lit(1)))
-    return F.when(word.isin(TOTAL_LABELS), F.when(F.forall(others, value_like), first))
+    return F.when(likely, F.when(word.isin(TOTAL_LABELS), F.when(F.forall(others, value_like), first)))
 
 
 def detect_header(rows: DataFrame) -> DataFrame:
-    """``(file_id, width, header_pos, header)``: position (from 1) and cells of the header row.
+    """``(file_id, width, header_pos, header_idx, header)``: position (from 1), place and cells of the header row.
 
     Among the first rows the header is wide, textual and unique, and rows of similar width follow it.
     Without such a row ``header_pos`` is 0 and the header holds nulls.
@@ -103,7 +108,7 @@ def detect_header(rows: DataFrame) -> DataFrame:
     score = F.when(possible, F.col("filled") / F.col("width") * textual * unique * follows)
     ranked = head.withColumn("score", score).groupBy("file_id").agg(
         F.max("width").alias("width"),
-        F.array_sort(F.collect_list(F.struct("pos", "score", "cells"))).alias("rows"),
+        F.array_sort(F.collect_list(F.struct("pos", "score", "row_idx", "cells"))).alias("rows"),
     )
     start = F.struct(F.lit(0).alias("pos"), F.lit(0.0).alias("score"))
     best = F.aggregate(
@@ -117,10 +122,10 @@ def detect_header(rows: DataFrame) -> DataFrame:
         "header_pos", F.when(F.col("best.score") >= MIN_HEADER_SCORE, F.col("best.pos")).otherwise(0)
     )
     nothing = F.array_repeat(F.lit(None).cast("string"), F.col("width"))
-    found = F.get(F.col("rows"), F.col("header_pos") - 1)["cells"]
+    line = F.get(F.col("rows"), F.col("header_pos") - 1)
     return ranked.select(
-        "file_id", "width", "header_pos",
-        F.when(F.col("header_pos") > 0, found).otherwise(nothing).alias("header"),
+        "file_id", "width", "header_pos", F.when(F.col("header_pos") > 0, line["row_idx"]).alias("header_idx"),
+        F.when(F.col("header_pos") > 0, line["cells"]).otherwise(nothing).alias("header"),
     )
 
 
@@ -128,29 +133,24 @@ def _with_files(rows: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(files, "file_id")
 
 
-def _header_rows(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """The header's ``row_idx`` per file, looked up among the first rows."""
-    by_file = Window.partitionBy("file_id").orderBy("row_idx")
-    head = rows.select("file_id", "row_idx", F.row_number().over(by_file).alias("pos")).filter(F.col("pos") <= HEADER_SCAN_ROWS)
-    return files.join(head, ["file_id"], "left").groupBy("file_id").agg(
-        F.max(F.when(F.col("pos") == F.col("header_pos"), F.col("row_idx"))).alias("header_idx")
-    )
-
-
 def classify_rows(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Rows below the header, padded, each with its fate: ``empty``, ``total``, ``repeat`` or ``data``."""
-    info = files.join(_header_rows(rows, files), "file_id").withColumn(
-        "header_key", F.when(F.col("header_pos") > 0, row_key(F.col("header")))
-    )
-    below = rows.join(info.select("file_id", "width", "header_idx", "header_key"), "file_id").filter(
+    named = F.col("header_pos") > 0
+    info = files.select("file_id", "width", "header_idx", F.when(named, row_key(F.col("header"))).alias("header_key"),
+                        F.when(named, filled_count(F.col("header"))).alias("header_filled"),
+                        F.when(named, fold_text(F.get(present_cells(F.col("header")), F.lit(0)))).alias("header_first"))
+    below = rows.join(info, "file_id").filter(
         F.col("header_idx").isNull() | (F.col("row_idx") > F.col("header_idx"))
     )
     below = below.withColumn("cells", padded(F.col("cells"), F.col("width")))
-    labelled = below.withColumn("label", total_label(F.col("cells")))
+    labelled = below.withColumn("label", total_label(F.col("cells"))).withColumn("filled", filled_count(F.col("cells")))
+    # A repeated header is rare: its number of filled cells and its first cell are compared before whole rows are folded.
+    first = F.get(present_cells(F.col("cells")), F.lit(0))
+    alike = F.when(F.col("filled") == F.col("header_filled"), F.when(fold_text(first) == F.col("header_first"), row_key(F.col("cells")) == F.col("header_key")))
     fate = (
-        F.when(filled_count(F.col("cells")) == 0, "empty")
+        F.when(F.col("filled") == 0, "empty")
         .when(F.col("label").isNotNull(), "total")
-        .when(F.col("header_key").isNotNull() & (row_key(F.col("cells")) == F.col("header_key")), "repeat")
+        .when(F.coalesce(alike, F.lit(False)), "repeat")
         .otherwise("data")
     )
     return labelled.withColumn("fate", fate).select("file_id", "row_idx", "cells", "label", "fate")
@@ -174,8 +174,11 @@ def kept_columns(data: DataFrame, files: DataFrame) -> DataFrame:
     A column without any value is dropped, and one without a name that is more than 90 % empty; a
     named sparse column is real data.
     """
-    counts = data.select("file_id", F.posexplode("cells").alias("c", "v")).groupBy("file_id", "c").agg(
-        F.count("v").alias("values"), F.count("*").alias("rows")
+    # Rows of a file are filled in a few patterns; those are counted, and only the patterns are laid out by column.
+    pattern = F.array_join(F.transform("cells", lambda c: F.when(c.isNull(), "0").otherwise("1")), "")
+    patterns = data.groupBy("file_id", pattern.alias("pattern")).agg(F.count("*").alias("n"))
+    counts = patterns.select("file_id", "n", F.posexplode(F.filter(F.split("pattern", ""), lambda p: p != "")).alias("c", "p")).groupBy("file_id", "c").agg(
+        F.sum(F.when(F.col("p") == "1", F.col("n")).otherwise(0)).alias("values"), F.sum("n").alias("rows")
     )
     columns = files.select("file_id", F.posexplode("header").alias("c", "name")).join(counts, ["file_id", "c"], "left")
     rows, values = F.coalesce("rows", F.lit(0)), F.coalesce("values", F.lit(0))
@@ -252,13 +255,13 @@ class Tidied:
 def tidy(rows: DataFrame) -> Tidied:
     """Header found; blank rows, totals, repeated headers and ghosts removed; nothing invented or altered.
 
-    The two small tables of facts (one row per file) are settled, so the rows are read once for each of
-    them and once for the result, however the result is used.
+    Facts (one row per file) and the rows with their fate are written once; the kept columns, the result and the report read the
+    written rows, however often they are used.
     """
-    files = settled(detect_header(rows))
-    fates = classify_rows(rows, files)
+    files = stored(detect_header(rows), "headers")
+    fates = stored(classify_rows(rows, files), "fates")
     data = fates.filter(F.col("fate") == "data").select("file_id", "row_idx", "cells")
-    kept = settled(kept_columns(data, files))
+    kept = stored(kept_columns(data, files), "kept-columns")
     picked = _with_files(data, kept.select("file_id", "kept")).withColumn("cells", pick_cells(F.col("cells"), F.col("kept"))).drop("kept")
     out = drop_ghost_rows(picked)
     names = files.join(kept, "file_id").withColumn("raw", pick_cells(F.col("header"), F.col("kept"))).withColumn("names", safe_names("raw"))

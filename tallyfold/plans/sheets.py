@@ -81,7 +81,7 @@ def pad_rows(t: Tables) -> DataFrame:
 
 @query("detect_header", f"SELECT DISTINCT {FILE}, 8 AS width, 3 AS header_pos, '{HEAD_TEXT}' AS header FROM orders")
 def detect_header(t: Tables) -> DataFrame:
-    return T.detect_header(messy_sheets(t)).withColumn("header", F.array_join("header", "|", "∅"))
+    return T.detect_header(messy_sheets(t)).drop("header_idx").withColumn("header", F.array_join("header", "|", "∅"))
 
 
 @query("drop_empty_rows", _parts(TOTALS, REPEATS, f"""SELECT DISTINCT {FILE}, 'Sales report|∅|∅|∅|∅|∅|∅|∅' AS cells FROM orders

@@ -34,6 +34,17 @@ def sliding_limit(t: Tables) -> DataFrame:
     return M.sliding_limit(t.events, "user_id", "ts", "event_id", LIMIT, SECONDS, slice_seconds=4 * SECONDS)
 
 
+HOT = "CASE WHEN event_id % 2 = 0 THEN 0 ELSE user_id END"
+
+
+@query("sliding_limit_hot", SLIDING.replace("SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events",
+    f"SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM (SELECT event_id, ts, {HOT} AS user_id FROM events)"))
+def sliding_limit_hot(t: Tables) -> DataFrame:
+    """Half of all events belong to one key, which is never below its limit."""
+    events = t.events.withColumn("user_id", F.when(F.col("event_id") % 2 == 0, F.lit(0).cast("bigint")).otherwise(F.col("user_id")))
+    return M.sliding_limit(events, "user_id", "ts", "event_id", LIMIT, SECONDS, slice_seconds=SECONDS)
+
+
 @query("sliding_limit_stream", SLIDING)
 def sliding_limit_stream(t: Tables) -> DataFrame:
     stream = L.read_table_stream(t.spark, t.folder, "events")

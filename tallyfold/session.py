@@ -67,6 +67,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a parquet table in the shared folder, read back.
+
+    Unlike a checkpoint it has the sizes of what was written, so the planner sees that facts are small before it moves the
+    rows they are joined with, and columns that a step does not need are not read.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 

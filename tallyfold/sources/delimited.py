@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions.text import clean_cell
 from tallyfold.operators import tidy as T
-from tallyfold.session import settled
+from tallyfold.session import settled, stored
 
 # ---- fixed values ---------------------------------------------------------------------------------------
 DELIMITERS = [",", ";", "\t", "|"]
@@ -193,7 +193,7 @@ def join_quoted_lines(texts: DataFrame, delimiters: DataFrame) -> DataFrame:
         this = (F.col("delimiter") == d) & F.contains("text", F.lit('"'))
         after_closed, after_open = F.when(this, closed).otherwise(after_closed), F.when(this, opened).otherwise(after_open)
     lines = known.select("file_id", "at", "text", after_closed.alias("after_closed"), after_open.alias("after_open"), F.col("at.block").alias("block"))
-    open_files = settled(lines.filter("after_closed").select("file_id").distinct())
+    open_files = stored(lines.filter("after_closed").select("file_id").distinct(), "open-files")
     if open_files.isEmpty():
         return texts
     simple = texts.join(open_files, "file_id", "left_anti")
@@ -247,10 +247,10 @@ def split_fields(texts: DataFrame, delimiters: DataFrame) -> DataFrame:
 
 def ingest(lines: DataFrame) -> T.Tidied:
     """Raw lines to tidy rows: encoding, dialect, records, fields, then the tidying."""
-    encodings = settled(detect_encoding(lines))
+    encodings = stored(detect_encoding(lines), "encodings")
     texts = decode_lines(lines, encodings)
-    delimiters = settled(sniff_delimiter(texts))
+    delimiters = stored(sniff_delimiter(texts), "delimiters")
     # The tidying reads the cells several times: they are written once, the small facts too.
-    done = T.tidy(settled(split_fields(join_quoted_lines(texts, delimiters), delimiters)))
+    done = T.tidy(stored(split_fields(join_quoted_lines(texts, delimiters), delimiters), "cells"))
     report = done.report.join(encodings, "file_id").join(delimiters, "file_id", "left")
     return T.Tidied(done.rows, done.headers, report)

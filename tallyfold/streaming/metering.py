@@ -8,12 +8,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.session import settled
+from tallyfold.session import stored
 
 # ---- fixed values --------------------------------------------------------------------------------
 SLIDING_LIMIT, SLIDING_SECONDS = 10, 60
 DAILY_LIMIT = 2000
 SLICE_WINDOWS = 64
+ROUNDS = 3
 # --------------------------------------------------------------------------------------------------
 
 MICRO = 1_000_000
@@ -38,22 +39,35 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def _run(events: DataFrame, entry: DataFrame, keys: list[str], limit: int, window: int, schema: str, decisions: bool) -> DataFrame:
-    """Every slice of every key on its own, starting from its entry state."""
+def _decided(rows: DataFrame, by: list[str], limit: int, window: int, decisions: bool) -> DataFrame:
+    """Every group of ``by`` in time order, starting from its entry state: decisions per event, or each group's exit state.
 
-    def one_slice(rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        recent = deque(sorted(state["entry"].iloc[0])) if len(state) else deque()
-        rows = rows.sort_values(["t", "id"])
-        waits = list(admit(rows["t"].tolist(), recent, limit, window))
-        if decisions:
-            return rows.assign(wait=pd.array(waits, dtype="Int64"))
-        out = rows.iloc[:1][keys].copy()
-        out["exit"] = [list(recent)]
-        return out
-
-    return events.groupBy(*keys).cogroup(entry.groupBy(*keys)).applyInPandas(
-        lambda rows, state: one_slice(rows, state) if len(rows) else pd.DataFrame(columns=[c.split(" ")[0] for c in schema.split(", ")]), schema
-    )
+    Rows are sorted within their partition and pass through a task as a stream; what is held is one batch and the at most ``limit`` admitted
+    times of the group at hand, however many rows the group has. ``rows`` has key, slice, t, id and entry.
+    """
+    kinds = dict(rows.dtypes)
+    schema = f"key {kinds['key']}, slice bigint, " + ("id bigint, wait bigint" if decisions else "exit array<bigint>")
+    width = len(by)
+
+    def run(frames):
+        group, recent = None, deque()
+        for frame in frames:
+            waits, exits = [], []
+            for row in zip(frame["key"], frame["slice"], frame["t"], frame["entry"]):
+                if row[:width] != group:
+                    if group is not None:
+                        exits.append((*group, list(recent)))
+                    group, recent = row[:width], deque(sorted(row[3]) if row[3] is not None else ())
+                waits += admit((row[2],), recent, limit, window)
+            if decisions:
+                yield pd.DataFrame({"key": frame["key"], "slice": frame["slice"], "id": frame["id"], "wait": pd.array(waits, dtype="Int64")})
+            elif exits:
+                yield pd.DataFrame(exits, columns=["key", "slice", "exit"])
+        if not decisions and group is not None:
+            yield pd.DataFrame([(*group, list(recent))], columns=["key", "slice", "exit"])
+
+    ordered = rows.select("key", "slice", "t", "id", "entry").repartition(*by).sortWithinPartitions(*by, "t", "id")
+    return ordered.mapInPandas(run, schema)
 
 
 def sliding_limit(
@@ -64,35 +78,37 @@ def sliding_limit(
     Which events are admitted depends on the ones admitted before, so a key looks sequential. It is cut
     into time slices of at least one window: a slice depends on the one before it only through the last
     few admitted times. All slices are decided at once as if each started empty; then only the slices
-    whose entry turns out different are decided again, until nothing changes. A hot key is thereby spread
-    over as many tasks as it has slices, and what is exchanged between rounds is ``limit`` numbers per slice.
-    A slice of many windows mostly forgets its entry before it ends, so few rounds are needed.
+    whose entry turns out different are decided again. A slice of many windows mostly forgets its entry before it ends, so a
+    few rounds are enough for most keys. Keys that are saturated without a pause do not forget: those that still
+    change after ``ROUNDS`` rounds are decided from their first event on, each as one sorted stream with ``limit`` times of state.
     """
     window = seconds * MICRO
     width = max(slice_seconds or SLICE_WINDOWS * seconds, seconds) * MICRO
     rows = events.select(F.col(key).alias("key"), micros(F.col(ts)).alias("t"), F.col(id_).cast("bigint").alias("id"))
     rows = rows.withColumn("slice", F.floor(F.col("t") / width))
-    kinds = dict(rows.dtypes)
-    keys = ["key", "slice"]
-    slices = f"key {kinds['key']}, slice bigint"
-    nothing = rows.sparkSession.createDataFrame([], f"{slices}, entry array<bigint>")
+    keys, none = ["key", "slice"], F.lit(None).cast("array<bigint>")
 
-    exits = settled(_run(rows, nothing, keys, limit, window, f"{slices}, exit array<bigint>", False))
+    exits = stored(_decided(rows.withColumn("entry", none), keys, limit, window, False), "meter-exits")
     used = exits.select(*keys, F.array().cast("array<bigint>").alias("entry"))
-    while True:
+    changed = None
+    for _ in range(ROUNDS + 1):
         # What is still in the window when the next slice starts.
         after = exits.withColumn("next", F.col("slice") + 1).withColumn("open_from", F.col("next") * width - window)
         carried = after.withColumn("entry", F.filter("exit", lambda a: a > F.col("open_from"))).select(
             "key", F.col("next").alias("slice"), "entry"
         )
         entry = exits.select(*keys).join(carried, keys, "left").select(*keys, F.coalesce("entry", F.array().cast("array<bigint>")).alias("entry"))
-        changed = settled(entry.join(used.withColumnRenamed("entry", "old"), keys).filter(F.col("entry") != F.col("old")).drop("old"))
+        changed = stored(entry.join(used.withColumnRenamed("entry", "old"), keys).filter(F.col("entry") != F.col("old")).drop("old"), "meter-changed")
         if changed.isEmpty():
             break
-        again = _run(rows.join(changed.select(*keys), keys, "left_semi"), changed, keys, limit, window, f"{slices}, exit array<bigint>", False)
-        exits = settled(exits.join(changed.select(*keys), keys, "left_anti").unionByName(again))
-        used = settled(used.join(changed.select(*keys), keys, "left_anti").unionByName(changed))
-    decided = _run(rows, used, keys, limit, window, f"{slices}, t bigint, id bigint, wait bigint", True)
+        again = _decided(rows.join(changed, keys), keys, limit, window, False)
+        exits = stored(exits.join(changed.select(*keys), keys, "left_anti").unionByName(again), "meter-exits")
+        used = stored(used.join(changed.select(*keys), keys, "left_anti").unionByName(changed), "meter-used")
+    # Empty after the last round, unless some keys go on changing.
+    saturated = stored(changed.select("key").distinct(), "meter-saturated")
+    settled_rows = rows.join(saturated, "key", "left_anti").join(used, keys)
+    in_one = rows.join(saturated, "key", "left_semi").withColumn("entry", none)
+    decided = _decided(settled_rows, keys, limit, window, True).unionByName(_decided(in_one, ["key"], limit, window, True))
     return decided.select(F.col("key").alias(key), F.col("id").alias(id_), F.col("wait").isNull().alias("admitted"), F.col("wait").alias("retry_after"))
 
 
@@ -105,20 +121,25 @@ def seconds_to_midnight(ts: Column) -> Column:
 def daily_budget(events: DataFrame, ts: str, id_: str, limit: int = DAILY_LIMIT) -> DataFrame:
     """``(id, day, admitted, retry_after)``: the first ``limit`` events of each UTC day are admitted.
 
-    The rows of a day are never numbered as a whole. Counts per minute tell in which minute the limit
-    falls; only inside that minute the exact event is looked up, and every task sends at most ``limit``
-    candidates for it. All events are then compared with one row per day.
+    The rows of a day are never numbered as a whole. Counts per minute tell in which minute the limit falls, counts per
+    second and per instant where within it; only the rows of that one instant are ordered by id. All events are then
+    compared with one row per day.
     """
     when, id_col = F.col(ts), F.col(id_)
-    rows = events.withColumn("day", when.cast("date")).withColumn("minute", F.hour(when) * 60 + F.minute(when))
-    through = Window.partitionBy("day").orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)
-    minutes = rows.groupBy("day", "minute").count().withColumn("upto", F.sum("count").over(through))
-    crossing = minutes.filter((F.col("upto") >= limit) & (F.col("upto") - F.col("count") < limit)).select(
-        "day", "minute", (limit - F.col("upto") + F.col("count")).alias("left")
-    )
-    order = Window.partitionBy("day").orderBy(when, id_col)
-    inside = rows.join(crossing, ["day", "minute"]).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit)
-    cut = inside.filter(F.col("n") == F.col("left")).select("day", F.struct(when.alias("a"), id_col.alias("b")).alias("cut"))
+    steps = {"minute": F.hour(when) * 60 + F.minute(when), "second": F.second(when.cast("timestamp")).cast("int"), "instant": micros(when)}
+    rows = events.withColumn("day", when.cast("date"))
+    crossing, keys = None, ["day"]
+    for step, place in steps.items():
+        part = rows if crossing is None else rows.join(crossing, keys)
+        left = F.lit(limit).cast("bigint") if crossing is None else F.col("left")
+        counted = part.withColumn(step, place).groupBy(*keys, step, left.alias("still")).agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("day").orderBy(step).rowsBetween(Window.unboundedPreceding, 0))
+        found = counted.withColumn("upto", upto).filter((F.col("upto") >= F.col("still")) & (F.col("upto") - F.col("n") < F.col("still")))
+        keys = [*keys, step]
+        crossing = stored(found.select(*keys, (F.col("still") - F.col("upto") + F.col("n")).alias("left")), f"budget-{step}")
+        rows = rows.withColumn(step, place)
+    inside = rows.join(crossing, keys).withColumn("n", F.row_number().over(Window.partitionBy("day").orderBy(id_col)))
+    cut = stored(inside.filter(F.col("n") == F.col("left")).select("day", F.struct(when.alias("a"), id_col.alias("b")).alias("cut")), "budget-cut")
     marked = rows.join(cut, "day", "left").withColumn(
         "admitted", F.col("cut").isNull() | (F.struct(when.alias("a"), id_col.alias("b")) <= F.col("cut"))
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.operators import quantiles as Z
 from tallyfold.operators import shape as S
+from tallyfold.session import stored
 
 # ---- fixed values -----------------------------------------------------------------------------------
 INCOMPLETE_SHARE = 0.25
@@ -44,7 +45,7 @@ def line_facts(
     what it reached. The edges come from two rank limits and the rest from one aggregate and one exact
     median, so a line may have any number of points.
     """
-    rows = df.filter(F.col(y).isNotNull()).select(F.col(x).cast("string").alias("x"), F.col(y).cast("double").alias("y"))
+    rows = stored(df.filter(F.col(y).isNotNull()).select(F.col(x).cast("string").alias("x"), F.col(y).cast("double").alias("y")), "line")
     point = F.struct("x", "y")
     one = rows.agg(F.count("*").alias("n"), F.min(point).alias("first"), F.max(point).alias("last"), F.min(F.struct((-F.col("y")).alias("down"), F.col("x"))).alias("peak")).filter(F.col("n") > 0)
     # With a single point the neighbour of an edge is missing.
@@ -91,6 +92,7 @@ def series_leader(df: DataFrame, x: str, series: str, y: str) -> DataFrame:
 
 def pie_facts(df: DataFrame, name: str, value: str, other: str = S.OTHER_LABEL) -> DataFrame:
     """Largest slice with its share, and the total."""
+    df = stored(df.select(name, value), "pie")
     slices = S.fold_other(df, name, value, other)
     raw = df.select(F.coalesce(F.col(name).cast("string"), F.lit(S.NO_LABEL)).alias("name"), F.col(value).cast("double").alias("v"))
     lead = raw.agg(F.min_by("name", F.struct(-F.col("v"), F.col("name"))).alias("name")).scalar()

@@ -6,10 +6,11 @@ only between months the data covers completely.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyfold.functions.text import tr_lower
 from tallyfold.operators import profile as P
@@ -185,8 +186,10 @@ def outliers_iqr(df: DataFrame, measure: str) -> DataFrame:
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each set of equal rows; equal rows collapse before the shuffle."""
-    return df.groupBy(*df.columns).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicates"))
+    """Rows beyond the first of each set of equal rows; what is moved is a 256-bit digest per row, not the row."""
+    plain = [F.when(F.col(f"`{f.name}`") == 0, F.lit(0).cast(f.dataType)).otherwise(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`") for f in df.schema.fields]
+    digest = F.unhex(F.sha2(F.to_json(F.struct(*plain), {"ignoreNullFields": "false"}), 256))
+    return df.select(digest.alias("digest")).groupBy("digest").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicates"))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -203,8 +206,8 @@ def _summary(df: DataFrame, roles: Roles) -> DataFrame:
     all of it collapses in the tasks before anything is shuffled.
     """
     subjects = [("all", F.lit(None).cast("string"))]
-    subjects += [(f"dim:{c}", F.col(f"`{c}`").cast("string")) for c in roles.dims]
-    subjects += [(f"status:{c}", F.col(f"`{c}`").cast("string")) for c in roles.statuses]
+    # A column that is a dimension and a status counts its records once.
+    subjects += [(f"column:{c}", F.col(f"`{c}`").cast("string")) for c in dict.fromkeys((*roles.dims, *roles.statuses))]
     day = F.lit(None).cast("int")
     if roles.date:
         subjects.append(("month", Q.period_text(F.col(roles.date), "month")))
@@ -229,10 +232,10 @@ def _summary(df: DataFrame, roles: Roles) -> DataFrame:
     ]
     leader = F.struct("value", "amount")
     for i, c in enumerate(roles.dims):
-        ahead = (F.col("kind") == f"dim:{c}") & (F.col("amount") > 0)
+        ahead = (F.col("kind") == f"column:{c}") & (F.col("amount") > 0)
         aggs.append(F.min_by(leader, F.when(ahead, F.struct(-F.col("amount"), F.col("value")))).alias(f"dim_{i}"))
     for i, c in enumerate(roles.statuses):
-        hit = (F.col("kind") == f"status:{c}") & is_status_word(F.col("value"))
+        hit = (F.col("kind") == f"column:{c}") & is_status_word(F.col("value"))
         aggs.append(F.min_by(F.struct("value", "n"), F.when(hit, F.struct(-F.col("n"), F.col("value")))).alias(f"status_{i}"))
     return groups.agg(*aggs)
 
@@ -271,7 +274,7 @@ def overview(df: DataFrame, roles: Roles | None = None) -> DataFrame:
     """``(seq, kind, subject, value, amount, share, rows)``: findings first, then warnings."""
     roles = roles or pick_roles(df)
     measure = roles.measure
-    s = _summary(df, roles)
+    s = _summary(df, replace(roles, dims=roles.dims[:2]))
     empty = F.filter(F.array(_finding("total", None)), lambda _: F.lit(False))
     done = F.col("complete")
     s = s.filter(F.col("rows") > 0).withColumn("complete", _complete(F.col("months")))

@@ -218,9 +218,11 @@ def limit_series(series: DataFrame, name: str, value: str, keep: int = MAX_SERIE
 
 def extreme_facts(df: DataFrame, item: str, measures: list[tuple[str, Column]]) -> DataFrame:
     """For each named measure its winning item: small table ``(criterion, item, value)``."""
-    out = None
-    for label, measure in measures:
-        ranked = top_n(df.groupBy(item).agg(measure.alias("value")), "value", [item], 1)
-        row = ranked.select(F.lit(label).alias("criterion"), F.col(item).alias("item"), F.col("value").cast("double"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    grouped = df.groupBy(item).agg(*[measure.alias(f"m{i}") for i, (_, measure) in enumerate(measures)])
+    # Highest first, missing values last, ties by the item.
+    best = grouped.agg(F.count("*").alias("items"), *[
+        F.min_by(F.struct(F.col(item).alias("item"), F.col(f"m{i}").cast("double").alias("value")), F.struct(F.col(f"m{i}").isNull(), -F.col(f"m{i}"), F.col(item))).alias(f"b{i}")
+        for i in range(len(measures))
+    ])
+    rows = F.array(*[F.struct(F.lit(label).alias("criterion"), F.col(f"b{i}.item").alias("item"), F.col(f"b{i}.value").alias("value")) for i, (label, _) in enumerate(measures)])
+    return best.filter(F.col("items") > 0).select(F.inline(rows))

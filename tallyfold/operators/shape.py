@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfold.operators.query import normalize_result, precise_sum, top_n
-from tallyfold.session import settled
+from tallyfold.session import settled, stored
 
 # ---- fixed values: limits and labels ----------------------------------------------------------------
 MAX_SERIES = 8
@@ -37,22 +37,23 @@ def repeated_cells(df: DataFrame, x: str, series: str | None = None) -> DataFram
     return df.groupBy(*keys).count().filter(F.col("count") > 1)
 
 
-def series_order(df: DataFrame, series: str, y: str) -> list:
+def series_order(df: DataFrame, series: str, y: str, most: int = MAX_SERIES) -> list:
     """Series labels by importance; at most one more than allowed is looked at."""
     totals = df.groupBy(series).agg(F.coalesce(F.sum(F.abs(F.col(y))), F.lit(0)).alias("total"))
-    labels = [r[series] for r in top_n(totals, "total", [series], MAX_SERIES + 1).collect()]
-    if len(labels) > MAX_SERIES:
-        raise TooManySeries(f"more than {MAX_SERIES} series")
+    labels = [r[series] for r in top_n(totals, "total", [series], most + 1).collect()]
+    if len(labels) > most:
+        raise TooManySeries(f"more than {most} series")
     return labels
 
 
-def series_pivot(df: DataFrame, x: str, series: str, y: str) -> DataFrame:
+def series_pivot(df: DataFrame, x: str, series: str, y: str, most: int = MAX_SERIES) -> DataFrame:
     """One row per x with the series as columns ``s0, s1, …`` (largest first), gaps null, x in order.
 
     Each column's label is kept as its comment. The columns are known before the job runs, so the
-    pivot is a plain aggregate.
+    pivot is a plain aggregate. The points are written once, for the labels and the pivot. More than ``most`` series are refused.
     """
-    labels = series_order(df, series, y)
+    df = stored(df.select(x, series, y), "series")
+    labels = series_order(df, series, y, most)
     cells = [
         F.first(F.when(F.col(series).eqNullSafe(F.lit(label)), F.col(y)), ignorenulls=True).alias(
             f"s{i}", metadata={"comment": NO_LABEL if label is None else str(label)}
@@ -63,8 +64,8 @@ def series_pivot(df: DataFrame, x: str, series: str, y: str) -> DataFrame:
 
 
 def _slices(df: DataFrame, name: str, value: str) -> DataFrame:
-    """Named slices, or no row at all when a pie of them would be wrong."""
-    rows = df.select(F.coalesce(F.col(name).cast("string"), F.lit(NO_LABEL)).alias("name"), F.col(value).alias("value"))
+    """Named slices, or no row at all when a pie of them would be wrong. The result is written once for all that looks at it."""
+    rows = stored(df.select(F.coalesce(F.col(name).cast("string"), F.lit(NO_LABEL)).alias("name"), F.col(value).alias("value")), "slices")
     check = rows.groupBy("name").agg(F.count("*").alias("n"), F.count("value").alias("v"), F.min("value").alias("low"), F.sum("value").alias("s"))
     fair = check.agg(
         ((F.max("n") == 1) & (F.min("v") == 1) & (F.min("low") >= 0) & (F.sum("s") > 0)).alias("fair")

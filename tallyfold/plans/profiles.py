@@ -25,9 +25,16 @@ def profile_distinct(t: Tables) -> DataFrame:
     return P.distinct(t.orders, exact=True)
 
 
-@query("profile_distinct_approx")
+# Three times the standard error that the sketch is made for.
+SKETCH_BOUND = 0.15
+
+
+@query("profile_distinct_approx", _each("count(DISTINCT {c}) AS \"distinct\", true AS within"))
 def profile_distinct_approx(t: Tables) -> DataFrame:
-    return P.distinct(t.orders)
+    """The sketch's counts beside the exact ones."""
+    guess = P.distinct(t.orders).withColumnRenamed("distinct", "guess")
+    exact = P.distinct(t.orders, exact=True)
+    return exact.join(guess, "column").select("column", "distinct", (F.abs(F.col("guess") - F.col("distinct")) <= SKETCH_BOUND * F.col("distinct") + 1).alias("within"))
 
 
 def _range_sql() -> str:
@@ -59,7 +66,21 @@ def coverage(t: Tables) -> DataFrame:
     return P.coverage(t.orders)
 
 
-@query("profile_table")
+def _table_sql() -> str:
+    kinds = {"o_orderkey": "number", "o_custkey": "number", "o_totalprice": "number", "o_orderdate": "date", "o_orderstatus": "text", "o_orderpriority": "text"}
+    parts = []
+    for c, kind in kinds.items():
+        bound = {"number": "CAST(CAST({f}({c}) AS DOUBLE) AS VARCHAR)", "date": "strftime({f}({c}), '%Y-%m-%d %H:%M')", "text": "CAST(NULL AS VARCHAR)"}[kind]
+        top = f"""(SELECT '[' || string_agg('{{"value":"' || v || '","count":' || n || '}}', ',' ORDER BY n DESC, v) || ']'
+            FROM (SELECT {c} AS v, count(*) AS n FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3))""" if kind == "text" else "CAST(NULL AS VARCHAR)"
+        parts.append(f"""SELECT '{c}' AS "column", '{kind}' AS type, count({c}) AS filled, {bound.format(f='min', c=c)} AS min, {bound.format(f='max', c=c)} AS max, {top} AS top, true AS within FROM orders""")
+    return " UNION ALL ".join(parts)
+
+
+@query("profile_table", _table_sql())
 def profile_table(t: Tables) -> DataFrame:
-    """The whole profile; distinct counts come from a sketch."""
-    return P.profile_table(t.orders).withColumn("top", F.to_json("top"))
+    """The whole profile; its distinct counts come from a sketch and are held against the exact ones."""
+    exact = P.distinct(t.orders, exact=True).withColumnRenamed("distinct", "exact")
+    made = P.profile_table(t.orders).join(exact, "column")
+    near = F.abs(F.col("distinct") - F.col("exact")) <= SKETCH_BOUND * F.col("exact") + 1
+    return made.select("column", "type", "filled", "min", "max", F.to_json("top").alias("top"), near.alias("within"))

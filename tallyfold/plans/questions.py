@@ -329,10 +329,17 @@ def quantiles(t: Tables) -> DataFrame:
     return Z.exact_quantiles(t.lineitem, "l_extendedprice", [0.25, 0.5, 0.75])
 
 
-@query("quantiles_approx")
+@query("quantiles_approx", "SELECT * FROM (VALUES (0.25::DOUBLE, true), (0.5, true), (0.75, true)) v(probability, within)")
 def quantiles_approx(t: Tables) -> DataFrame:
-    """The sketch that stands in for the exact quantiles where an estimate is enough."""
-    return Z.approximate_quantiles(t.lineitem, "l_extendedprice", [0.25, 0.5, 0.75])
+    """Whether the sketch's estimates have the ranks they should have, but for the sketch's bound."""
+    shares = [0.25, 0.5, 0.75]
+    row = Z.approximate_quantiles(t.lineitem, "l_extendedprice", shares)
+    guess = [row.select(f"q{i}").scalar() for i in range(len(shares))]
+    price, slack = F.col("l_extendedprice"), 2.0 / 10_000
+    ranks = t.lineitem.agg(F.count("*").alias("n"), *[x for i, g in enumerate(guess) for x in (F.count_if(price < g).alias(f"less{i}"), F.count_if(price <= g).alias(f"upto{i}"))])
+    return ranks.select(F.inline(F.array(*[
+        F.struct(F.lit(p).alias("probability"), ((F.col(f"less{i}") <= (p + slack) * F.col("n")) & (F.col(f"upto{i}") >= (p - slack) * F.col("n"))).alias("within"))
+        for i, p in enumerate(shares)])))
 
 
 @query("having", """

@@ -5,7 +5,6 @@ Shapes are tested first with anchored patterns; the conversion itself never gues
 
 from __future__ import annotations
 
-import itertools
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,22 +15,22 @@ NULL_MARKERS = [
     "#div/0!", "#sayı/0!", "#sayi/0!", "#value!", "#değer!", "#ref!", "#başv!", "#name?", "#ad?",
     "#num!", "#sayı!", "#sayi!", "#null!", "#boş!",
 ]
-MONEY_NOISE = r"[₺$€% \t\n\f\r]+|[Tt](?:[Ll]|[Rr][Yy])|[Uu][Ssſ][Dd]|[Ee][Uu][Rr]"
+MONEY_NOISE = r"(?i)(₺|TL|TRY|USD|EUR|\$|€|%|\s)"
 
-# A letter pair in brackets stands for either letter.
+# Turkish and English names and short forms of the twelve months, with and without their Turkish letters.
 MONTH_NAMES = [
     ["ocak", "oca", "january", "jan"],
-    ["[şs]ubat", "[şs]ub", "february", "feb"],
+    ["şubat", "subat", "şub", "sub", "february", "feb"],
     ["mart", "mar", "march"],
     ["nisan", "nis", "april", "apr"],
-    ["may[ıi]s", "may"],
+    ["mayıs", "mayis", "may"],
     ["haziran", "haz", "june", "jun"],
     ["temmuz", "tem", "july", "jul"],
-    ["a[ğg]ustos", "a[ğg]u", "august", "aug"],
-    ["eyl[üu]l", "eyl", "september", "sept", "sep"],
-    ["ek[iı]m", "eki", "october", "oct"],
-    ["kas[ıi]m", "kas", "november", "nov"],
-    ["aral[ıi]k", "ara", "december", "dec"],
+    ["ağustos", "agustos", "ağu", "agu", "august", "aug"],
+    ["eylül", "eylul", "eyl", "september", "sept", "sep"],
+    ["ekim", "ekım", "eki", "october", "oct"],
+    ["kasım", "kasim", "kas", "november", "nov"],
+    ["aralık", "aralik", "ara", "december", "dec"],
 ]
 
 TIME_TAIL = r"( \d{1,2}:\d{2}(:\d{2}(\.\d+)?)?( ?[AaPp][Mm])?)?"
@@ -88,24 +87,12 @@ def money_text(c: Column) -> Column:
     return accounting_sign(strip_money(c))
 
 
-def _spellings(name: str) -> list[str]:
-    pieces = []
-    rest = name
-    while "[" in rest:
-        before, _, tail = rest.partition("[")
-        choices, _, rest = tail.partition("]")
-        pieces += [[before], list(choices)]
-    pieces.append([rest])
-    return ["".join(p) for p in itertools.product(*pieces)]
-
-
 def _month_number(word: Column) -> Column:
     table = [
         x
         for number, names in enumerate(MONTH_NAMES, 1)
         for name in names
-        for spelling in _spellings(name)
-        for x in (F.lit(spelling), F.lit(f"{number:02d}"))
+        for x in (F.lit(name), F.lit(f"{number:02d}"))
     ]
     return F.try_element_at(F.create_map(*table), word)
 

@@ -22,7 +22,7 @@ class NoSharedKey(ValueError):
 
 
 def is_id_like(name: str) -> bool:
-    """Identifier-like columns are poor groupings and meaningless measures."""
+    """Whether a column's name says that it numbers things rather than measuring or naming them."""
     words = "".join(ch if ch.isascii() and ch.isalnum() else " " for ch in fold_python(name)).split()
     return bool(words) and (words[-1] in ID_WORDS or "".join(words) in ID_WORDS)
 

@@ -1,7 +1,7 @@
-"""The automatic first look: findings and warnings that are safe to show unasked.
+"""A first look at a table: what it adds up to, what leads, how months compare, and what to be wary of.
 
-Findings that could mislead are left out: shares only where nothing is negative, month comparisons
-only between months the data covers completely.
+A share needs a whole without negative parts, and a month counts in a comparison only if the dates in
+it reach from its start to its end.
 """
 
 from __future__ import annotations

@@ -38,7 +38,7 @@ def filled(df: DataFrame) -> DataFrame:
 
 
 def distinct(df: DataFrame, exact: bool = False) -> DataFrame:
-    """Distinct values per column; the sketch is enough to tell five cities from five thousand ids."""
+    """Distinct values per column, by a sketch or exactly."""
     cols = columns_of(df)
     if not exact:
         return _wide_to_long(df, cols, {"distinct": {c: F.approx_count_distinct(f"`{c}`") for c in cols}})

@@ -38,7 +38,7 @@ def require_unique_names(df: DataFrame) -> DataFrame:
     seen: set[str] = set()
     for name in df.columns:
         if name in seen:
-            raise DuplicateColumn(f'the result has two columns named "{name}"')
+            raise DuplicateColumn(f"column name used twice: {name}")
         seen.add(name)
     return df
 

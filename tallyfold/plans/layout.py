@@ -60,7 +60,8 @@ REPORT = f"""SELECT o_custkey AS doc_id, CAST(n // 8 + 1 AS INT) AS page, o_orde
     UNION ALL SELECT o_custkey, 'Durum ' || o_orderstatus, 110.0 FROM orders""")
 def split_spaced(t: Tables) -> DataFrame:
     glyphs, _ = report_pages(t)
-    parts = G.split_spaced(glyphs.filter(F.col("text").rlike(r"^\d+ +Durum ")))
+    # All glyphs go through; those compared are the parts of the first two columns.
+    parts = G.split_spaced(glyphs).filter(F.col("text").rlike(r"^(?:\d+|Durum [A-Z])\z") & (F.col("x0") < 150))
     return parts.select("doc_id", "text", F.round("x0", 6).alias("x0"))
 
 

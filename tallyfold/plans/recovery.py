@@ -166,9 +166,10 @@ def profile_text(t: Tables) -> DataFrame:
     SELECT 'day_first' AS "column", count(*) AS n, 0 AS iso, count(*) AS dmy, 0 AS mdy FROM orders
     UNION ALL SELECT 'iso_day', count(*), count(*), 0, 0 FROM orders
     UNION ALL SELECT 'month_first', count(*), 0, count(*) FILTER (day(o_orderdate) <= 12), count(*) FROM orders
-    UNION ALL SELECT 'local_money', count(*), 0, 0, 0 FROM orders""")
+    UNION ALL SELECT 'local_money', count(*), 0, 0, 0 FROM orders
+    UNION ALL SELECT c, count(*), 0, 0, 0 FROM orders, (VALUES ('us_money'), ('plain_money'), ('customer_code')) v(c) GROUP BY c""")
 def date_check(t: Tables) -> DataFrame:
-    return R.date_check(messy_orders(t), ["day_first", "iso_day", "month_first", "local_money"])
+    return R.date_check(messy_orders(t), ["day_first", "iso_day", "month_first", "local_money", "us_money", "plain_money", "customer_code"])
 
 
 KINDS = {

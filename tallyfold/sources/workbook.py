@@ -14,7 +14,7 @@ LAST_SERIAL = 2958465
 
 
 def plain_number(c: Column) -> Column:
-    """Number text without an exponent, so that one tiny value does not turn a column into text."""
+    """Number text written out in digits; text without an exponent stays as it is."""
     number = F.when(
         F.abs(c.try_cast("double")) < 1e17, c.try_cast("decimal(38,20)").cast("string")
     ).otherwise(c.try_cast("decimal(38,0)").cast("string"))
@@ -72,7 +72,7 @@ def sheet_inventory(cells: DataFrame, sheets: DataFrame) -> DataFrame:
 
 
 def hidden_rows(cells: DataFrame, rows: DataFrame) -> DataFrame:
-    """Hidden rows that hold data, per sheet; they stay in the data, as a sheet's own sums keep them."""
+    """How many rows with a value are hidden, per sheet. They are only counted, not removed."""
     used = cells.filter(F.col("value").isNotNull()).select("book", "sheet", "row").distinct()
     hidden = rows.filter(F.col("hidden")).join(used, ["book", "sheet", "row"], "left_semi")
     return hidden.groupBy("book", "sheet").agg(F.count("*").alias("hidden_rows"))

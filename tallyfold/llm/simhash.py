@@ -4,7 +4,7 @@
 2. Pigeonring: split 64 bits into 4 segments in a ring. Two fingerprints within 3 bits have a segment from which every chain of
    l consecutive segments differs in at most l·3/4 bits: 0, then 1, 2, 3. So for that segment the bits are equal, one
    half of the next segment is equal (at most 1 bit differs in it), and one third of the one after that (at most 2 bits differ up to there).
-   Class representatives meet by these 4 · 2 · 3 keys of about 29 bits.
+   Class representatives meet by these 4 · 2 · 3 keys of 29 or 30 bits.
 3. Where they meet, chains are checked segment by segment and only then the whole distance. A task keeps the links that join
    something new (a spanning forest of the key's links), so a dense group of n gives n - 1 links, not n².
 4. Connected components of the links, joined back to the documents.

@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyfold.llm import chat, mixing, queries, token_output
@@ -30,8 +31,12 @@ ODD = ["", " ", "a", " a", "a ", "a  b", "a   b  ", "\n\n x", "x \ty", "x  y",
 def test_pieces_encode_as_whole_texts():
     rng = random.Random(3)
     texts = ODD + ["".join(rng.choice(" \n\tab,'é1") for _ in range(40)) for _ in range(400)]
-    for text, ids in zip(texts, token_output.encode_texts(texts, queries.vocabulary())):
-        assert np.frombuffer(ids, "<u4").tolist() == whole(text), repr(text)
+    for part in (pa.array(texts), pa.array(["x", *texts]).slice(1), pa.array(texts[:0], pa.string())):
+        sizes, ids = token_output.encode_column(part, queries.vocabulary())
+        ends = np.cumsum(sizes)
+        assert len(sizes) == len(part) and sum(sizes) == len(ids)
+        for text, lo, hi in zip(texts, ends - sizes, ends):
+            assert ids[lo:hi].tolist() == whole(text), repr(text)
 
 
 def check_tokens(rows, docs):

@@ -26,8 +26,3 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def text_of(column: str) -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column), F.lit(""))
-
-
-def same(left: Column, right: Column) -> Column:
-    """Equality that also holds between nulls."""
-    return left.eqNullSafe(right)

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.llm import near_copies
 from tallyfold.llm.common import written
 from tallyfold.llm.components import components
 
@@ -160,11 +161,12 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """The documents without those that have a near-duplicate with a smaller id; all columns stay.
+def keep_one(docs: DataFrame, words: int = near_copies.WORDS, similarity: float = near_copies.SIMILARITY) -> DataFrame:
+    """The documents without those that have a near copy with a smaller id; all columns stay.
 
+    No contract fixes bits here: near copies are texts whose word shingles have at least this Jaccard similarity.
     Rows that share a ``doc_id`` are kept or dropped together; documents without an id stay.
     """
-    near = near_duplicates(docs, words)
+    near = near_copies.copies(docs, words, similarity)
     dropped = written(near.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-copies")
     return docs.join(dropped, "doc_id", "left_anti")

@@ -121,6 +121,7 @@ def maybe_in(texts: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
 def pieces(texts: DataFrame, needed: DataFrame) -> DataFrame:
     """The groups of ``STEP`` windows of the needed runs: core, left, right, d1, d2, at (place of the core), many.
 
+    A group's margins end with the windows of its own run, so every window is in one piece only: runs whose places agree modulo ``STEP`` meet at one core.
     ``needed`` has d1, d2, place, lo, hi and many (whether the run's whole text occurs more than once).
     """
     lists = written(needed.groupBy("d1", "d2").agg(F.collect_list(F.struct("place", "lo", "hi", "many")).alias("runs")), "repeat-lists")
@@ -136,7 +137,8 @@ def pieces(texts: DataFrame, needed: DataFrame) -> DataFrame:
                     for group in range(near, far + 1):
                         at = x["place"] - group * STEP
                         stop = at + LENGTH - STEP + 1
-                        row = (xxhash.xxh3_128_digest(data[at:stop]), data[max(at - STEP + 1, 0):at], data[stop:stop + STEP - 1], d1, d2, at, x["many"])
+                        head, tail = data[max(at - STEP + 1, x["lo"]):at], data[stop:min(stop + STEP - 1, x["hi"] + LENGTH)]
+                        row = (xxhash.xxh3_128_digest(data[at:stop]), head, tail, d1, d2, at, x["many"])
                         for store, value in zip(out, row):
                             store.append(value)
                 if len(out[0]) >= 1 << 14:

@@ -86,3 +86,17 @@ def test_odd_documents(spark, monkeypatch, group_rows):
     if group_rows == 50_000:
         assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in made.collect())
         assert repeats.remove_repeats(df.where("false")).count() == 0
+
+
+def test_pieces_hold_every_window_once(spark):
+    """Edited copies, whose runs often meet at places that agree modulo the step."""
+    rng = random.Random(13)
+    docs = []
+    for i in range(300):
+        text = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(4000)]
+        docs.append((2 * i, "".join(text)))
+        for at in rng.sample(range(4000), 4):
+            text[at] = "#"
+        docs.append((2 * i + 1, "".join(text)))
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], DOCS)
+    assert rows(repeats.remove_repeats(df)) == plain(docs)

@@ -6,7 +6,8 @@
    cut into blocks of equal size.
 3. Slot k of the schedule stands at frac(k · golden ratio) on the cumulative targets, which names its source; the r-th slot
    of a source takes the r-th block of its stream. The golden ratio spreads the slots of every source evenly, so any
-   stretch of the mix has the sources near their weights.
+   stretch of the mix has the sources near their weights. A source with fewer slots than its target has blocks gets the missing ones
+   at frac(k · golden ratio) of the mix.
 4. Joining slots with blocks gives the words that each document lends. The last block is cut at the target.
 
 Nothing is gathered per source: streams and slot ranks are summed in two levels (piece sums, then the
@@ -75,7 +76,14 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     ranges = laid.select("source_no", "low", F.when(F.col("high") >= 1 - 1e-12, F.lit(1.0)).otherwise(F.col("high")).alias("high"), F.explode(F.sequence(F.floor(F.col("low") * cells), last.cast("bigint"))).alias("cell"))
     place = F.col("slot") * F.lit(GOLDEN)
     points = spark.range(slots).withColumnRenamed("id", "slot").withColumn("u", place - F.floor(place)).withColumn("cell", F.least(F.floor(F.col("u") * cells), F.lit(cells - 1)))
-    found = points.join(ranges, "cell").where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("slot", "source_no", F.floor(F.col("slot") / SLOTS_IN_PIECE).alias("piece"))
+    found = points.join(ranges, "cell").where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("slot", "source_no")
+    # The points give a source its share only within a few slots, which may be all that a small source has.
+    given = found.groupBy("source_no").agg(F.count("*").alias("given"))
+    lacking = laid.select("source_no", F.ceil(F.col("target") / block_words).alias("blocks")).join(given, "source_no", "left").withColumn(
+        "lacking", F.col("blocks") - F.coalesce("given", F.lit(0))).where(F.col("lacking") > 0)
+    turn = F.col("turn") * F.lit(GOLDEN)
+    more = lacking.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("lacking")))).select(F.floor((turn - F.floor(turn)) * slots).alias("slot"), "source_no")
+    found = found.unionByName(more).withColumn("piece", F.floor(F.col("slot") / SLOTS_IN_PIECE))
     sizes = found.groupBy("source_no", "piece").agg(F.count("*").alias("n"))
     starts = sizes.select("source_no", "piece", F.coalesce(F.sum("n").over(_before("source_no", order="piece")), F.lit(0)).alias("start"))
     ranked = found.withColumn("place", F.row_number().over(Window.partitionBy("source_no", "piece").orderBy("slot")) - 1)

@@ -126,3 +126,14 @@ def test_mix(spark, kind):
     for s, t in target.items():
         assert abs(taken[s] - t) <= max(0.02 * t, 2 * mixing.BLOCK_WORDS), (s, t, taken[s])
     assert mixing.mix(df.where("false")).count() == 0
+
+
+def test_small_sources_get_their_target(spark):
+    sizes = {"a": 90_000, "b": 20, "c": 110_000, "d": 50, "e": 120, "f": 70_000, "g": 257, "h": 400, "i": 1000, None: 30}
+    rows = [(s, min(step, n - i)) for s, n in sizes.items() for step in [10 if n <= 1000 else 200] for i in range(0, n, step)]
+    df = spark.createDataFrame([(i, "w " * n, "en", s, 0) for i, (s, n) in enumerate(rows)], DOCS)
+    took, target = defaultdict(int), plain_targets(sizes)
+    for r in mixing.mix_with_source(df).collect():
+        took[r.source] += r.taken
+    for source in sizes:
+        assert abs(took[source] - target[source]) <= max(0.02 * target[source], 1), (source, took[source], target[source])

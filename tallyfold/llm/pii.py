@@ -1,13 +1,13 @@
 """Personal data: base patterns, and bootstrapped contextual extraction on top of them, on DataFrame functions only.
 
 1. Base identifiers of each kind are found by fixed patterns: email, ip, card, phone. They stay whatever follows.
-2. Mentions are words with a digit or an at sign, with the two words before them as their lexical pattern. Seeds are the mentions that lie in base
+2. Mentions are words with a digit or an at sign, or groups of digits joined by blanks, with the two words before them as their lexical pattern. Seeds are the mentions that lie in base
    identifiers; every other mention is unlabelled.
 3. Patterns and instances form a graph per kind: a pattern's confidence is the share of its mentions that are of the kind,
    weighing each distinct instance by its own confidence; an instance is as sure as its patterns make it. A few rounds of joins
    and aggregates over (pattern, instance) pairs spread confidence from the seeds.
 4. Patterns that are sure enough and rest on enough distinct seed instances add the unlabelled mentions they precede as spans of their kind, if
-   the mention has the character shape of a seed of that kind.
+   the mention has the characters and the number of digits that the kind allows (``FORMS``), which is wider than the base patterns.
 
 Places of matches come from splitting a text by the pattern: the pieces' and matches' lengths add up. Patterns take their
 repeats whole (possessively) and start only where a run starts, so that long runs cost linear time; they match what the plain forms match.
@@ -32,7 +32,16 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-MENTION = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])\S++"
+# Groups of digits joined by single blanks are one mention, as in a phone or card; any other mention is one word.
+_GROUP = r"[+(]*+[0-9][0-9()./-]*+(?=[\s.,;:!?)\]}\x22'>]|$)"
+MENTION = rf"(?<!\S)(?:{_GROUP}(?:(?<=[0-9)])\x20{_GROUP})++|(?=[^\s0-9@]*+[0-9@])\S++)"
+# What a mention behind a sure pattern may look like, on its shape (letter runs as a, every digit as 9).
+FORMS = {
+    "email": r"^[^\s@]+@[^\s@]+$",
+    "ip": r"^(?=.*[9a])(?=.*[.:].*[.:])[9a.:]+(?:/9{1,3})?$",
+    "card": r"^9(?:[\x20./-]?9){11,18}$",
+    "phone": r"^[+(]*9(?:[\x20()./-]{0,3}9){6,14}$",
+}
 CONTEXT_CHARS = 80
 ROUNDS, SURE, SUPPORT = 3, 0.8, 5
 
@@ -101,7 +110,7 @@ def mentions(places: DataFrame) -> DataFrame:
         F.max(F.when(mention, F.struct("m", "before", F.coalesce("reach", F.lit(0)).alias("reach")))).alias("x"), F.min(F.when(~mention, F.col("kind"))).alias("kind"))
     pattern = F.lower(F.regexp_replace(F.regexp_extract("x.before", r"((?:\S+\s+){1,2})$", 1), r"\s+", " "))
     core = F.regexp_replace(F.col("x.m"), r"[.,;:!?)\]}\x22'>]+$", "")
-    shape = F.regexp_replace(F.regexp_replace("mention", r"\p{L}+", "a"), r"[0-9]+", "9")
+    shape = F.regexp_replace(F.regexp_replace("mention", r"\p{L}+", "a"), "[0-9]", "9")
     return words.where(F.col("x").isNotNull() & (F.col("x.reach") <= F.col("owner"))).select(
         "row", F.col("owner").alias("start"), core.alias("mention"), pattern.alias("pattern"), "kind").where(F.length("mention") > 0).withColumn("shape", shape)
 
@@ -124,10 +133,12 @@ def score_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def discovered(found: DataFrame, patterns: DataFrame, sure: float = SURE, support: int = SUPPORT) -> DataFrame:
-    """row, start, kind, end: unlabelled mentions behind a sure pattern, shaped like a seed of its kind."""
-    shapes = found.where(F.col("kind").isNotNull()).groupBy("shape", "kind").agg(F.count("*").alias("seen")).where(F.col("seen") >= support).select("shape", "kind")
+    """row, start, kind, end: unlabelled mentions behind a sure pattern, of a form that its kind allows."""
+    fits = F.lit(False)
+    for no, kind in enumerate(KINDS):
+        fits = fits | ((F.col("kind") == no) & F.col("shape").rlike(FORMS[kind]))
     best = patterns.where((F.col("confidence") >= sure) & (F.col("support") >= support)).groupBy("pattern").agg(F.max(F.struct("confidence", "kind")).alias("best")).select("pattern", F.col("best.kind").alias("kind"))
-    new = found.where(F.col("kind").isNull()).drop("kind").join(best, "pattern").join(shapes, ["shape", "kind"], "left_semi")
+    new = found.where(F.col("kind").isNull()).drop("kind").join(best, "pattern").where(fits)
     return new.select("row", "start", "kind", (F.col("start") + F.length("mention")).cast("int").alias("end"))
 
 

@@ -120,3 +120,21 @@ def test_proximity(spark):
     near = decontaminate.proximity_matches(index, anchored, 1).join(ids, "row").select("doc_id").distinct().collect()
     assert [r.doc_id for r in near] == [0]
     assert decontaminate.phrase_matches(index, anchored).count() == 0
+
+
+def test_unseen_forms_are_added_whole(spark):
+    seeds = [f"call me at +1 (743) 555-{3000 + i} today" for i in range(30)]
+    seeds += [f"write to me: user{i}@mail.example.com today" for i in range(30)]
+    seeds += [f"came from host 10.20.30.{i} today" for i in range(30)]
+    cards = (f"4111 1111 1111 {i:04d}" for i in range(4000))
+    seeds += [f"charged to card {c} today" for c in [c for c in cards if plain_ok("card", c)][:30]]
+    unseen = ["(743) 555-3824", "743 555 3824", "odd@host", "fe80::1:2", "4111 1111 1111 1112"]
+    texts = [f"call me at {unseen[0]}. Thanks", f"call me at {unseen[1]} today", f"write to me: {unseen[2]} today", f"came from host {unseen[3]} today", f"charged to card {unseen[4]}, today"]
+    others = ["call me at 10 today", "version 2.0 of it", "came from host 7 today", "charged to card 12 today", "room 743 555 3824 here"]
+    docs = list(enumerate(seeds + texts + others))
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], DOCS)
+    got = {r.doc_id: r for r in pii.find_personal_data(df).collect()}
+    for at, (text, part, kind) in enumerate(zip(texts, unseen, ["phone", "phone", "email", "ip", "card"]), len(seeds)):
+        start = text.index(part)
+        assert (got[at].spans, got[at].n_added) == (f"{kind}:{start}:{start + len(part)}", 1), text
+    assert all(got[i].n_added == 0 for i, _ in docs if not len(seeds) <= i < len(seeds) + len(texts))

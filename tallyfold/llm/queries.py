@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import chat, decontaminate, mixing, pii, quality, repeats, simhash, token_output, topk, toxicity
+from tallyfold.llm import chat, decontaminate, mixing, packing, pii, quality, ranked, repeats, simhash, token_output, topk, toxicity, whitening
 from tallyfold.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,36 @@ def op7_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated strings of 400 bytes removed from all documents."""
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
+
+
+@register("op11_ranked_search", """
+    WITH cut AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    docs AS (SELECT * FROM cut WHERE len(w) > 0),
+    total AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM docs),
+    items AS (SELECT item_id, row_number() OVER () AS item, unnest(list_distinct(regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))) AS term FROM benchmark),
+    found AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM items) GROUP BY 1, 2),
+    weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM found, total GROUP BY term, n_docs),
+    scored AS (
+        SELECT item, item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * CAST(len(w) AS BIGINT) * n_docs) // n_terms)))) AS BIGINT) AS score
+        FROM items JOIN found USING (term) JOIN weights USING (term) JOIN docs USING (row), total GROUP BY item, item_id, row, doc_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10""")
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op12_packed")
+def op12_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register("op13_whitened")
+def op13_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on the first components of their covariance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))

@@ -15,114 +15,33 @@ are ignored.
 
 from __future__ import annotations
 
-import gc
-import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm.common import text_of
+from tallyfold.llm.pieces import SpacedPieces, by_bytes, encode_column, forget_pieces, pieces_of
 from tallyfold.session import scratch_path
 
 END_ID = 0
-TEXTS_AT_A_TIME = 2048
-REMEMBERED = 650_000  # pieces a worker keeps; about 130 MB
 STRIPE_BYTES = 32 << 20
 ROW_GROUP = 1_000
 
-# A word, with its leading space, and the punctuation after it. Apostrophes are left out: the tokenizer may cut there.
-_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
-_LINES = re.compile(r" ?\S+(?:\n\S+)+\Z")
-
-
-def _byte_letters() -> dict[int, str]:
-    """The letters that byte-level vocabularies write bytes with: printable bytes stand for themselves, the others follow from 256 on."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = [b for b in range(256) if b not in printable]
-    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
-
-
-class _Known(dict):
-    """Ids of the pieces met so far. A new piece is put together from known parts where the tokenizer would cut it anyway."""
-
-    def __init__(self, path: str):
-        super().__init__()
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.spell, self.letters = self.tokenizer.model.tokenize, _byte_letters()
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        if word := _WORD.match(piece):
-            base, tail = word.groups()
-            if tail:
-                return self[base] + self[tail]
-            ids = array("I", [t.id for t in self.spell(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
-        elif _LINES.match(piece):
-            ids = self["\n"].join([self[x] for x in piece.split("\n")])
-        else:
-            ids = self.whole(piece)
-        self[piece] = ids
-        return ids
-
-
-_loaded: dict[str, _Known] = {}
-
-
-def encode_column(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """How many ids each text has, and all ids in order.
-
-    The pieces of all texts are numbered by Arrow, so each distinct one is looked up once, and gathered by their numbers.
-    """
-    if path not in _loaded:
-        _loaded[path] = _Known(path)
-    known = _loaded[path]
-    if len(known) > REMEMBERED:
-        known.clear()
-    apart = pc.match_substring(texts, "  ").to_numpy(zero_copy_only=False).astype(bool)
-    plain = pc.if_else(pa.array(apart), "", texts) if apart.any() else texts
-    pieces = pc.split_pattern(plain, " ")
-    numbered = pieces.flatten().dictionary_encode()
-    distinct, codes = numbered.dictionary.to_pylist(), numbered.indices.to_numpy().astype(np.int64)
-    at = pieces.offsets.to_numpy().astype(np.int64)
-    at -= at[0]
-    # The first piece of a text has no space before it; texts that are encoded whole take its place.
-    heads = [known.whole(t.as_py()) if odd else known[distinct[c]] for odd, t, c in zip(apart, texts, codes[at[:-1]])] if len(texts) else []
-    lists = [known[f" {x}"] for x in distinct] + heads
-    codes[at[:-1]] = len(distinct) + np.arange(len(texts))
-    offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)) // 4)))
-    store = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(lists), "<i4")))
-    sizes = np.concatenate(([0], np.cumsum(np.diff(offsets)[codes])))
-    return np.diff(sizes[at]), store.take(pa.array(codes)).flatten().to_numpy()
-
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID) -> None:
     """Write the documents' ids below ``path``. ``vocabulary`` is a file of the tokenizers library that every executor has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # nothing here makes cycles, and the table of pieces is slow to walk
-        try:
-            for batch in batches:
-                for lo in range(0, batch.num_rows, TEXTS_AT_A_TIME):
-                    part = batch.slice(lo, TEXTS_AT_A_TIME)
-                    sizes, ids = encode_column(part.column(1), vocabulary)
-                    ends = np.cumsum(sizes)
-                    closed = pa.array(np.insert(ids, ends, end_id))
-                    offsets = pa.array(np.concatenate(([0], ends + np.arange(1, len(ends) + 1))).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes + 1), pa.ListArray.from_arrays(offsets, closed)], names=["doc_id", "n_tokens", "ids"])
-        finally:
-            gc.enable()
+        known = pieces_of(SpacedPieces, vocabulary)
+        for part in by_bytes(batches, 1):
+            sizes, ids = encode_column(part.column(1), known)
+            ends = np.cumsum(sizes)
+            closed = pa.array(np.insert(ids, ends, end_id))
+            offsets = pa.array(np.concatenate(([0], ends + np.arange(1, len(ends) + 1))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes + 1), pa.ListArray.from_arrays(offsets, closed)], names=["doc_id", "n_tokens", "ids"])
 
     dealt = docs.select("doc_id", text_of("text").alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     rows = dealt.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
@@ -137,7 +56,7 @@ def read_tokens(spark, path: str) -> DataFrame:
     before its own, one row per file, and of the rows before it in the file.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _loaded.clear()  # a worker that has written before needs its table of pieces no longer
+        forget_pieces()  # a worker that has written before needs its table no longer
         for batch in batches:
             ids = batch.column(2)
             flat, at = ids.values.to_numpy(), ids.offsets.to_numpy()
@@ -158,8 +77,6 @@ def read_tokens(spark, path: str) -> DataFrame:
 
 def token_output(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Write the ids of ``docs`` to the shared folder and describe what was read back from the files."""
-    # Texts and ids of a batch are held on both sides of the pipe: batches are kept small.
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_AT_A_TIME))
     path = scratch_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, vocabulary)
     return read_tokens(docs.sparkSession, path)

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 
 from tallyfold.llm import chat, mixing, queries, token_output
+from tallyfold.llm.pieces import SpacedPieces, encode_column, pieces_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -32,7 +33,7 @@ def test_pieces_encode_as_whole_texts():
     rng = random.Random(3)
     texts = ODD + ["".join(rng.choice(" \n\tab,'é1") for _ in range(40)) for _ in range(400)]
     for part in (pa.array(texts), pa.array(["x", *texts]).slice(1), pa.array(texts[:0], pa.string())):
-        sizes, ids = token_output.encode_column(part, queries.vocabulary())
+        sizes, ids = encode_column(part, pieces_of(SpacedPieces, queries.vocabulary()))
         ends = np.cumsum(sizes)
         assert len(sizes) == len(part) and sum(sizes) == len(ids)
         for text, lo, hi in zip(texts, ends - sizes, ends):

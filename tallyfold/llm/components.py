@@ -35,7 +35,8 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, root for every node that has a link to another one; ``root`` is the smallest node of its component.
 
-    ``links`` has columns u and v of one orderable type; direction, repeats and self-links do not matter.
+    ``links`` has columns u and v of one orderable type; direction, repeats and self-links do not matter. A link with a null end is none; no
+    links give no rows; further columns are ignored.
     """
     now = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v")).distinct(), "stars")
     seen = _state(now)

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm.common import text_of, written
+from tallyfold.llm.near_copies import name_of
 
 WINDOW_WORDS = 10
 # The word pattern of the contract: fixed value.
@@ -124,6 +125,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW_WORDS)
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, width: int = WINDOW_WORDS) -> DataFrame:
-    """The documents without a hit; all columns stay, documents without an id too."""
-    dropped = written(decontaminate(docs, items, width).where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(dropped, "doc_id", "left_anti")
+    """The documents without a hit; all columns stay. Rows are judged by their texts: an id may be shared or missing."""
+    named = docs.select(name_of(F.col("text")).alias("doc_id"), "text")
+    dropped = written(decontaminate(named, items, width).where("contaminated").select(F.col("doc_id").alias("name")).distinct(), "contaminated")
+    return docs.join(dropped, name_of(docs["text"]) == dropped["name"], "left_anti")

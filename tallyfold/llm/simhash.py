@@ -162,11 +162,24 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = near_copies.WORDS, similarity: float = near_copies.SIMILARITY) -> DataFrame:
-    """The documents without those that have a near copy with a smaller id; all columns stay.
+    """One row of each group of near copies, the first of it; all columns stay.
 
     No contract fixes bits here: near copies are texts whose word shingles have at least this Jaccard similarity.
-    Rows that share a ``doc_id`` are kept or dropped together; documents without an id stay.
+    Rows are told apart by text and id: of different texts that share an id each is judged by itself, and of rows with both alike one stays.
     """
-    near = near_copies.copies(docs, words, similarity)
-    dropped = written(near.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-copies")
-    return docs.join(dropped, "doc_id", "left_anti")
+    grouped = near_copies.groups(docs, words, similarity)
+    first = written(near_copies.first_of(grouped), "copies-first")
+
+    def same(a: DataFrame, b: DataFrame) -> Column:
+        return (a["name"] == b["name"]) & a["doc_id"].eqNullSafe(b["doc_id"])
+
+    dropped = written(grouped.join(first, same(grouped, first), "left_anti").select("name", "doc_id"), "near-copies")
+    name = near_copies.name_of(docs["text"])
+    kept = docs.join(dropped, (name == dropped["name"]) & docs["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti")
+    repeated = first.where(F.col("n") > 1)
+    if repeated.isEmpty():
+        return kept
+    several = repeated.select(F.col("name").alias("held"))
+    rows = kept.select(F.struct(*(kept[c] for c in kept.columns)).alias("row"), near_copies.name_of(kept["text"]).alias("held"))
+    one = rows.join(several, "held", "left_semi").dropDuplicates(["held"])
+    return rows.join(several, "held", "left_anti").unionByName(one).select("row.*")

@@ -106,6 +106,10 @@ def test_decontamination(spark):
     assert got == plain_hits(docs, items)
     kept = decontaminate.clean_documents(df, bench)
     assert kept.columns == df.columns
+    hit = {text for (_, text), row in zip(docs, [plain_hits([d], items)[0] for d in docs]) if row[-1]}
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(str(d) for d in docs if d[1] not in hit)
+    shared = spark.createDataFrame([(1, items[0][1]), (1, "of its own"), (None, items[1][1]), (None, None)], "doc_id long, text string")
+    assert sorted(str(r.text) for r in decontaminate.clean_documents(shared, bench).collect()) == ["None", "of its own"]
     assert decontaminate.decontaminate(df.where("false"), bench).count() == 0
     assert decontaminate.decontaminate(df, bench.where("false")).where("contaminated or n_hit > 0").count() == 0
 

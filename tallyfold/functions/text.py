@@ -63,12 +63,12 @@ def fold_text(c: Column) -> Column:
     """Compare-form of a text: Turkish lower case, ASCII letters, no accents, ligatures as their letters."""
     lowered = F.translate(tr_lower(c), TURKISH_FROM, TURKISH_TO)
     source, target = accent_table()
-    joined, apart = joined_letters(), lowered
-    for ch, plain in joined.items():
-        apart = F.replace(apart, F.lit(ch), F.lit(plain))
-    # The chain of replacements runs only for texts that hold such a letter.
+    joined = joined_letters()
+    letters = F.create_map(*[F.lit(x) for pair in joined.items() for x in pair])
+    apart = F.array_join(F.transform(F.split(lowered, ""), lambda ch: F.coalesce(F.try_element_at(letters, ch), ch)), "")
+    # Letters are taken apart only in texts that hold such a one; ASCII text has only its case to lose.
     whole = F.when(lowered.rlike("[" + "".join(joined) + "]"), apart).otherwise(lowered)
-    return F.regexp_replace(F.translate(whole, source, target), _MARKS, "")
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.regexp_replace(F.translate(whole, source, target), _MARKS, ""))
 
 
 def fold_python(text: str) -> str:

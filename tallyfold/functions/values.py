@@ -15,7 +15,8 @@ NULL_MARKERS = [
     "#div/0!", "#sayı/0!", "#sayi/0!", "#value!", "#değer!", "#ref!", "#başv!", "#name?", "#ad?",
     "#num!", "#sayı!", "#sayi!", "#null!", "#boş!",
 ]
-MONEY_NOISE = r"(?i)(₺|TL|TRY|USD|EUR|\$|€|%|\s)"
+MONEY_CODES = r"(?i)TL|TRY|USD|EUR"
+MONEY_MARKS = "₺$€% \t\n\x0b\f\r"
 
 # Turkish and English names and short forms of the twelve months, with and without their Turkish letters.
 MONTH_NAMES = [
@@ -69,8 +70,9 @@ def present(c: Column) -> Column:
 
 
 def strip_money(c: Column) -> Column:
-    """Currency signs and codes, percent signs and spaces removed."""
-    return F.when(only_chars(c, NUMBER_CHARS), c).otherwise(F.regexp_replace(c, MONEY_NOISE, ""))
+    """Currency signs and codes, percent signs and spaces removed. Only text with other characters than figures and signs is searched for codes."""
+    codeless = F.when(only_chars(c, NUMBER_CHARS + MONEY_MARKS + "()−"), c).otherwise(F.regexp_replace(c, MONEY_CODES, ""))
+    return F.when(only_chars(c, NUMBER_CHARS), c).otherwise(F.translate(codeless, MONEY_MARKS, ""))
 
 
 def accounting_sign(c: Column) -> Column:
@@ -129,6 +131,17 @@ def dashed(c: Column) -> Column:
     return F.regexp_replace(spaced, r"(:\d{2}(?:\.\d+)?)(?:Z|[+-]\d{2}:?\d{2})\z", "$1")
 
 
+_DATE_LIKE = (
+    r"(\d{1,2}[./-]\d{1,2}[./-](\d{4}|\d\d)|\d{4}[./-]\d{1,2}([./-]\d{1,2})?|\d{1,2}\.?\s+\p{L}+\.?,?\s+\d{4}|\p{L}+\.?\s+\d{1,2},?\s+\d{4})"
+    r"([T ][0-9:.+ZAPMapm -]*)?"
+)
+
+
+def date_like(c: Column) -> Column:
+    """True for every text that one of the date readings may take, and for little else."""
+    return c.rlike("[0-9]") & full_match(c, _DATE_LIKE)
+
+
 def _moment(text: Column) -> Column:
     """Timestamp of a year-first text; null when there is no such moment.
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions import values as V
+from tallyfold.session import stored
 
 COUNTERS = [
     "n", "int", "lead0", "dot", "amb", "tr", "usk", "amb_comma", "comma_dec", "stripped",
@@ -32,81 +33,108 @@ def unpivot_text(df: DataFrame, columns: list[str], keys: list[str]) -> DataFram
     )
 
 
-def profile_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Counters per ``keys`` + column over ``(keys…, column, value)`` rows, in one pass.
+def shape_counts(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """How often each ``keys`` + column has each shape, over ``(keys…, column, value)`` rows, in one pass.
 
-    Number texts are first collapsed to their shape (every digit a 9, a leading zero kept): a column
+    Number texts and texts that look like a date are collapsed to their shape (every digit a 9, a number's leading zero kept): a column
     of any size has a handful of shapes, so the exact patterns run on shapes, not on cells, and the
-    shuffles carry a few rows per column and task. A hot column or file is counted where its cells are.
+    shuffle carries a few rows per column and task. A hot column or file is counted where its cells are. No cell is parsed.
     """
     v, s, m = F.col("v"), F.col("s"), F.col("m")
     value = cells.select(*keys, "column", V.present(F.col("value")).alias("v"))
     stripped = value.withColumn("s", V.strip_money(v)).withColumn("m", V.accounting_sign(s))
 
-    # Only text that can be a date pays for the date forms: figures with commas or one dot cannot.
+    # Only text that can be a date is looked at for one: figures with commas or one dot cannot.
     marks = F.translate(v, V.DIGITS, "")
     figures = V.only_chars(marks, ".,") & (marks.contains(",") | (F.length(marks) < 2))
-    day_led = v.rlike(r"^\d{1,2}[./-]\d{1,2}[./-]\d\d|^\d{1,2}\.?\s+\p{L}|^\p{L}+\.?\s+\d")
     number = V.only_chars(m, V.NUMBER_CHARS)
+
+    def collapsed(text: Column) -> Column:
+        return F.translate(text, "012345678", "9" * 9)
+
     derived = stripped.select(
         *keys, "column", "v",
         (s != v).alias("noisy"),
-        F.when(number, F.translate(m, "012345678", "9" * 9)).alias("shape"),
+        F.when(number, collapsed(m)).alias("shape"),
         F.ltrim(m, F.lit("+-")).startswith("0").alias("zero_led"),
         F.when(~number & F.right(m, F.lit(1)).between("0", "9"), F.regexp_extract(m, r"[.,]\d+\z", 0)).alias("tail"),
-        F.when(~figures & day_led, V.dotted(v)).alias("day_first"),
-        F.when(~figures & v.rlike(r"^\d{4}[./-]\d"), V.dashed(v)).alias("year_first"),
+        F.when(~figures & V.date_like(v), collapsed(v)).alias("date_shape"),
     )
-
-    def tail_digits(text: Column, mark: str) -> Column:
-        return F.max(F.when(F.startswith(text, F.lit(mark)), F.length(text) - 1))
-
-    shaped = derived.groupBy(*keys, "column", "shape", "zero_led").agg(
+    return derived.groupBy(*keys, "column", "shape", "zero_led", "date_shape").agg(
         F.count("v").alias("n"),
         F.count_if("noisy").alias("stripped"),
-        F.count_if(V.full_match(F.col("year_first"), V.ISO_SHAPE)).alias("iso_shape"),
-        F.count_if(V.full_match(F.col("day_first"), V.DMY_SHAPE)).alias("dmy_shape"),
-        F.count(V.parse_iso(F.col("year_first"))).alias("iso_ok"),
-        F.count(V.parse_dmy(F.col("day_first"))).alias("dmy_ok"),
-        F.count(V.parse_mdy(F.col("day_first"))).alias("mdy_ok"),
         F.count_if(V.has_time(v)).alias("time"),
-        tail_digits(F.col("tail"), ".").alias("dot_tail"),
-        tail_digits(F.col("tail"), ",").alias("comma_tail"),
+        _tail_digits(F.col("tail"), ".").alias("dot_tail"),
+        _tail_digits(F.col("tail"), ",").alias("comma_tail"),
     )
+
+
+def _tail_digits(text: Column, mark: str) -> Column:
+    return F.max(F.when(F.startswith(text, F.lit(mark)), F.length(text) - 1))
+
+
+def _counted(shaped: DataFrame, keys: list[str]) -> DataFrame:
+    """The counters that shapes decide; ``iso_shape`` and ``dmy_shape`` count the values of a date's shape."""
     # A representative number of every shape: the leading zero is put back.
     typical = F.when(F.col("zero_led"), F.regexp_replace("shape", r"^([-+]*)9", "$10")).otherwise(F.col("shape"))
-    shaped = shaped.withColumn("typical", typical).withColumn("shape_tail", F.regexp_extract("shape", r"[.,]\d+\z", 0))
+    shaped = shaped.withColumn("typical", typical).withColumn("shape_tail", F.regexp_extract("shape", r"[.,]\d+\z", 0)).withColumn(
+        "day_first", V.dotted(F.col("date_shape"))).withColumn("year_first", V.dashed(F.col("date_shape")))
 
-    def matching(name: str) -> Column:
-        return F.coalesce(F.sum(F.when(V.full_match(F.col("typical"), V.SHAPES[name]), F.col("n"))), F.lit(0)).alias(name)
+    def matching(text: str, pattern: str) -> Column:
+        return F.coalesce(F.sum(F.when(V.full_match(F.col(text), pattern), F.col("n"))), F.lit(0))
 
     def digits(kept: str, mark: str) -> Column:
-        longest = F.greatest(F.max(kept), tail_digits(F.col("shape_tail"), mark))
+        longest = F.greatest(F.max(kept), _tail_digits(F.col("shape_tail"), mark))
         return F.coalesce(longest, F.lit(0)).cast("bigint")
 
-    counted = shaped.groupBy(*keys, "column").agg(
-        *[matching(name) for name in V.SHAPES],
-        *[F.sum(c).alias(c) for c in ("n", "stripped", "iso_shape", "dmy_shape", "iso_ok", "dmy_ok", "mdy_ok", "time")],
+    return shaped.groupBy(*keys, "column").agg(
+        *[matching("typical", pattern).alias(name) for name, pattern in V.SHAPES.items()],
+        *[F.sum(c).alias(c) for c in ("n", "stripped", "time")],
+        matching("year_first", V.ISO_SHAPE).alias("iso_shape"),
+        matching("day_first", V.DMY_SHAPE).alias("dmy_shape"),
         digits("dot_tail", ".").alias("frac_dot"),
         digits("comma_tail", ",").alias("frac_comma"),
     )
-    # A parse count stands only where every value has the shape; month first only where day first failed.
-    n = F.col("n")
-    whole_iso = (n > 0) & (F.col("iso_shape") == n)
-    whole_dmy = (n > 0) & (F.col("dmy_shape") == n)
-    return (
-        counted.withColumn("iso", F.when(whole_iso, F.col("iso_ok")).otherwise(0))
-        .withColumn("dmy", F.when(whole_dmy, F.col("dmy_ok")).otherwise(0))
-        .withColumn("mdy", F.when(whole_dmy & (F.col("dmy_ok") < n), F.col("mdy_ok")).otherwise(0))
-        .select(*keys, "column", *COUNTERS)
-    )
+
+
+def _parsed_dates(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """How many values of ``(keys…, column, value)`` rows parse, per reading order; each distinct value is parsed once."""
+    v = F.col("v")
+    distinct = cells.select(*keys, "column", V.present(F.col("value")).alias("v")).where(v.isNotNull()).groupBy(*keys, "column", "v").agg(F.count("*").alias("n"))
+    read = distinct.withColumn("year_first", F.when(v.rlike(r"^\d{4}[./-]\d"), V.dashed(v))).withColumn("day_first", F.when(F.col("year_first").isNull(), V.dotted(v)))
+    readings = {"iso_ok": V.parse_iso(F.col("year_first")), "dmy_ok": V.parse_dmy(F.col("day_first")), "mdy_ok": V.parse_mdy(F.col("day_first"))}
+    return read.groupBy(*keys, "column").agg(*[F.coalesce(F.sum(F.when(at.isNotNull(), F.col("n"))), F.lit(0)).alias(name) for name, at in readings.items()])
 
 
 def profile_text(df: DataFrame, columns: list[str] | None = None, keys: list[str] | None = None) -> DataFrame:
-    """Format counters of every text column, optionally per key (a file of a folder)."""
+    """Format counters of every text column, optionally per key (a file of a folder), in two stages.
+
+    The first counts shapes. Dates are parsed only in columns whose every value has a date's shape, and there over distinct values:
+    a parse count stands only for such columns, and month first only where day first failed.
+    """
     keys = keys or []
     columns = columns or [c for c in df.columns if c not in keys]
-    return profile_cells(unpivot_text(df, columns, keys), keys)
+    counted = stored(_counted(shape_counts(unpivot_text(df, columns, keys), keys), keys), "profile-shapes")
+    whole = counted.where((F.col("n") > 0) & F.col("n").isin(F.col("iso_shape"), F.col("dmy_shape")))
+    named = [r["column"] for r in whole.select("column").distinct().collect()]
+    parsed = counted.select(*keys, "column", *[F.lit(0).cast("bigint").alias(c) for c in ("iso_ok", "dmy_ok", "mdy_ok")]).limit(0)
+    if named:
+        cells = unpivot_text(df, named, keys)
+        if keys:
+            dated = whole.select(*[F.col(k).alias(f"of_{k}") for k in keys], F.col("column").alias("of_column"))
+            same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in [*keys, "column"]]
+            cells = cells.join(dated, same, "left_semi")
+        parsed = stored(_parsed_dates(cells, keys), "profile-dates")
+    both = parsed.select(*[F.col(k).alias(f"of_{k}") for k in [*keys, "column"]], "iso_ok", "dmy_ok", "mdy_ok")
+    joined = counted.join(both, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in [*keys, "column"]], "left")
+    n, dmy = F.col("n"), F.coalesce("dmy_ok", F.lit(0))
+    whole_iso, whole_dmy = (n > 0) & (F.col("iso_shape") == n), (n > 0) & (F.col("dmy_shape") == n)
+    return (
+        joined.withColumn("iso", F.when(whole_iso, F.coalesce("iso_ok", F.lit(0))).otherwise(0))
+        .withColumn("dmy", F.when(whole_dmy, dmy).otherwise(0))
+        .withColumn("mdy", F.when(whole_dmy & (dmy < n), F.coalesce("mdy_ok", F.lit(0))).otherwise(0))
+        .select(*keys, "column", *COUNTERS)
+    )
 
 
 def date_check(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -329,6 +329,20 @@ def quantiles(t: Tables) -> DataFrame:
     return Z.exact_quantiles(t.lineitem, "l_extendedprice", [0.25, 0.5, 0.75])
 
 
+# Half of all lines are dealt to one group.
+SKEWED = "CASE WHEN l_orderkey % 2 = 0 THEN 'hot' ELSE l_returnflag END"
+
+
+@query("grouped_medians", f"""
+    SELECT {SKEWED} AS mode, round(quantile_cont(l_extendedprice, 0.1), 4) AS q0, round(quantile_cont(l_extendedprice, 0.5), 4) AS q1,
+        round(quantile_cont(l_extendedprice, 0.9), 4) AS q2 FROM lineitem GROUP BY 1""")
+def grouped_medians(t: Tables) -> DataFrame:
+    """Medians and outer tenths per group, one of which has half of all rows."""
+    lines = t.lineitem.select(F.when(F.col("l_orderkey") % 2 == 0, F.lit("hot")).otherwise(F.col("l_returnflag")).alias("mode"), "l_extendedprice")
+    found = Z.grouped_quantiles(lines, ["mode"], "l_extendedprice", [0.1, 0.5, 0.9], keep=5_000)
+    return found.select("mode", *[F.round(q, 4).alias(q) for q in ("q0", "q1", "q2")])
+
+
 @query("quantiles_approx", "SELECT * FROM (VALUES (0.25::DOUBLE, true), (0.5, true), (0.75, true)) v(probability, within)")
 def quantiles_approx(t: Tables) -> DataFrame:
     """Whether the sketch's estimates have the ranks they should have, but for the sketch's bound."""

@@ -51,6 +51,34 @@ def sliding_limit_stream(t: Tables) -> DataFrame:
     return L.drained(L.sliding_limit_stream(stream, "user_id", "ts", "event_id", LIMIT, SECONDS, expire=False), "sliding-limit")
 
 
+# Batches are slices of four days; within a slice and over half a day more, events arrive in any order.
+SLICE_DAYS, SLICES, SCATTER_SECONDS = 4, 9, 43200
+DELAY_DAYS = 2 * SLICE_DAYS + 1
+
+
+@query("sliding_limit_event_time", SLIDING.replace("SELECT user_id, event_id, admitted, retry_after FROM r", f"""SELECT user_id, event_id, admitted, retry_after
+    FROM r JOIN (SELECT event_id, ts FROM events) USING (event_id) WHERE epoch_ms(ts) <= (SELECT epoch_ms(max(ts)) - {DELAY_DAYS * 86400000} FROM events)"""))
+def sliding_limit_event_time(t: Tables) -> DataFrame:
+    """Events that arrive out of order are decided in the order of their times; those that the watermark has not passed are still open."""
+    scatter = F.pmod(F.xxhash64("event_id"), F.lit(SCATTER_SECONDS))
+    first = t.events.select(F.min("ts").alias("first")).scalar()
+    arrival = F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(first.cast("timestamp")) + scatter
+    number = F.least(F.floor(arrival / (SLICE_DAYS * 86400)), F.lit(SLICES - 1))
+    stream = L.in_slices(t.events.select("user_id", "ts", "event_id"), number, SLICES)
+    return L.drained(L.sliding_limit_in_time(stream, "user_id", "ts", "event_id", LIMIT, SECONDS, f"{DELAY_DAYS} days"), "sliding-limit")
+
+
+INSTANT = "SELECT event_id, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS ts FROM events"
+
+
+@query("daily_budget_one_instant", f"""
+    WITH e AS ({INSTANT}), n AS (SELECT event_id, ts, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) AS n FROM e)
+    SELECT event_id, day, n <= 200 AS admitted, CASE WHEN n > 200 THEN 86400 END AS retry_after FROM n""")
+def daily_budget_one_instant(t: Tables) -> DataFrame:
+    """Dates without a time: every day is one instant, and goes by ids that are counted in ranges."""
+    return M.daily_budget(t.events.select("event_id", F.date_trunc("day", "ts").alias("ts")), "ts", "event_id", 200, keep=100)
+
+
 @query("daily_budget", """
     WITH n AS (SELECT event_id, ts, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM events)
     SELECT event_id, day, n <= 200 AS admitted,

@@ -6,7 +6,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
@@ -58,6 +58,77 @@ def sliding_limit_stream(
     return decided.select(F.col("key").alias(key), F.col("id").alias(id_), F.col("wait").isNull().alias("admitted"), F.col("wait").alias("retry_after"))
 
 
+class EventTimeLimit(StatefulProcessor):
+    """Decides a key's events in the order of their times: an event waits until the watermark has passed it.
+
+    What waits is the key's events of the watermark's delay, what is kept of the past the at most ``limit`` admitted times of the window.
+    One timer per key stands at the earliest waiting event, or, when none waits, at the end of the window, where the key's state goes.
+    """
+
+    def __init__(self, limit: int, window: int):
+        self.limit, self.window = limit, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.recent = handle.getListState("recent", StructType([StructField("t", LongType())]))
+        self.waiting = handle.getListState("waiting", StructType([StructField("t", LongType()), StructField("id", LongType())]))
+        self.timer = handle.getValueState("timer", StructType([StructField("at", LongType())]))
+
+    def _wake(self, at: int) -> None:
+        """The key's one timer, in milliseconds."""
+        if self.timer.exists():
+            self.handle.deleteTimer(self.timer.get()[0])
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for frame in rows:
+            if len(frame):
+                self.waiting.appendList([(int(t), int(i)) for t, i in zip(frame["t"], frame["id"])])
+                low = int(frame["t"].min()) // 1000
+                first = low if first is None else min(first, low)
+        # A timer for the end of the window gives way to the first waiting event.
+        if first is not None and (not self.timer.exists() or first < self.timer.get()[0]):
+            self._wake(first)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = (timerValues.getCurrentWatermarkInMs() + 1) * 1000  # a timer at the watermark's own millisecond has fired
+        self.timer.clear()
+        held = [(t, i) for t, i in self.waiting.get()]
+        due, rest = sorted(e for e in held if e[0] < passed), [e for e in held if e[0] >= passed]
+        recent = deque(sorted(r[0] for r in self.recent.get()))
+        waits = list(admit((t for t, _ in due), recent, self.limit, self.window))
+        while recent and recent[0] <= passed - self.window:
+            recent.popleft()
+        for state, left in ((self.recent, [(t,) for t in recent]), (self.waiting, rest)):
+            state.put(left) if left else state.clear()
+        if rest or recent:
+            self._wake(min(t for t, _ in rest) // 1000 if rest else (recent[-1] + self.window) // 1000)
+        if due:
+            yield pd.DataFrame({"key": key[0], "id": [i for _, i in due], "wait": pd.array(waits, dtype="Int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def sliding_limit_in_time(
+    events: DataFrame, key: str, ts: str, id_: str, limit: int = SLIDING_LIMIT, seconds: int = SLIDING_SECONDS, delay: str = "10 minutes"
+) -> DataFrame:
+    """Streaming form whose decisions are those of the batch form, in whatever order events arrive within ``delay``.
+
+    An event is decided once the watermark has reached its time. An event that the watermark had already reached in the batch before gets no decision and does
+    not count; Spark reports how many those were in the query's progress (``numRowsDroppedByWatermark``).
+    """
+    stamped = events.withColumn("at", F.col(ts).cast("timestamp")).withWatermark("at", delay)
+    rows = stamped.select(F.col(key).alias("key"), "at", micros(F.col("at")).alias("t"), F.col(id_).cast("bigint").alias("id"))
+    kind = dict(rows.dtypes)["key"]
+    decided = rows.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=EventTimeLimit(limit, seconds * MICRO), outputStructType=f"key {kind}, id bigint, wait bigint", outputMode="Append", timeMode="EventTime")
+    return decided.select(F.col("key").alias(key), F.col("id").alias(id_), F.col("wait").isNull().alias("admitted"), F.col("wait").alias("retry_after"))
+
+
 def windowed_counts(events: DataFrame, ts: str, by: list[str], width: str = "1 day", delay: str = "10 minutes") -> DataFrame:
     """Count and sum per tumbling window; a window is final once the watermark has passed its end."""
     stamped = events.withColumn("at", F.col(ts).cast("timestamp")).withWatermark("at", delay)
@@ -71,6 +142,16 @@ def read_table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
+def in_slices(df: DataFrame, number: Column, slices: int) -> DataFrame:
+    """A table as a stream whose batches are the slices 0, 1, … by ``number``, each in a scattered order."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "slices")
+    for i in range(slices):
+        df.where(number == i).repartition(F.xxhash64(*df.columns)).write.mode("append").parquet(f"{path}/slice={i}")
+    # Files are read by their age; no batch takes so many that it reaches beyond its slice and the next.
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/slice=*")
+
+
 def drained(stream: DataFrame, label: str) -> DataFrame:
     """Run a stream over what is there, write the results to the shared folder and read them back."""
     spark = stream.sparkSession

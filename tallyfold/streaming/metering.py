@@ -7,7 +7,9 @@ from collections import deque
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
+from tallyfold.operators.quantiles import KEPT_VALUES, value_at_rank
 from tallyfold.session import stored
 
 # ---- fixed values --------------------------------------------------------------------------------
@@ -118,12 +120,12 @@ def seconds_to_midnight(ts: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil((day - micros(ts) % day) / MICRO)).cast("bigint")
 
 
-def daily_budget(events: DataFrame, ts: str, id_: str, limit: int = DAILY_LIMIT) -> DataFrame:
+def daily_budget(events: DataFrame, ts: str, id_: str, limit: int = DAILY_LIMIT, keep: int = KEPT_VALUES) -> DataFrame:
     """``(id, day, admitted, retry_after)``: the first ``limit`` events of each UTC day are admitted.
 
     The rows of a day are never numbered as a whole. Counts per minute tell in which minute the limit falls, counts per
-    second and per instant where within it; only the rows of that one instant are ordered by id. All events are then
-    compared with one row per day.
+    second and per instant where within it. Events of that one instant go by id: the last admitted id is found by counts of id ranges, so a
+    day whose events all have one instant (dates without a time) is decided in many tasks too. All events are then compared with one row per day.
     """
     when, id_col = F.col(ts), F.col(id_)
     steps = {"minute": F.hour(when) * 60 + F.minute(when), "second": F.second(when.cast("timestamp")).cast("int"), "instant": micros(when)}
@@ -138,9 +140,15 @@ def daily_budget(events: DataFrame, ts: str, id_: str, limit: int = DAILY_LIMIT)
         keys = [*keys, step]
         crossing = stored(found.select(*keys, (F.col("still") - F.col("upto") + F.col("n")).alias("left")), f"budget-{step}")
         rows = rows.withColumn(step, place)
-    inside = rows.join(crossing, keys).withColumn("n", F.row_number().over(Window.partitionBy("day").orderBy(id_col)))
-    cut = stored(inside.filter(F.col("n") == F.col("left")).select("day", F.struct(when.alias("a"), id_col.alias("b")).alias("cut")), "budget-cut")
-    marked = rows.join(cut, "day", "left").withColumn(
-        "admitted", F.col("cut").isNull() | (F.struct(when.alias("a"), id_col.alias("b")) <= F.col("cut"))
-    )
+    inside = rows.join(crossing, keys)
+    if isinstance(events.schema[id_].dataType, NumericType):
+        ranks = crossing.select("day", (F.col("left") - 1).alias("rank"))
+        last = value_at_rank(inside.select("day", id_col.alias("last")), ["day"], "last", ranks, keep)
+    else:
+        numbered = inside.withColumn("n", F.row_number().over(Window.partitionBy("day").orderBy(id_col)))
+        last = numbered.filter(F.col("n") == F.col("left")).select("day", id_col.alias("last"))
+    cut = stored(last.join(crossing, "day").select("day", F.col("instant").alias("until"), "last"), "budget-cut")
+    at = micros(when)
+    within = F.col("until").isNull() | (at < F.col("until")) | ((at == F.col("until")) & (id_col <= F.col("last")))
+    marked = events.withColumn("day", when.cast("date")).join(cut, "day", "left").withColumn("admitted", within)
     return marked.select(id_col, "day", "admitted", F.when(~F.col("admitted"), seconds_to_midnight(when)).alias("retry_after"))

@@ -67,9 +67,9 @@ CASES = [
 @pytest.fixture(scope="module")
 def decisions(spark):
     cells = [(name, v) for name, vs, *_ in CASES for v in vs]
-    df = spark.createDataFrame(cells, "column string, value string")
-    rows = R.decide(R.profile_cells(df, [])).collect()
-    return {r["column"]: r for r in rows}
+    df = spark.createDataFrame(cells, "file string, value string")
+    rows = R.decide(R.profile_text(df, ["value"], ["file"])).collect()
+    return {r["file"]: r for r in rows}
 
 
 @pytest.mark.parametrize("case", CASES, ids=[c[0] for c in CASES])

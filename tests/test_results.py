@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from tallyfold.operators import quantiles as Z
 from tallyfold.operators import query as Q
 from tallyfold.operators import shape as S
 from tallyfold.sources import export as E
+from tallyfold.streaming import live as L
 from tallyfold.streaming import metering as M
 
 
@@ -145,6 +147,50 @@ def test_exact_quantiles(spark, keep):
         assert math.isclose(g, low + (high - low) * (at - math.floor(at)), rel_tol=1e-12)
 
 
+@pytest.mark.parametrize("keep", [20, 1_000_000])
+def test_grouped_quantiles_and_ranks(spark, keep):
+    """A hot group, a group of one value, a null key, ties and missing values, narrowed together."""
+    rng = random.Random(8)
+    rows = [("hot", round(rng.gauss(0, 50), 1)) for _ in range(4000)] + [("hot", 7.0)] * 1500 + [("one", 3.5)] * 60 + [("few", 1.0), ("few", 2.0), ("few", None)]
+    rows += [(None, float(i)) for i in range(100)] + [("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: tuple(r)[1:] for r in Z.grouped_quantiles(df, ["k"], "v", [0.0, 0.25, 0.9], keep=keep).collect()}
+    held = {}
+    for k, v in rows:
+        if v is not None:
+            held.setdefault(k, []).append(v)
+    assert set(got) == set(held)
+    for k, values in held.items():
+        values.sort()
+        for p, g in zip([0.0, 0.25, 0.9], got[k]):
+            at = p * (len(values) - 1)
+            low, high = values[math.floor(at)], values[math.ceil(at)]
+            assert math.isclose(g, low + (high - low) * (at - math.floor(at)), rel_tol=1e-12, abs_tol=1e-12)
+    ids = df.where("k is not null").select("k", F.xxhash64(F.monotonically_increasing_id()).alias("id"))
+    ranks = spark.createDataFrame([("hot", 0), ("hot", 2750), ("hot", 5499), ("hot", 9999), ("one", 59), ("lost", 1)], "k string, rank int")
+    listed = {}
+    for r in ids.collect():
+        listed.setdefault(r["k"], []).append(r["id"])
+    want = sorted((k, sorted(listed[k])[n]) for k, n in [("hot", 0), ("hot", 2750), ("hot", 5499), ("one", 59)])
+    assert sorted(map(tuple, Z.value_at_rank(ids, ["k"], "id", ranks, keep=keep).collect())) == want
+
+
+def test_events_are_decided_in_time_order(spark, tmp_path):
+    """Events arrive out of order within the delay; one that comes later than the watermark gets no decision and does not count."""
+    base = dt.datetime(2025, 1, 1)
+    batches = [[(0, 30, 1), (0, 10, 2), (1, 5, 3)], [(0, 20, 4), (0, 15, 5), (1, 200, 6)], [(0, 300, 8)], [(0, 12, 7), (0, 1000, 9), (1, 1000, 10)]]
+    stream_of = spark.readStream.schema("k long, ts timestamp, i long").option("maxFilesPerTrigger", 1)
+    for n, rows in enumerate(batches):
+        df = spark.createDataFrame([(k, base + dt.timedelta(seconds=s), i) for k, s, i in rows], "k long, ts timestamp, i long")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"b={n}"))
+        time.sleep(1.1)
+    stream = stream_of.parquet(str(tmp_path / "in" / "b=*"))
+    got = {(r["k"], r["i"]): r["admitted"] for r in L.drained(L.sliding_limit_in_time(stream, "k", "ts", "i", 2, 60, "100 seconds"), "in-time").collect()}
+    # The watermark stood at 100 s in the batch before event 7 (12 s), and stands at 900 s in the end.
+    in_time = [e for b in batches for e in b if e[2] != 7 and e[1] < 900]
+    assert got == brute_force(in_time, 2, 60)
+
+
 def test_outliers_and_text_only(spark):
     rows = [(("kuzey", "güney", "doğu")[i % 3], 40 + i * 7 % 13) for i in range(300)] + [("doğu", 9_000), ("kuzey", -6)]
     df = spark.createDataFrame(rows, "depo string, tutar int")

@@ -7,7 +7,10 @@ one table's part of a page; across the pages of a document only one summary row
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +34,8 @@ WRAP_GAP = 1.5
 OCR_CHARS, LOW_CONFIDENCE = 10, 70
 # -------------------------------------------------------------------------------------------------------
 
+_LINES_AT_A_TIME = 2_000
+
 PAGE = ["doc_id", "page"]
 TABLE = ["doc_id", "table_no"]
 
@@ -58,42 +63,70 @@ def split_spaced(glyphs: DataFrame) -> DataFrame:
     return out.filter((F.col("text") != "") & (F.col("h") > 0) & ~F.col("text").rlike(RULE_TEXT))
 
 
+def _line_of(words: list[tuple]) -> tuple:
+    """y, h, segments, x0 and x1 of one line's words ``(x0, y, x1, text, h, conf)``."""
+    words.sort(key=lambda w: w[:4])
+
+    def middle(at: int) -> float:
+        ordered, n = sorted(w[at] for w in words), len(words)
+        return 0.5 * ordered[(n - 1) // 2] + 0.5 * ordered[n // 2]
+
+    h, segments, reach = middle(4), [], None
+    for x0, _, x1, text, _, conf in words:
+        conf = 100.0 if conf is None else conf
+        if reach is None or x0 - reach > WORD_GAP * h:
+            segments.append({"text": [text], "x0": x0, "x1": x1, "conf": conf})
+        else:
+            open_ = segments[-1]
+            open_["text"].append(f" {text}" if x0 - reach > GLUE_GAP * h else text)
+            open_["x0"], open_["x1"], open_["conf"] = min(open_["x0"], x0), max(open_["x1"], x1), min(open_["conf"], conf)
+        reach = x1 if reach is None else max(reach, x1)
+    for part in segments:
+        part["text"] = "".join(part["text"])
+    return middle(1), h, segments, words[0][0], reach
+
+
 def page_lines(glyphs: DataFrame) -> DataFrame:
     """``(doc_id, page, line, y, h, segments, x0, x1)``: visual lines, each cut into segments at wide gaps.
 
-    A glyph belongs to the open line while its baseline is close to the line's first glyph.
+    A glyph belongs to the open line while its baseline is close to the line's first glyph. Pages pass through a task as a stream sorted by height: what is
+    held is one line, however many glyphs the page has. Glyphs without a place take no part.
     """
-    items = split_spaced(glyphs)
-    one_page = items.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y", "x0", "x1", "h", "text", "conf"))).alias("g"))
-
-    def place(acc: Column, g: Column) -> Column:
-        same = (acc["line"] >= 0) & (F.abs(g["y"] - acc["y"]) <= 0.5 * F.least(g["h"], acc["h"]))
-        line = F.when(same, acc["line"]).otherwise(acc["line"] + 1)
-        return F.struct(
-            line.alias("line"), F.when(same, acc["y"]).otherwise(g["y"]).alias("y"), F.when(same, acc["h"]).otherwise(g["h"]).alias("h"),
-            F.concat(acc["out"], F.array(line)).alias("out"),
-        )
-
-    start = F.struct(F.lit(-1).alias("line"), F.lit(0.0).alias("y"), F.lit(0.0).alias("h"), F.array().cast("array<int>").alias("out"))
-    lined = one_page.withColumn("no", F.aggregate("g", start, place, lambda a: a["out"]))
-    words = lined.select(*PAGE, F.inline(F.arrays_zip("g", "no"))).select(*PAGE, F.col("no").alias("line"), "g.*")
-    by_line = Window.partitionBy(*PAGE, "line")
-    in_order = by_line.orderBy("x0", "y", "x1", "text")
-    reach = F.max("x1").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    words = words.withColumn("line_h", F.median("h").over(by_line)).withColumn("line_y", F.median("y").over(by_line)).withColumn("gap", F.col("x0") - reach)
-    words = words.withColumn("starts", F.coalesce(F.col("gap") > WORD_GAP * F.col("line_h"), F.lit(True)))
-    words = words.withColumn("segment", F.sum(F.col("starts").cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    glued = F.when(~F.col("starts") & (F.col("gap") > GLUE_GAP * F.col("line_h")), F.concat(F.lit(" "), F.col("text"))).otherwise(F.col("text"))
-    segments = words.withColumn("glued", glued).withColumn("place", F.row_number().over(in_order)).groupBy(*PAGE, "line", "segment").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "glued"))), lambda w: w["glued"]), "").alias("text"),
-        F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min(F.coalesce("conf", F.lit(100.0))).alias("conf"),
-        F.first("line_y").alias("y"), F.first("line_h").alias("h"),
-    )
-    return segments.groupBy(*PAGE, "line").agg(
-        F.first("y").alias("y"), F.first("h").alias("h"),
-        F.transform(F.array_sort(F.collect_list(F.struct("segment", "text", "x0", "x1", "conf"))), lambda s: F.struct(s["text"], s["x0"], s["x1"], s["conf"])).alias("segments"),
-        F.min("x0").alias("x0"), F.max("x1").alias("x1"),
-    )
+    items = split_spaced(glyphs).where(F.col("y").isNotNull() & F.col("x0").isNotNull() & F.col("x1").isNotNull())
+    kinds = dict(items.dtypes)
+    placed = items.select(*PAGE, *[F.col(c).cast("double") for c in ("y", "x0", "x1", "h")], "text", F.col("conf").cast("double"))
+    segment = pa.struct([("text", pa.string()), ("x0", pa.float64()), ("x1", pa.float64()), ("conf", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, words, line, first_y, first_h, out = None, [], -1, 0.0, 0.0, []
+        names = [*PAGE, "line", "y", "h", "segments", "x0", "x1"]
+        types = None
+
+        def made() -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), types)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for batch in batches:
+            types = [batch.schema.field(0).type, batch.schema.field(1).type, pa.int32(), pa.float64(), pa.float64(), pa.list_(segment), pa.float64(), pa.float64()]
+            for doc_id, number, y, x0, x1, h, text, conf in zip(*(c.to_pylist() for c in batch.columns)):
+                if page != (doc_id, number) or abs(y - first_y) > 0.5 * min(h, first_h):
+                    if words:
+                        out.append((*page, line, *_line_of(words)))
+                    line = line + 1 if page == (doc_id, number) else 0
+                    page, words, first_y, first_h = (doc_id, number), [], y, h
+                words.append((x0, y, x1, text, h, conf))
+                if len(out) >= _LINES_AT_A_TIME:
+                    yield made()
+        if words:
+            out.append((*page, line, *_line_of(words)))
+        if out:
+            yield made()
+
+    ordered = placed.repartition(*PAGE).sortWithinPartitions(*PAGE, "y", "x0", "x1", "h", "text", "conf")
+    return ordered.mapInArrow(run, (
+        f"doc_id {kinds['doc_id']}, page {kinds['page']}, line int, y double, h double, "
+        "segments array<struct<text: string, x0: double, x1: double, conf: double>>, x0 double, x1 double"))
 
 
 def _furniture_key(lines: DataFrame) -> Column:

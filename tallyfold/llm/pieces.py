@@ -7,6 +7,7 @@ holds; what is encoded at a time is bounded by bytes too, so a task's memory doe
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -16,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-TABLE_BYTES = 72 << 20
-TEXT_BYTES = 3 << 20
+TABLE_BYTES = 128 << 20
+TEXT_BYTES = 8 << 20
 # What Python holds for an entry besides the characters and ids: two objects and a slot of the table.
 _ENTRY = 190
 
@@ -102,6 +103,14 @@ def encode_column(texts: pa.Array, known: Pieces) -> tuple[np.ndarray, np.ndarra
     The pieces of all texts are numbered by Arrow, so each distinct one is looked up once, and gathered by their numbers.
     """
     known.forget()
+    gc.disable()  # for these texts only: nothing here makes cycles, and the table is slow to walk
+    try:
+        return _encoded(texts, known)
+    finally:
+        gc.enable()
+
+
+def _encoded(texts: pa.Array, known: Pieces) -> tuple[np.ndarray, np.ndarray]:
     plain, apart = texts, np.zeros(len(texts), bool)
     if known.apart is not None:
         apart = pc.match_substring(texts, known.apart).to_numpy(zero_copy_only=False).astype(bool)

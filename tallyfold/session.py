@@ -17,7 +17,7 @@ RUNTIME_CONF = {
     # separate, compiled steps are faster than one fused, interpreted one.
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # Rows that go to Python tasks are held on both sides of the pipe: they go in small batches, whatever their length.
-    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

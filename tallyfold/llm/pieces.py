@@ -46,8 +46,10 @@ class Pieces(dict):
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def spelled(self, word: str) -> bytes:
-        """A piece that the tokenizer never cuts."""
-        return array("I", [t.id for t in self.spell(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        """The ids of a piece that the tokenizer never cuts; the table keeps them."""
+        ids = self[word] = array("I", [t.id for t in self.spell(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        self.held += _ENTRY + len(word) + len(ids)
+        return ids
 
     def remember(self, piece: str, ids: bytes) -> bytes:
         self[piece] = ids
@@ -74,7 +76,7 @@ class SpacedPieces(Pieces):
             base, tail = word.groups()
             if tail:
                 return self[base] + self[tail]
-            return self.remember(piece, self.spelled(piece))
+            return self.spelled(piece)
         if self._LINES.match(piece):
             return self.remember(piece, self["\n"].join([self[x] for x in piece.split("\n")]))
         return self.remember(piece, self.whole(piece))
@@ -91,7 +93,7 @@ class LowerPieces(Pieces):
             base, tail = word.groups()
             if tail:
                 return self[base] + self[tail]
-            return self.remember(piece, self.spelled(piece))
+            return self.spelled(piece)
         if "\n" in piece:
             return b"".join([self[x] for x in piece.split("\n") if x])
         return self.remember(piece, self.whole(piece))
@@ -120,7 +122,8 @@ def _encoded(texts: pa.Array, known: Pieces) -> tuple[np.ndarray, np.ndarray]:
     distinct, codes = numbered.dictionary.to_pylist(), numbered.indices.to_numpy().astype(np.int64)
     at = pieces.offsets.to_numpy().astype(np.int64)
     at -= at[0]
-    lists = [known[known.lead + x] for x in distinct]
+    lead = known.lead
+    lists = [known[f"{lead}{x}"] for x in distinct]
     if known.lead and len(texts):
         # The first piece of a text has no space before it; texts that are encoded whole take its place.
         lists += [known.whole(t.as_py()) if odd else known[distinct[c]] for odd, t, c in zip(apart, texts, codes[at[:-1]])]

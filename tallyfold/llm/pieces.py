@@ -148,11 +148,12 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = TEXT_BY
 _loaded: dict[tuple[type, str], Pieces] = {}
 
 
-def pieces_of(kind: Callable[[str], Pieces], path: str) -> Pieces:
-    """The worker's one table of this kind; tables of other kinds or files go."""
+def pieces_of(kind: Callable[[str, int], Pieces], path: str, limit: int = TABLE_BYTES) -> Pieces:
+    """The worker's one table of this kind, within ``limit`` bytes from now on; tables of other kinds or files go."""
     if (kind, path) not in _loaded:
         _loaded.clear()
-        _loaded[kind, path] = kind(path)
+        _loaded[kind, path] = kind(path, limit)
+    _loaded[kind, path].limit = limit
     return _loaded[kind, path]
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm.common import text_of
-from tallyfold.llm.pieces import SpacedPieces, by_bytes, encode_column, forget_pieces, pieces_of
+from tallyfold.llm.pieces import TABLE_BYTES, TEXT_BYTES, SpacedPieces, by_bytes, encode_column, forget_pieces, pieces_of
 from tallyfold.session import scratch_path
 
 END_ID = 0
@@ -32,11 +32,14 @@ STRIPE_BYTES = 32 << 20
 ROW_GROUP = 1_000
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID) -> None:
-    """Write the documents' ids below ``path``. ``vocabulary`` is a file of the tokenizers library that every executor has."""
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, table_bytes: int = TABLE_BYTES, text_bytes: int = TEXT_BYTES) -> None:
+    """Write the documents' ids below ``path``. ``vocabulary`` is a file of the tokenizers library that every executor has.
+
+    ``table_bytes`` and ``text_bytes`` bound what a worker remembers and what it encodes at a time; they change the speed only.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pieces_of(SpacedPieces, vocabulary)
-        for part in by_bytes(batches, 1):
+        known = pieces_of(SpacedPieces, vocabulary, table_bytes)
+        for part in by_bytes(batches, 1, text_bytes):
             sizes, ids = encode_column(part.column(1), known)
             ends = np.cumsum(sizes)
             closed = pa.array(np.insert(ids, ends, end_id))
@@ -75,8 +78,8 @@ def read_tokens(spark, path: str) -> DataFrame:
     return placed.join(starts, "file").select("doc_id", (F.col("file_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_output(docs: DataFrame, vocabulary: str) -> DataFrame:
+def token_output(docs: DataFrame, vocabulary: str, table_bytes: int = TABLE_BYTES, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """Write the ids of ``docs`` to the shared folder and describe what was read back from the files."""
     path = scratch_path(docs.sparkSession, "tokens")
-    write_tokens(docs, path, vocabulary)
+    write_tokens(docs, path, vocabulary, END_ID, table_bytes, text_bytes)
     return read_tokens(docs.sparkSession, path)

@@ -16,15 +16,22 @@ MIN_POINTS_PARTIAL = 3
 # -----------------------------------------------------------------------------------------------------
 
 
-def bar_facts(df: DataFrame, x: str, y: str, summable: bool = False) -> DataFrame:
-    """Largest and smallest bar, how far apart, and the sum where summing means something."""
-    points = df.filter(F.col(y).isNotNull()).select(F.col(x).cast("string").alias("x"), F.col(y).cast("double").alias("y"))
+def bar_facts(df: DataFrame, x: str, y: str, summable: bool = False, series: str | None = None) -> DataFrame:
+    """Largest and smallest bar, how far apart, and the sum where summing means something.
+
+    With ``series`` every pair of x and label is a bar; ``max_series`` and ``min_series`` name the labels. Equal bars: the smaller x, then label.
+    """
+    label = [F.coalesce(F.col(series).cast("string"), F.lit(S.NO_LABEL)).alias("series")] if series else []
+    points = df.filter(F.col(y).isNotNull()).select(F.col(x).cast("string").alias("x"), F.col(y).cast("double").alias("y"), *label)
+    bar = ["x", "series"] if series else ["x"]
     row = points.agg(
         F.count("*").alias("points"),
-        F.min_by("x", F.struct(-F.col("y"), F.col("x"))).alias("max_x"), F.max("y").alias("max_value"),
-        F.min_by("x", F.struct(F.col("y"), F.col("x"))).alias("min_x"), F.min("y").alias("min_value"),
+        F.min_by(F.struct(*bar), F.struct(-F.col("y"), *bar)).alias("max"), F.max("y").alias("max_value"),
+        F.min_by(F.struct(*bar), F.struct("y", *bar)).alias("min"), F.min("y").alias("min_value"),
         (F.sum("y") if summable else F.max(F.lit(None).cast("double"))).alias("total"),
     )
+    names = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for c in bar for side in ("max", "min")]
+    row = row.select("points", *names, "max_value", "min_value", "total")
     apart = F.when(F.col("min_value") > 0, (F.col("max_value") - F.col("min_value")) / F.col("min_value"))
     return row.filter(F.col("points") > 0).withColumn("all_equal", F.col("max_value") == F.col("min_value")).withColumn(
         "difference", F.when(~F.col("all_equal"), apart)

@@ -8,6 +8,7 @@ one table's part of a page; across the pages of a document only one summary row
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
@@ -31,6 +32,7 @@ SAME_EXTENT = 0.85
 RULE_WIDTH, RULE_COVER, RULE_APART = 1.5, 0.5, 2.0
 HEADER_WIDTH, COVER_ALLOWED = 0.7, 0.08
 WRAP_GAP = 1.5
+BELOW_BASE = 0.3
 OCR_CHARS, LOW_CONFIDENCE = 10, 70
 # -------------------------------------------------------------------------------------------------------
 
@@ -239,15 +241,16 @@ def column_bounds(lines: DataFrame, rules: DataFrame | None = None) -> DataFrame
     )
 
 
+def _column_of(s: Column) -> Column:
+    return F.size(F.filter("bounds", lambda b: b < (s["x0"] + s["x1"]) / 2))
+
+
 def line_cells(lines: DataFrame, bounds: DataFrame) -> DataFrame:
     """``(doc_id, table_no, page, line, y, cells)``: segments dealt into columns by their centre."""
-    def column(s: Column) -> Column:
-        return F.size(F.filter("bounds", lambda b: b < (s["x0"] + s["x1"]) / 2))
-
     placed = lines.join(bounds, TABLE)
     at = F.sequence(F.lit(0), F.size("bounds"))
     cells = F.transform(at, lambda c: F.nullif(
-        F.array_join(F.transform(F.filter("segments", lambda s: column(s) == c), lambda s: s["text"]), " "), F.lit("")
+        F.array_join(F.transform(F.filter("segments", lambda s: _column_of(s) == c), lambda s: s["text"]), " "), F.lit("")
     ))
     return placed.select(*TABLE, "page", "line", "y", cells.alias("cells"))
 
@@ -295,14 +298,67 @@ def merge_wrapped(cells: DataFrame) -> DataFrame:
     return plain.unionByName(folded)
 
 
+def cell_boxes(lines: DataFrame, bounds: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(doc_id, table_no, row STRUCT<page, line>, col, page, text, x0, y0, x1, y1, conf)``: filled cells with the box around their segments.
+
+    ``rows`` are merged rows: the lines that were merged into a row widen the boxes of its cells. A cell's confidence is its lowest segment's.
+    Empty cells have no box.
+    """
+    order = Window.partitionBy(*TABLE, "page").orderBy("line")
+    heads = rows.select(*TABLE, "page", "line", F.col("line").alias("head"))
+    owned = lines.join(heads, [*TABLE, "page", "line"], "left").withColumn("head", F.last("head", ignorenulls=True).over(order))
+    parts = owned.join(bounds, TABLE).select(*TABLE, "page", F.col("head").alias("line"), "y", "h", F.inline(
+        F.transform("segments", lambda s: F.struct(_column_of(s).alias("col"), s["x0"].alias("x0"), s["x1"].alias("x1"), s["conf"].alias("conf")))
+    ))
+    boxes = parts.groupBy(*TABLE, "page", "line", "col").agg(
+        F.min("x0").alias("x0"), F.min(F.col("y") - F.col("h")).alias("y0"), F.max("x1").alias("x1"),
+        F.max(F.col("y") + BELOW_BASE * F.col("h")).alias("y1"), F.min("conf").alias("conf"),
+    )
+    texts = rows.select(*TABLE, "page", "line", F.posexplode("cells").alias("col", "text")).filter(F.col("text").isNotNull())
+    return texts.join(boxes, [*TABLE, "page", "line", "col"]).select(
+        *TABLE, F.struct("page", "line").alias("row"), "col", "page", "text", "x0", "y0", "x1", "y1", "conf"
+    )
+
+
+@dataclass(frozen=True)
+class Layout:
+    """What several steps read of a set of pages, each written once."""
+
+    lines: DataFrame  # all lines, with ``furniture``
+    linked: DataFrame  # lines of tables, with ``table_no``
+    bounds: DataFrame  # column bounds per table
+    rows: DataFrame  # ``(doc_id, table_no, page, line, cells, merged)``
+
+
+def lay_out(glyphs: DataFrame, pages: DataFrame, rules: DataFrame | None = None) -> Layout:
+    """Page text to lines, tables and merged rows."""
+    lines = settled(drop_page_furniture(settled(page_lines(glyphs)), pages))
+    linked = settled(link_across_pages(settled(page_regions(lines)), pages))
+    bounds = settled(column_bounds(linked, rules))
+    return Layout(lines, linked, bounds, merge_wrapped(settled(line_cells(linked, bounds))))
+
+
 def extract_tables(glyphs: DataFrame, pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """``(doc_id, table_no, page, line, cells, merged)``: page text to table rows in reading order."""
-    # Each of these is read by several steps after it, so it is written once.
-    lines = settled(page_lines(glyphs))
-    regions = settled(page_regions(drop_page_furniture(lines, pages)))
-    linked = settled(link_across_pages(regions, pages))
-    bounds = settled(column_bounds(linked, rules))
-    return merge_wrapped(settled(line_cells(linked, bounds)))
+    return lay_out(glyphs, pages, rules).rows
+
+
+def extract_cells(glyphs: DataFrame, pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Page text to table cells with their boxes, see ``cell_boxes``; ``second_readings`` takes them."""
+    made = lay_out(glyphs, pages, rules)
+    return cell_boxes(made.linked, made.bounds, settled(made.rows))
+
+
+def layout_report(layout: Layout, glyphs: DataFrame, pages: DataFrame) -> DataFrame:
+    """``(doc_id, pages, ocr_pages, furniture_lines, tables, merged_rows)`` for every document that has a page."""
+    seen = pages.select(*PAGE).distinct()
+    counts = needs_ocr(glyphs, seen).groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if("needs_ocr").alias("ocr_pages"))
+    dropped = layout.lines.groupBy("doc_id").agg(F.count_if("furniture").alias("furniture_lines"))
+    # Rows of a table first, so that a long document is a few rows before its tables are counted.
+    tables = layout.rows.groupBy(*TABLE).agg(F.sum("merged").alias("merged")).groupBy("doc_id").agg(
+        F.count("*").alias("tables"), F.sum("merged").alias("merged_rows")
+    )
+    return counts.join(dropped, "doc_id", "left").join(tables, "doc_id", "left").na.fill(0)
 
 
 def to_sheet_rows(tables: DataFrame) -> DataFrame:

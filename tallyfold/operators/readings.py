@@ -1,7 +1,7 @@
 """Cross-check of recognised figures: a value counts only when two readings agree.
 
 Readings are ``(doc_id, row, col, engine, text, conf)``; engine 1 read the table, engine 2 the page again, higher
-numbers re-read single cells.
+numbers re-read single cells. Where a document may hold several tables, ``table_no`` tells them apart.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ VALUE_SHARE, SHORT_TOKEN, SAME_PLACE, BOX_PAD = 0.6, 4, 0.6, 1
 BAND = 40
 # -------------------------------------------------------------------------------------------------------
 
-CELL = ["doc_id", "row", "col"]
+
+def _table_of(df: DataFrame) -> list[str]:
+    return ["doc_id", "table_no"] if "table_no" in df.columns else ["doc_id"]
 
 
 def compact(c: Column) -> Column:
@@ -45,10 +47,11 @@ def is_value(c: Column) -> Column:
 def value_columns(first: DataFrame) -> DataFrame:
     """Columns whose filled cells below the first are mostly values."""
     marked = first.filter(F.col("text").isNotNull()).withColumn("v", is_value(digitize(F.col("text"))).cast("int"))
-    columns = marked.groupBy("doc_id", "col").agg(F.count("*").alias("n"), F.sum("v").alias("values"), F.min_by("v", "row").alias("top"))
+    table = _table_of(first)
+    columns = marked.groupBy(*table, "col").agg(F.count("*").alias("n"), F.sum("v").alias("values"), F.min_by("v", "row").alias("top"))
     body = F.when(F.col("n") > 1, F.col("n") - 1).otherwise(F.col("n"))
     values = F.when(F.col("n") > 1, F.col("values") - F.col("top")).otherwise(F.col("values"))
-    return columns.filter(values >= VALUE_SHARE * body).select("doc_id", "col")
+    return columns.filter(values >= VALUE_SHARE * body).select(*table, "col")
 
 
 def _with_marks(agreed: Column, marked: Column) -> Column:
@@ -64,17 +67,19 @@ def _with_marks(agreed: Column, marked: Column) -> Column:
 
 def reading_vote(readings: DataFrame) -> DataFrame:
     """``(doc_id, row, col, text, checked, corrected, uncertain)`` for every cell of the first engine."""
+    table = _table_of(readings)
+    cell = [*table, "row", "col"]
     first = readings.filter(F.col("engine") == 1)
     columns = value_columns(first).withColumn("in_value_column", F.lit(True))
-    cells = readings.groupBy(*CELL).agg(
+    cells = readings.groupBy(*cell).agg(
         F.max(F.when(F.col("engine") == 1, F.col("text"))).alias("first"), F.max(F.when(F.col("engine") == 2, F.col("text"))).alias("second"),
         F.max((F.col("engine") == 1).cast("int")).alias("there"),
         F.transform(F.array_sort(F.collect_list(F.struct("engine", "text"))), lambda r: r["text"]).alias("all"),
-    ).filter("there = 1").join(columns, ["doc_id", "col"], "left").withColumn("in_value_column", F.coalesce("in_value_column", F.lit(False)))
-    value_rows = cells.groupBy("doc_id", "row").agg(
+    ).filter("there = 1").join(columns, [*table, "col"], "left").withColumn("in_value_column", F.coalesce("in_value_column", F.lit(False)))
+    value_rows = cells.groupBy(*table, "row").agg(
         F.coalesce(F.bool_or(F.col("in_value_column") & is_value(digitize(F.col("first")))), F.lit(False)).alias("value_row")
     )
-    known = cells.join(value_rows, ["doc_id", "row"])
+    known = cells.join(value_rows, [*table, "row"])
     text, second = F.col("first"), F.col("second")
     misread = (F.length(compact(text)) <= SHORT_TOKEN) | text.rlike(r"\d")
     checked = F.col("in_value_column") & F.col("value_row") & text.isNotNull() & (is_value(text) | misread)
@@ -90,7 +95,7 @@ def reading_vote(readings: DataFrame) -> DataFrame:
         .when(changed, F.col("value")).otherwise(text)
     )
     return known.select(
-        *CELL, result.alias("text"), "checked", (F.col("open") & F.coalesce(changed, F.lit(False))).alias("corrected"),
+        *cell, result.alias("text"), "checked", (F.col("open") & F.coalesce(changed, F.lit(False))).alias("corrected"),
         (F.col("open") & F.col("value").isNull()).alias("uncertain"),
     )
 
@@ -100,17 +105,18 @@ def _bands(df: DataFrame, low: Column, high: Column) -> DataFrame:
     return df.withColumn("band", F.explode(F.sequence(F.floor(low / BAND), F.floor(high / BAND))))
 
 
-def second_readings(boxes: DataFrame, words: DataFrame) -> DataFrame:
-    """Engine 2's text of each cell: the words whose centre lies in the cell's box."""
+def second_readings(boxes: DataFrame, words: DataFrame, engine: int = 2) -> DataFrame:
+    """A further engine's text of each cell: the words whose centre lies in the cell's box."""
+    cell = [*_table_of(boxes), "row", "col"]
     cells = _bands(boxes, F.col("y0") - BOX_PAD, F.col("y1") + BOX_PAD)
     centre_y = F.col("y") - F.col("h") / 2
     placed = words.select("doc_id", "page", F.col("text").alias("word"), F.col("x0").alias("wx"), ((F.col("x0") + F.col("x1")) / 2).alias("cx"), centre_y.alias("cy"))
     placed = placed.withColumn("band", F.floor(F.col("cy") / BAND))
     inside = F.col("cx").between(F.col("x0") - BOX_PAD, F.col("x1") + BOX_PAD) & F.col("cy").between(F.col("y0") - BOX_PAD, F.col("y1") + BOX_PAD)
     met = cells.join(placed, ["doc_id", "page", "band"]).filter(inside)
-    return met.groupBy(*CELL).agg(
+    return met.groupBy(*cell).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("wx", "word"))), lambda w: w["word"]), " ").alias("text")
-    ).select(*CELL, F.lit(2).alias("engine"), "text")
+    ).select(*cell, F.lit(engine).alias("engine"), "text")
 
 
 def restore_letters(words: DataFrame, letters: DataFrame) -> DataFrame:

@@ -116,31 +116,47 @@ def format_check(df: DataFrame, declared: dict[str, str]) -> DataFrame:
     return counts.select(F.inline(F.array(*[row(i, c) for i, c in enumerate(names)])))
 
 
-def valid_views(df: DataFrame, summable: list[str] | None = None, partial: bool = False) -> DataFrame:
-    """One row of flags: as what this result may be shown, and the shape it takes by default."""
+def valid_views(
+    df: DataFrame, summable: list[str] | None = None, partial: bool = False, x: str | None = None, y: str | None = None, series: str | None = None
+) -> DataFrame:
+    """One row of flags: as what this result may be shown, and the shape it takes by default.
+
+    Without ``x`` a result with one column that is no number is drawn over it. With ``series`` there is a bar or line per label: at most eight
+    labels, each pair of x and label once; a pie is offered for a single label only. A series that is x or y itself counts as none.
+    """
     plain = normalize_result(df)
     numbers = [f.name for f in plain.schema.fields if isinstance(f.dataType, T.DoubleType)]
     dims = [f.name for f in plain.schema.fields if not isinstance(f.dataType, T.DoubleType)]
-    charted = len(dims) == 1 and bool(numbers)
-    x = F.col(f"`{dims[0]}`") if charted else F.lit(None).cast("string")
-    y = F.col(f"`{numbers[0]}`") if numbers else F.lit(None).cast("double")
-    per_x = plain.groupBy(x.alias("x")).agg(F.count("*").alias("n"), F.count(y).alias("filled"), F.min(y).alias("low"), F.sum(y).alias("sum"))
-    dated = F.coalesce(F.bool_and(F.col("x").isNull() | F.col("x").rlike(ISO_LIKE)), F.lit(False)) & F.lit(charted)
+    x = x or (dims[0] if len(dims) == 1 else None)
+    y = y or (numbers[0] if numbers else None)
+    series = None if series in (x, y) else series
+    charted = x is not None and y in numbers and x != y
+    x_of = F.col(f"`{x}`") if charted else F.lit(None).cast("string")
+    y_of = F.col(f"`{y}`") if y in numbers else F.lit(None).cast("double")
+    keys = [x_of.alias("x")] + ([F.struct(F.col(f"`{series}`").alias("label")).alias("series")] if series else [])
+    cells = plain.groupBy(*keys).agg(F.count("*").alias("n"), F.count(y_of).alias("filled"), F.min(y_of).alias("low"), F.sum(y_of).alias("sum"))
+    # Without a series the cells already lie by x, so nothing moves a second time.
+    per_x = cells.groupBy("x").agg(
+        F.max("n").alias("most"), F.sum("n").alias("n"), F.sum("filled").alias("filled"), F.min("low").alias("low"), F.sum("sum").alias("sum")
+    )
+    labels = cells.agg(F.count_distinct("series").alias("labels")).scalar() if series else F.lit(1)
+    dated = F.coalesce(F.bool_and(F.col("x").isNull() | F.col("x").cast("string").rlike(ISO_LIKE)), F.lit(False)) & F.lit(charted)
     facts = per_x.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("points"),
-        (F.max("n") == 1).alias("unique"), (F.sum("filled") == F.sum("n")).alias("filled"),
-        F.min("low").alias("low"), F.sum("sum").alias("total"), dated.alias("dated"),
+        (F.max("most") == 1).alias("unique"), (F.sum("filled") == F.sum("n")).alias("filled"),
+        F.min("low").alias("low"), F.sum("sum").alias("total"), dated.alias("dated"), labels.alias("labels"),
     )
-    whole, drawn = F.lit(not partial) & (F.col("rows") > 0), F.lit(charted) & F.coalesce(F.col("unique"), F.lit(False))
+    whole = F.lit(not partial) & (F.col("rows") > 0)
+    drawn = F.lit(charted) & F.coalesce(F.col("unique"), F.lit(False)) & (F.col("labels") <= MAX_SERIES)
     default = (
         F.when(F.col("rows") == 0, "empty").when(F.lit(partial), "table").when(F.col("rows") == 1, "metric")
         .when(F.col("bar") & ~F.col("dated"), "bar").when(F.col("line"), "line").otherwise("table")
     )
-    can_sum = bool(numbers) and numbers[0] in (summable or [])
+    can_sum = charted and y in (summable or [])
     return (
         facts.withColumn("bar", whole & drawn & (F.col("points") <= MAX_BARS))
         .withColumn("line", whole & drawn & F.col("dated") & (F.col("points") <= MAX_LINE_POINTS))
-        .withColumn("pie", whole & drawn & F.lit(can_sum) & F.col("filled") & (F.col("low") >= 0) & (F.col("total") > 0))
+        .withColumn("pie", whole & drawn & (F.col("labels") == 1) & F.lit(can_sum) & F.col("filled") & (F.col("low") >= 0) & (F.col("total") > 0))
         .withColumn("metric", whole & (F.col("rows") == 1))
         .withColumn("table", F.col("rows") > 0)
         .withColumn("default_view", default)

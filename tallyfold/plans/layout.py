@@ -183,3 +183,87 @@ def restore_letters(t: Tables) -> DataFrame:
     main = words(F.when(kind == 2, "5O").otherwise("Besiktas"))
     letters = words(F.when(kind == 0, "Beşiktaş").when(kind == 1, "Bakırköy").otherwise("50"))
     return R.restore_letters(main, letters).select("doc_id", "text", "restored")
+
+
+# ---- from glyphs to voted cells ------------------------------------------------------------------------------
+
+
+def ruled_pages(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Glyphs, pages, rules and the words of two further readings: every page of a report as a document of its own.
+
+    Two drawn rules leave three columns, so order number and status are one cell although a gap lies between them. The first reading takes a 9 for a g,
+    or reads an amount wrongly; the second is right; the third sides with the second, or with nobody.
+    """
+    doc_id = (F.col("o_custkey") * 100_000 + F.col("page")).cast("bigint").alias("doc_id")
+    rows = numbered_orders(t).select(doc_id, "*").withColumn("y", F.lit(144) + F.col("n") % ROWS * 24)
+    kind, price = F.col("o_orderkey") % 10, F.col("o_totalprice")
+    right, wrong, other = (local_number(price + k) for k in (0, 1, 2))
+    first = F.when(kind == 1, F.translate(right, "9", "g")).when(kind.isin(2, 3), wrong).otherwise(right)
+    more = F.when(F.col("o_orderkey") % 11 == 0, _item(F.lit("devamı"), 110.0, F.col("y") + 12))
+
+    def items(*amounts: Column) -> Column:
+        all_of = [
+            _item(F.col("o_orderkey").cast("string"), 40.0, F.col("y")), _item(F.concat(F.lit("Durum "), F.col("o_orderstatus")), 110.0, F.col("y")),
+            *[_item(a, 260.0, F.col("y")) for a in amounts], _item(F.date_format("o_orderdate", "dd.MM.yyyy"), 400.0, F.col("y")), more,
+        ]
+        return F.filter(F.array(*all_of), lambda i: i.isNotNull())
+
+    one = F.lit(1).alias("page")
+    heads = rows.select("doc_id").distinct()
+    titles = F.array(*[_item(F.lit(title), x, F.lit(120)) for title, x in (("Sipariş", 40.0), ("Durumu", 110.0), ("Tutar", 260.0), ("Tarih", 400.0))])
+    glyphs = rows.select("doc_id", one, F.inline(items(first))).unionByName(heads.select("doc_id", one, F.inline(titles)))
+    glyphs = glyphs.select("*", F.lit(10.0).alias("h"), F.lit(90.0).alias("conf"))
+    pages = heads.select("doc_id", one, F.lit(595.0).alias("width"), F.lit(842.0).alias("height"))
+    rules = heads.select("doc_id", one, F.explode(F.array(F.lit(250.0), F.lit(390.0))).alias("x0")).select(
+        "*", F.col("x0").alias("x1"), F.lit(100.0).alias("y0"), F.lit(400.0).alias("y1"))
+    second = rows.select("doc_id", one, F.lit(2).alias("engine"), F.inline(items(right)))
+    third = rows.filter(kind.isin(2, 3)).select("doc_id", one, F.lit(3).alias("engine"), F.inline(F.array(_item(F.when(kind == 2, right).otherwise(other), 260.0, F.col("y")))))
+    return glyphs, pages, rules, second.unionByName(third).withColumn("h", F.lit(10.0))
+
+
+def _cell_sql(col: int, text: str, checked: str = "true", corrected: str = "false", uncertain: str = "false") -> str:
+    at = "o_custkey * 100000 + n // 8 + 1 AS doc_id"
+    return f"SELECT {at}, o_orderkey, {col} AS col, {text} AS text, {checked} AS checked, {corrected} AS corrected, {uncertain} AS uncertain FROM {N}"
+
+
+STATUS_CELL = "o_orderkey || ' Durum ' || o_orderstatus || CASE WHEN o_orderkey % 11 = 0 THEN ' devamı' ELSE '' END"
+VOTED = f"""({_cell_sql(0, STATUS_CELL, "false")} UNION ALL {_cell_sql(2, "strftime(o_orderdate, '%d.%m.%Y')")}
+    UNION ALL {_cell_sql(1, f"CASE WHEN o_orderkey % 10 = 3 THEN {WRONG} || ' (?)' ELSE {LOCAL} END", "true",
+                         f"(o_orderkey % 10 = 1 AND contains({LOCAL}, '9')) OR o_orderkey % 10 = 2", "o_orderkey % 10 = 3")})"""
+
+
+@query("voted_cells", f"""
+    SELECT doc_id, col, text, checked, corrected, uncertain FROM {VOTED}
+    UNION ALL SELECT DISTINCT o_custkey * 100000 + n // 8 + 1, v.col, v.text, false, false, false FROM {N},
+        (VALUES (0, 'Sipariş Durumu'), (1, 'Tutar'), (2, 'Tarih')) v(col, text)""")
+def voted_cells(t: Tables) -> DataFrame:
+    """Page text to a ruled table, its cells' boxes, what further readings say inside them, and the vote."""
+    glyphs, pages, rules, words = ruled_pages(t)
+    boxes = settled(G.extract_cells(glyphs, pages, rules))
+    first = boxes.select("doc_id", "table_no", "row", "col", F.lit(1).alias("engine"), "text")
+    readings = first
+    for engine in (2, 3):
+        readings = readings.unionByName(R.second_readings(boxes, words.filter(F.col("engine") == engine), engine))
+    return R.reading_vote(readings).select("doc_id", "col", "text", "checked", "corrected", "uncertain")
+
+
+@query("cell_boxes", f"""
+    SELECT o_custkey * 100000 + n // 8 + 1 AS doc_id, v.col, v.x0, 134.0 + n % 8 * 24 AS y0,
+           147.0 + n % 8 * 24 + CASE WHEN v.col = 0 AND o_orderkey % 11 = 0 THEN 12 ELSE 0 END AS y1, 90.0::DOUBLE AS conf
+    FROM {N}, (VALUES (0, 40.0), (1, 260.0), (2, 400.0)) v(col, x0)
+    UNION ALL SELECT DISTINCT o_custkey * 100000 + n // 8 + 1, v.col, v.x0, 110.0, 123.0, 90.0 FROM {N}, (VALUES (0, 40.0), (1, 260.0), (2, 400.0)) v(col, x0)""")
+def cell_boxes(t: Tables) -> DataFrame:
+    glyphs, pages, rules, _ = ruled_pages(t)
+    return G.extract_cells(glyphs, pages, rules).select("doc_id", "col", "x0", F.round("y0", 6).alias("y0"), F.round("y1", 6).alias("y1"), "conf")
+
+
+@query("layout_report", f"""
+    SELECT o_custkey AS doc_id, max(n // 8 + 1) + CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE 0 END AS pages, CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE 0 END AS ocr_pages,
+           max(n // 8 + 1) AS furniture_lines, 1 AS tables, count(*) FILTER (o_orderkey % 11 = 0) AS merged_rows FROM {N} GROUP BY o_custkey""")
+def layout_report(t: Tables) -> DataFrame:
+    """Pages, pages without text, dropped and merged lines per report; every fifth report ends with a page without text."""
+    glyphs, pages = report_pages(t)
+    blank = pages.filter(F.col("doc_id") % 5 == 0).groupBy("doc_id", "width", "height").agg((F.max("page") + 1).alias("page"))
+    pages = pages.unionByName(blank)
+    made = G.lay_out(glyphs, pages)
+    return G.layout_report(made, glyphs, pages)

@@ -83,22 +83,33 @@ def format_check(t: Tables) -> DataFrame:
     return S.format_check(rows, declared)
 
 
+BY_PRIORITY = "(SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS m, o_orderpriority FROM orders)"
+
+
 @query("valid_views", f"""
     SELECT 'months' AS result, count(*) AS rows, false AS metric, count(*) <= 30 AS bar, count(*) <= 2000 AS line, min(y) >= 0 AS pie, true AS "table", 'line' AS default_view FROM {MONTHLY}
     UNION ALL SELECT 'brands', count(*), false, count(*) <= 30, false, true, true, 'bar' FROM {BRANDS}
     UNION ALL SELECT 'one', 1, true, false, false, false, true, 'metric'
     UNION ALL SELECT 'raw', count(*), false, false, false, false, true, 'table' FROM orders
-    UNION ALL SELECT 'balances', count(*), false, true, false, min(b) >= 0, true, 'bar' FROM (SELECT c_mktsegment, min(c_acctbal) AS b FROM customer GROUP BY 1)""")
+    UNION ALL SELECT 'balances', count(*), false, true, false, min(b) >= 0, true, 'bar' FROM (SELECT c_mktsegment, min(c_acctbal) AS b FROM customer GROUP BY 1)
+    UNION ALL SELECT 'months by priority', count(*), false, count(DISTINCT m) <= 30, true, false, true, 'line' FROM {BY_PRIORITY}
+    UNION ALL SELECT 'priority by status', count(*), false, true, false, false, true, 'bar' FROM (SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders)
+    UNION ALL SELECT 'priority by month', count(*), false, false, false, false, true, 'table' FROM {BY_PRIORITY}""")
 def valid_views(t: Tables) -> DataFrame:
-    """A dated line, categories, one number, rows that are not aggregated, and negative values."""
+    """A dated line, categories, one number, rows that are not aggregated, negative values, and two dimensions with few and with too many labels."""
+    by_priority = t.orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("m"), "o_orderpriority").agg(F.sum("o_totalprice").alias("s"))
+    by_status = t.orders.groupBy("o_orderpriority", "o_orderstatus").agg(F.sum("o_totalprice").alias("s"))
     cases = {
         "months": (monthly(t), ["y"]), "brands": (brands(t), ["amount"]), "one": (t.orders.agg(F.max("o_totalprice").alias("m")), ["m"]),
         "raw": (t.orders.select("o_orderpriority", "o_totalprice"), []),
         "balances": (t.customer.groupBy("c_mktsegment").agg(F.min("c_acctbal").alias("b")), ["b"]),
+        "months by priority": (by_priority, ["s"], "m", "o_orderpriority"), "priority by status": (by_status, ["s"], "o_orderpriority", "o_orderstatus"),
+        "priority by month": (by_priority, ["s"], "o_orderpriority", "m"),
     }
     out = None
-    for name, (df, summable) in cases.items():
-        flags = S.valid_views(df, summable).select(F.lit(name).alias("result"), "*")
+    for name, (df, summable, *axes) in cases.items():
+        x, series = axes or (None, None)
+        flags = S.valid_views(df, summable, x=x, series=series).select(F.lit(name).alias("result"), "*")
         out = flags if out is None else out.unionByName(flags)
     return out
 
@@ -119,6 +130,17 @@ def bar_facts(t: Tables) -> DataFrame:
     return K.bar_facts(brands(t), "p_brand", "amount", summable=True).withColumn("total", F.round("total", 2))
 
 
+STATUSES = "(SELECT o_orderpriority AS x, o_orderstatus AS s, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS y FROM orders GROUP BY 1, 2)"
+
+
+@query("bar_facts_series", f"""
+    SELECT count(*) AS points, arg_max(x, y) AS max_x, arg_max(s, y) AS max_series, max(y) AS max_value, arg_min(x, y) AS min_x, arg_min(s, y) AS min_series,
+           min(y) AS min_value, (max(y) - min(y)) / min(y) AS difference FROM {STATUSES}""")
+def bar_facts_series(t: Tables) -> DataFrame:
+    rows = t.orders.groupBy("o_orderpriority", "o_orderstatus").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("amount"))
+    return K.bar_facts(rows, "o_orderpriority", "amount", series="o_orderstatus").drop("total", "all_equal")
+
+
 LINE = """SELECT count(*) AS points, {from_x} AS from_x, {from_v} AS from_value, {to_x} AS to_x, {to_v} AS to_value,
     {change} AS change, arg_max(x, y) AS peak_x, max(y) AS peak_value, {sp} AS start_partial, {ep} AS end_partial, {il} AS incomplete_last FROM {series}"""
 

@@ -248,3 +248,22 @@ def test_page_rows(spark):
     got = S.page_rows(df, [F.desc("v"), "id"], 25).collect()
     want = sorted([(-(i % 7), i) for i in range(60)])
     assert {r["id"]: (r["row_no"], r["page"]) for r in got} == {i: (n + 1, n // 25) for n, (_, i) in enumerate(want)}
+
+
+def test_views_and_bars_with_a_series(spark):
+    """Two dimensions: eight labels are drawn, nine are not; a pair that occurs twice and a series equal to x."""
+    def result(labels):
+        return spark.createDataFrame([(f"x{x}", f"l{s:02d}" if s else None, float(x + s)) for x in range(3) for s in range(labels)], "x string, label string, v double")
+
+    def views(df, **axes):
+        return {k for k, on in S.valid_views(df, ["v"], **axes).first().asDict().items() if on is True}
+
+    assert views(result(8), x="x", series="label") == {"bar", "table"}
+    assert views(result(9), x="x", series="label") == {"table"}
+    assert views(result(1), x="x", series="label") == {"bar", "pie", "table"}
+    assert views(result(2).unionByName(result(1)), x="x", series="label") == {"table"}
+    assert views(result(2)) == {"table"} and views(result(2), x="x", series="x") == {"table"}
+    assert views(result(0), x="x", series="label") == set()
+    bars = K.bar_facts(result(3), "x", "v", series="label").first()
+    assert (bars["max_x"], bars["max_series"], bars["min_x"], bars["min_series"], bars["points"]) == ("x2", "l02", "x0", S.NO_LABEL, 9)
+    assert K.bar_facts(result(0), "x", "v", series="label").count() == 0

@@ -37,6 +37,7 @@ OCR_CHARS, LOW_CONFIDENCE = 10, 70
 # -------------------------------------------------------------------------------------------------------
 
 _LINES_AT_A_TIME = 2_000
+SPAN_PAGES = 512
 
 PAGE = ["doc_id", "page"]
 TABLE = ["doc_id", "table_no"]
@@ -176,29 +177,88 @@ def page_regions(lines: DataFrame) -> DataFrame:
     return cut.withColumn("rows", rows).filter(F.col("rows") >= 2).drop("prose", "gap", "pitch", "starts", "rows")
 
 
-def link_across_pages(regions: DataFrame, pages: DataFrame) -> DataFrame:
+_SPAN = ["doc_id", "span"]
+_OPEN = "struct<index: bigint, x0: double, x1: double>"
+
+
+def _before(sums: DataFrame, what: str) -> DataFrame:
+    """The running sum of ``what`` over a document's spans before each one; a span is a row here."""
+    earlier = Window.partitionBy("doc_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(*_SPAN, F.coalesce(F.sum(what).over(earlier), F.lit(0)).alias("before"))
+
+
+def _page_places(pages: DataFrame, span_pages: int) -> DataFrame:
+    """``(doc_id, page, span, index)``: every page's place in its document, counted per span of pages and shifted."""
+    listed = pages.select(*PAGE).distinct().withColumn("span", F.floor(F.col("page") / span_pages))
+    starts = _before(listed.groupBy(*_SPAN).count(), "count")
+    place = F.row_number().over(Window.partitionBy(*_SPAN).orderBy("page"))
+    return listed.withColumn("place", place).join(starts, _SPAN).select(*PAGE, "span", (F.col("before") + F.col("place")).alias("index"))
+
+
+def _continued(pages: Column, entering: Column) -> Column:
+    """A span's pages in order, entered with the table open before them: the table open after them and, per page, whether its first region continues one."""
+    def step(acc: Column, p: Column) -> Column:
+        open_ = acc["open"]
+        inside = F.least(open_["x1"], p["first"]["x1"]) - F.greatest(open_["x0"], p["first"]["x0"])
+        wider = F.greatest(open_["x1"] - open_["x0"], p["first"]["x1"] - p["first"]["x0"])
+        joins = F.coalesce((p["index"] == open_["index"] + 1) & (inside > 0) & (inside / wider >= SAME_EXTENT), F.lit(False))
+        # Only a page's last region stays open; it has grown by what it continues if it is the page's only one.
+        grows = joins & (p["regions"] == 1)
+        now = F.struct(
+            p["index"].alias("index"), F.when(grows, F.least(open_["x0"], p["last"]["x0"])).otherwise(p["last"]["x0"]).alias("x0"),
+            F.when(grows, F.greatest(open_["x1"], p["last"]["x1"])).otherwise(p["last"]["x1"]).alias("x1"),
+        )
+        return F.struct(now.cast(_OPEN).alias("open"), F.concat(acc["joins"], F.array(joins)).alias("joins"))
+
+    return F.aggregate(pages, F.struct(entering.cast(_OPEN).alias("open"), F.array().cast("array<boolean>").alias("joins")), step)
+
+
+def _carried(spans: DataFrame) -> DataFrame:
+    """``spans`` with ``made``, each span entered with the table that the one before leaves open.
+
+    All spans are read at once as if nothing were open; then those are read again whose entering table turns out to be another one, until none is.
+    A table that runs on unchanged settles in a round, and no document takes more rounds than it has spans.
+    """
+    order = Window.partitionBy("doc_id").orderBy("span")
+    nothing = F.lit(None).cast(_OPEN)
+    now = settled(spans.withColumn("entering", nothing).withColumn("made", _continued(F.col("pages"), nothing)))
+    while True:
+        left = F.lag("made").over(order)["open"]
+        found = F.when(F.get("pages", F.lit(0))["index"] == left["index"] + 1, left)
+        seen = now.withColumn("found", found)
+        other = ~F.col("found").eqNullSafe(F.col("entering"))
+        if seen.filter(other).isEmpty():
+            return now.select(*_SPAN, "pages", "made")
+        made = F.when(other, _continued(F.col("pages"), F.col("found"))).otherwise(F.col("made"))
+        now = settled(seen.select(*_SPAN, "pages", F.col("found").alias("entering"), made.alias("made")))
+
+
+def link_across_pages(regions: DataFrame, pages: DataFrame, span_pages: int = SPAN_PAGES) -> DataFrame:
     """Lines with ``table_no``: a page's first region continues the last table of the page before it when
-    both span the same width."""
-    index = pages.select(*PAGE).distinct().withColumn("index", F.row_number().over(Window.partitionBy("doc_id").orderBy("page")))
+    both span the same width.
+
+    A document is cut into spans of pages that are read side by side; only the table open at a span's end is carried into the next.
+    Documents without regions have no tables; the order of pages, not their number, says which follow each other.
+    """
     multi = F.size("segments") >= 2
     extents = regions.groupBy(*PAGE, "region").agg(F.min(F.when(multi, F.col("x0"))).alias("x0"), F.max(F.when(multi, F.col("x1"))).alias("x1"))
-    numbered = extents.join(index, PAGE)
-    summary = numbered.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("index", "region", "page", "x0", "x1"))).alias("r"))
-
-    def place(acc: Column, r: Column) -> Column:
-        inside = F.least(acc["x1"], r["x1"]) - F.greatest(acc["x0"], r["x0"])
-        alike = (inside > 0) & (inside / F.greatest(acc["x1"] - acc["x0"], r["x1"] - r["x0"]) >= SAME_EXTENT)
-        joins = (r["index"] == acc["index"] + 1) & alike
-        no = F.when(joins, acc["no"]).otherwise(acc["no"] + 1)
-        return F.struct(
-            no.alias("no"), r["index"].alias("index"), F.when(joins, F.least(acc["x0"], r["x0"])).otherwise(r["x0"]).alias("x0"),
-            F.when(joins, F.greatest(acc["x1"], r["x1"])).otherwise(r["x1"]).alias("x1"), F.concat(acc["out"], F.array(no)).alias("out"),
-        )
-
-    start = F.struct(F.lit(0).alias("no"), F.lit(-1).alias("index"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("x1"), F.array().cast("array<int>").alias("out"))
-    tables = summary.withColumn("no", F.aggregate("r", start, place, lambda a: a["out"])).select("doc_id", F.inline(F.arrays_zip("r", "no")))
-    tables = tables.select("doc_id", "r.page", "r.region", F.col("no").alias("table_no"))
-    return regions.join(tables, [*PAGE, "region"])
+    ranked = settled(extents.withColumn("rank", F.row_number().over(Window.partitionBy(*PAGE).orderBy("region"))))
+    extent = F.struct("x0", "x1")
+    ends = ranked.groupBy(*PAGE).agg(F.count("*").alias("regions"), F.min_by(extent, "rank").alias("first"), F.max_by(extent, "rank").alias("last"))
+    per_page = ends.join(_page_places(pages, span_pages), PAGE)
+    spans = per_page.groupBy(*_SPAN).agg(F.array_sort(F.collect_list(F.struct("index", "page", "regions", "first", "last"))).alias("pages"))
+    spans = settled(spans.withColumn("spans", F.count("*").over(Window.partitionBy("doc_id"))))
+    short = spans.filter("spans = 1").select(*_SPAN, "pages", _continued(F.col("pages"), F.lit(None)).alias("made"))
+    long = spans.filter("spans > 1").drop("spans")
+    done = short if long.isEmpty() else short.unionByName(_carried(long))
+    read = done.select(*_SPAN, F.inline(F.transform(F.arrays_zip("pages", F.col("made.joins").alias("joins")), lambda z: F.struct(
+        z["pages"]["page"].alias("page"), z["joins"].cast("int").alias("joins"), (z["pages"]["regions"] - z["joins"].cast("int")).alias("opened")))))
+    read = settled(read)
+    starts = _before(read.groupBy(*_SPAN).agg(F.sum("opened").alias("opened")), "opened")
+    earlier = Window.partitionBy(*_SPAN).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    placed = read.withColumn("within", F.coalesce(F.sum("opened").over(earlier), F.lit(0))).join(starts, _SPAN)
+    numbers = ranked.join(placed, PAGE).select(*PAGE, "region", (F.col("before") + F.col("within") + F.col("rank") - F.col("joins")).cast("int").alias("table_no"))
+    return regions.join(numbers, [*PAGE, "region"])
 
 
 def column_bounds(lines: DataFrame, rules: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Glyphs are ``(doc_id, page, text, x0, x1, y, h, conf)`` in points, y growing downwards; pages are
 ``(doc_id, page, width, height)`` and rules ``(doc_id, page, x0, y0, x1, y1)``. Work is grouped by page or by
-one table's part of a page; across the pages of a document only one summary row per region meets.
+one table's part of a page; across pages only one row per page meets, in spans of pages.
 """
 
 from __future__ import annotations

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,7 +49,7 @@ def is_value(c: Column) -> Column:
 def split_spaced(glyphs: DataFrame) -> DataFrame:
     """Text items that align columns with runs of spaces become one item per column, placed by character share."""
     text = F.rtrim(F.regexp_replace("text", r"\s+\z", ""))
-    pieces = F.regexp_extract_all(text, F.lit(r"\s*\S+(?: \S+)*"), F.lit(0))
+    pieces = F.col("_pieces")
     share = (F.col("x1") - F.col("x0")) / F.greatest(F.length("text"), F.lit(1))
 
     def placed(p: Column, i: Column) -> Column:
@@ -60,33 +59,16 @@ def split_spaced(glyphs: DataFrame) -> DataFrame:
         return F.struct(word.alias("text"), (F.col("x0") + start * share).alias("x0"), (F.col("x0") + (start + F.length(word)) * share).alias("x1"))
 
     whole = F.array(F.struct(F.trim(text).alias("text"), "x0", "x1"))
-    parts = F.when(text.rlike(r"\S\s{2,}\S"), F.transform(pieces, placed)).otherwise(whole)
+    parts = F.when(pieces.isNotNull(), F.transform(pieces, placed)).otherwise(whole)
     others = [c for c in glyphs.columns if c not in ("text", "x0", "x1")]
-    out = glyphs.select(*others, F.inline(parts))
+    spaced = F.when(text.rlike(r"\S\s{2,}\S"), F.regexp_extract_all(text, F.lit(r"\s*\S+(?: \S+)*"), F.lit(0)))
+    out = glyphs.withColumn("_pieces", spaced).select(*others, F.inline(parts))
     return out.filter((F.col("text") != "") & (F.col("h") > 0) & ~F.col("text").rlike(RULE_TEXT))
 
 
-def _line_of(words: list[tuple]) -> tuple:
-    """y, h, segments, x0 and x1 of one line's words ``(x0, y, x1, text, h, conf)``."""
-    words.sort(key=lambda w: w[:4])
-
-    def middle(at: int) -> float:
-        ordered, n = sorted(w[at] for w in words), len(words)
-        return 0.5 * ordered[(n - 1) // 2] + 0.5 * ordered[n // 2]
-
-    h, segments, reach = middle(4), [], None
-    for x0, _, x1, text, _, conf in words:
-        conf = 100.0 if conf is None else conf
-        if reach is None or x0 - reach > WORD_GAP * h:
-            segments.append({"text": [text], "x0": x0, "x1": x1, "conf": conf})
-        else:
-            open_ = segments[-1]
-            open_["text"].append(f" {text}" if x0 - reach > GLUE_GAP * h else text)
-            open_["x0"], open_["x1"], open_["conf"] = min(open_["x0"], x0), max(open_["x1"], x1), min(open_["conf"], conf)
-        reach = x1 if reach is None else max(reach, x1)
-    for part in segments:
-        part["text"] = "".join(part["text"])
-    return middle(1), h, segments, words[0][0], reach
+def _middle(values: list[float]) -> float:
+    ordered, n = sorted(values), len(values)
+    return 0.5 * ordered[(n - 1) // 2] + 0.5 * ordered[n // 2]
 
 
 def page_lines(glyphs: DataFrame) -> DataFrame:
@@ -97,33 +79,68 @@ def page_lines(glyphs: DataFrame) -> DataFrame:
     """
     items = split_spaced(glyphs).where(F.col("y").isNotNull() & F.col("x0").isNotNull() & F.col("x1").isNotNull())
     kinds = dict(items.dtypes)
-    placed = items.select(*PAGE, *[F.col(c).cast("double") for c in ("y", "x0", "x1", "h")], "text", F.col("conf").cast("double"))
+    placed = items.select(*PAGE, *[F.col(c).cast("double") for c in ("y", "x0", "x1", "h")], "text", F.coalesce(F.col("conf").cast("double"), F.lit(100.0)).alias("conf"))
     segment = pa.struct([("text", pa.string()), ("x0", pa.float64()), ("x1", pa.float64()), ("conf", pa.float64())])
 
+    names = [*PAGE, "line", "y", "h", "segments", "x0", "x1"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page, words, line, first_y, first_h, out = None, [], -1, 0.0, 0.0, []
-        names = [*PAGE, "line", "y", "h", "segments", "x0", "x1"]
-        types = None
+        page, words, line, first_y, first_h, kinds_of = None, [], -1, 0.0, 0.0, []
+        docs, numbers, places, ys, hs, starts, x0s, x1s = ([] for _ in range(8))
+        texts, lefts, rights, confs = [], [], [], []
+
+        def close() -> None:
+            """The open line's words, cut into segments, go to the columns."""
+            words.sort()
+            starts.append(len(texts))
+            h = words[0][4] if len(words) == 1 else _middle([w[4] for w in words])
+            reach = None
+            for x0, _, x1, text, _, conf in words:
+                if reach is None or x0 - reach > WORD_GAP * h:
+                    texts.append([text])
+                    lefts.append(x0)
+                    rights.append(x1)
+                    confs.append(conf)
+                    reach = x1 if reach is None or x1 > reach else reach
+                    continue
+                texts[-1].append(f" {text}" if x0 - reach > GLUE_GAP * h else text)
+                lefts[-1], rights[-1], confs[-1] = min(lefts[-1], x0), max(rights[-1], x1), min(confs[-1], conf)
+                reach = max(reach, x1)
+            docs.append(page[0])
+            numbers.append(page[1])
+            places.append(line)
+            ys.append(words[0][1] if len(words) == 1 else _middle([w[1] for w in words]))
+            hs.append(h)
+            x0s.append(words[0][0])
+            x1s.append(reach)
 
         def made() -> pa.RecordBatch:
-            columns = [pa.array(c, t) for c, t in zip(zip(*out), types)]
-            out.clear()
+            parts = [pa.array(["".join(t) for t in texts], pa.string()), *[pa.array(c, pa.float64()) for c in (lefts, rights, confs)]]
+            segments = pa.ListArray.from_arrays(pa.array([*starts, len(texts)], pa.int32()), pa.StructArray.from_arrays(parts, fields=list(segment)))
+            columns = [pa.array(docs, kinds_of[0]), pa.array(numbers, kinds_of[1]), pa.array(places, pa.int32()), pa.array(ys, pa.float64()),
+                       pa.array(hs, pa.float64()), segments, pa.array(x0s, pa.float64()), pa.array(x1s, pa.float64())]
+            for c in (docs, numbers, places, ys, hs, starts, x0s, x1s, texts, lefts, rights, confs):
+                c.clear()
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
-            types = [batch.schema.field(0).type, batch.schema.field(1).type, pa.int32(), pa.float64(), pa.float64(), pa.list_(segment), pa.float64(), pa.float64()]
-            for doc_id, number, y, x0, x1, h, text, conf in zip(*(c.to_pylist() for c in batch.columns)):
-                if page != (doc_id, number) or abs(y - first_y) > 0.5 * min(h, first_h):
+            kinds_of = [batch.schema.field(0).type, batch.schema.field(1).type]
+            keys, numbers_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            measures = [batch.column(i).to_numpy(zero_copy_only=False).tolist() for i in (2, 3, 4, 5, 7)]
+            for doc_id, number, y, x0, x1, h, conf, text in zip(keys, numbers_, *measures, batch.column(6).to_pylist()):
+                if page is None or number != page[1] or doc_id != page[0]:
                     if words:
-                        out.append((*page, line, *_line_of(words)))
-                    line = line + 1 if page == (doc_id, number) else 0
-                    page, words, first_y, first_h = (doc_id, number), [], y, h
+                        close()
+                    page, words, line, first_y, first_h = (doc_id, number), [], 0, y, h
+                elif y != first_y and abs(y - first_y) > 0.5 * min(h, first_h):
+                    close()
+                    words, line, first_y, first_h = [], line + 1, y, h
                 words.append((x0, y, x1, text, h, conf))
-                if len(out) >= _LINES_AT_A_TIME:
+                if len(docs) >= _LINES_AT_A_TIME:
                     yield made()
         if words:
-            out.append((*page, line, *_line_of(words)))
-        if out:
+            close()
+        if docs:
             yield made()
 
     ordered = placed.repartition(*PAGE).sortWithinPartitions(*PAGE, "y", "x0", "x1", "h", "text", "conf")
@@ -272,15 +289,20 @@ def column_bounds(lines: DataFrame, rules: DataFrame | None = None) -> DataFrame
     header = known.filter(F.size("segments") >= HEADER_WIDTH * F.col("widest")).groupBy(*TABLE).agg(F.min(F.struct("page", "line")).alias("header"))
     body = known.join(header, TABLE).filter(multi & (F.struct("page", "line") >= F.col("header")))
     rows = body.groupBy(*TABLE).agg(F.floor(F.count("*") * COVER_ALLOWED).alias("allowed"))
-    covered = body.select(*TABLE, "left", F.inline("segments")).filter(F.ceil(F.col("x1") - F.col("left")) > F.floor(F.col("x0") - F.col("left"))).select(
-        *TABLE, F.explode(F.sequence(F.floor(F.col("x0") - F.col("left")), F.ceil(F.col("x1") - F.col("left")) - 1)).alias("x")
-    ).groupBy(*TABLE, "x").count()
-    full = covered.join(rows, TABLE).filter(F.col("count") > F.col("allowed")).groupBy(*TABLE).agg(F.sort_array(F.collect_list("x")).alias("full"))
-    # Between two covered places lies a gap; a page is some hundred points wide, so the array is short.
-    nexts = F.transform("full", lambda x, i: F.struct(x.alias("a"), F.get("full", i + 1).alias("b")))
-    gaps = F.filter(nexts, lambda g: g["b"].isNotNull() & (g["b"] - g["a"] - 1 >= MIN_COLUMN_GAP))
-    spaces = full.join(facts, TABLE).select(
-        *TABLE, F.transform(gaps, lambda g: F.col("left") + (g["a"] + 1 + g["b"]) / 2).cast("array<double>").alias("spaces")
+    # A segment adds one from its first whole place on and takes it off behind its last: two rows each, however wide it is.
+    first, behind = F.floor(F.col("x0") - F.col("left")), F.ceil(F.col("x1") - F.col("left"))
+    steps = body.select(*TABLE, "left", F.inline("segments")).filter(behind > first).select(
+        *TABLE, F.inline(F.array(F.struct(first.alias("x"), F.lit(1).alias("step")), F.struct(behind.alias("x"), F.lit(-1).alias("step"))))
+    ).groupBy(*TABLE, "x").agg(F.sum("step").alias("step"))
+    along = Window.partitionBy(*TABLE).orderBy("x")
+    covered = steps.withColumn("count", F.sum("step").over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumn("to", F.lead("x").over(along))
+    ranges = covered.join(rows, TABLE).filter(F.col("count") > F.col("allowed")).groupBy(*TABLE).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("x").alias("from"), "to"))).alias("full"))
+    # Between two covered ranges lies a gap; a page is some hundred points wide, so the array is short.
+    nexts = F.transform("full", lambda r, i: F.struct(r["to"].alias("a"), F.get("full", i + 1)["from"].alias("b")))
+    gaps = F.filter(nexts, lambda g: g["b"].isNotNull() & (g["b"] - g["a"] >= MIN_COLUMN_GAP))
+    spaces = ranges.join(facts, TABLE).select(
+        *TABLE, F.transform(gaps, lambda g: F.col("left") + (g["a"] + g["b"]) / 2).cast("array<double>").alias("spaces")
     )
     if rules is None:
         return facts.join(spaces, TABLE, "left").select(*TABLE, F.coalesce("spaces", F.array().cast("array<double>")).alias("bounds"))
@@ -326,35 +348,50 @@ def merge_wrapped(cells: DataFrame) -> DataFrame:
         (F.size(filled) > 0) & (F.size(filled) * 2 < F.size("cells")) & ~F.exists(filled, is_value)
         & F.coalesce(F.col("gap") <= WRAP_GAP * F.col("pitch"), F.lit(False))
     )
-    # Only a thin row can continue another one, and all rows after a full one up to the next full one form a run.
-    known = known.withColumn("thin", thin).withColumn(
-        "run", F.sum(F.when(F.col("thin"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn("values", F.transform("cells", is_value))
-
-    def one_part(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for line, cells_, values, is_thin in rows.sort_values("line")[["line", "cells", "values", "thin"]].itertuples(index=False):
-            here = [i for i, c in enumerate(cells_) if c is not None]
-            if out and is_thin and all(out[-1][1][i] is not None and not out[-1][2][i] for i in here):
-                for i in here:
-                    out[-1][1][i] = f"{out[-1][1][i]} {cells_[i]}"
-                out[-1][3] += 1
-            else:
-                out.append([line, list(cells_), list(values), 0])
-        head = rows.iloc[0]
-        return pd.DataFrame(
-            [(head["doc_id"], head["table_no"], head["page"], o[0], o[1], o[3]) for o in out],
-            columns=["doc_id", "table_no", "page", "line", "cells", "merged"],
-        )
-
+    # Only a thin row can continue another one, so a full row with no thin row after it needs no folding; most rows take this way and never leave the JVM.
+    follows = F.coalesce(F.lead("thin").over(order), F.lit(False))
+    known = known.withColumn("thin", thin).select(*TABLE, "page", "line", "cells", F.transform("cells", is_value).alias("values"), "thin")
+    marked = settled(known.withColumn("wraps", F.col("thin") | follows))
     kinds = dict(known.dtypes)
-    schema = f"doc_id {kinds['doc_id']}, table_no int, page {kinds['page']}, line int, cells array<string>, merged int"
-    runs = known.select(*TABLE, "page", "line", "run", "cells", "values", "thin")
-    # A run without a thin row needs no folding; most rows take this way and never leave the JVM.
-    in_run = Window.partitionBy(*TABLE, "page", "run")
-    marked = runs.withColumn("wraps", F.bool_or("thin").over(in_run))
-    folded = marked.filter("wraps").groupBy(*TABLE, "page", "run").applyInPandas(one_part, schema)
-    plain = marked.filter(~F.col("wraps")).select(*TABLE, "page", "line", "cells", F.lit(0).alias("merged"))
+    keys = [*TABLE, "page", "line"]
+    names = [*keys, "cells", "merged"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The open row: its keys, the parts of each cell, whether text may be added to it, and what was merged.
+        open_, page, out, types = None, None, [], None
+
+        def closed() -> tuple:
+            at, parts, _, merged = open_
+            return (*at, [" ".join(c) if c else None for c in parts], merged)
+
+        def made() -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), types)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for batch in batches:
+            types = [*[batch.schema.field(i).type for i in range(len(keys))], pa.list_(pa.string()), pa.int32()]
+            for doc_id, table_no, number, line, cells_, values, is_thin in zip(*(c.to_pylist() for c in batch.columns)):
+                here = [i for i, c in enumerate(cells_) if c is not None]
+                if open_ is not None and is_thin and page == (doc_id, table_no, number) and all(open_[2][i] for i in here):
+                    for i in here:
+                        open_[1][i].append(cells_[i])
+                    open_[3] += 1
+                    continue
+                if open_ is not None:
+                    out.append(closed())
+                page = (doc_id, table_no, number)
+                open_ = [(*page, line), [[] if c is None else [c] for c in cells_], [c is not None and not v for c, v in zip(cells_, values)], 0]
+            if out:
+                yield made()
+        if open_ is not None:
+            out.append(closed())
+            yield made()
+
+    # Rows pass through a task as a stream in their order: what is held is the row that may still be continued.
+    streamed = marked.filter("wraps").select(*keys, "cells", "values", "thin").repartition(*TABLE, "page").sortWithinPartitions(*keys)
+    folded = streamed.mapInArrow(run, f"doc_id {kinds['doc_id']}, table_no {kinds['table_no']}, page {kinds['page']}, line {kinds['line']}, cells array<string>, merged int")
+    plain = marked.filter(~F.col("wraps")).select(*keys, "cells", F.lit(0).alias("merged"))
     return plain.unionByName(folded)
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -302,4 +302,6 @@ def overview(df: DataFrame, roles: Roles | None = None) -> DataFrame:
     result = parts[0]
     for p in parts[1:]:
         result = result.unionByName(p)
-    return result.orderBy("seq")
+    # A handful of rows: warnings are numbered on from the findings before them.
+    place = (F.row_number().over(Window.orderBy("seq")) - 1).alias("seq")
+    return result.select(place, *result.columns[1:]).orderBy("seq")

@@ -9,12 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DataType, LongType, StructField, StructType
 
 from tallyfold.session import scratch_path
 from tallyfold.streaming.metering import MICRO, SLIDING_LIMIT, SLIDING_SECONDS, admit, micros
 
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BUCKETS = 1024
+SLICE_FILES = 16
 
 
 class SlidingLimit(StatefulProcessor):
@@ -59,23 +61,25 @@ def sliding_limit_stream(
 
 
 class EventTimeLimit(StatefulProcessor):
-    """Decides a key's events in the order of their times: an event waits until the watermark has passed it.
+    """Decides the events of a bucket of keys in the order of their times: an event waits until the watermark has passed it.
 
-    What waits is the key's events of the watermark's delay, what is kept of the past the at most ``limit`` admitted times of the window.
-    One timer per key stands at the earliest waiting event, or, when none waits, at the end of the window, where the key's state goes.
+    What waits is the keys' events of the watermark's delay, what is kept of the past the at most ``limit`` admitted times of each key's window.
+    One timer per bucket stands at the earliest waiting event, or, when none waits, at the end of the last window, where the bucket's state goes.
+    A call to Python and to the state serves all keys of a bucket, so their number grows with the buckets and batches, not with the keys.
     """
 
-    def __init__(self, limit: int, window: int):
-        self.limit, self.window = limit, window
+    def __init__(self, key: DataType, limit: int, window: int):
+        self.key, self.limit, self.window = key, limit, window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.recent = handle.getListState("recent", StructType([StructField("t", LongType())]))
-        self.waiting = handle.getListState("waiting", StructType([StructField("t", LongType()), StructField("id", LongType())]))
+        key, t = StructField("key", self.key), StructField("t", LongType())
+        self.recent = handle.getListState("recent", StructType([key, t]))
+        self.waiting = handle.getListState("waiting", StructType([key, t, StructField("id", LongType())]))
         self.timer = handle.getValueState("timer", StructType([StructField("at", LongType())]))
 
     def _wake(self, at: int) -> None:
-        """The key's one timer, in milliseconds."""
+        """The bucket's one timer, in milliseconds."""
         if self.timer.exists():
             self.handle.deleteTimer(self.timer.get()[0])
         self.handle.registerTimer(at)
@@ -85,7 +89,7 @@ class EventTimeLimit(StatefulProcessor):
         first = None
         for frame in rows:
             if len(frame):
-                self.waiting.appendList([(int(t), int(i)) for t, i in zip(frame["t"], frame["id"])])
+                self.waiting.appendList(list(zip(frame["key"].tolist(), frame["t"].tolist(), frame["id"].tolist())))
                 low = int(frame["t"].min()) // 1000
                 first = low if first is None else min(first, low)
         # A timer for the end of the window gives way to the first waiting event.
@@ -96,36 +100,44 @@ class EventTimeLimit(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = (timerValues.getCurrentWatermarkInMs() + 1) * 1000  # a timer at the watermark's own millisecond has fired
         self.timer.clear()
-        held = [(t, i) for t, i in self.waiting.get()]
-        due, rest = sorted(e for e in held if e[0] < passed), [e for e in held if e[0] >= passed]
-        recent = deque(sorted(r[0] for r in self.recent.get()))
-        waits = list(admit((t for t, _ in due), recent, self.limit, self.window))
-        while recent and recent[0] <= passed - self.window:
-            recent.popleft()
-        for state, left in ((self.recent, [(t,) for t in recent]), (self.waiting, rest)):
+        due, rest = [], []
+        for k, t, i in self.waiting.get():
+            (due if t < passed else rest).append((k, t, i))
+        recents: dict = {}
+        for k, t in sorted(self.recent.get(), key=lambda r: r[1]):
+            recents.setdefault(k, deque()).append(t)
+        due.sort(key=lambda e: e[1:])
+        waits = []
+        for k, t, _ in due:
+            waits += admit((t,), recents.setdefault(k, deque()), self.limit, self.window)
+        kept = [(k, t) for k, recent in recents.items() for t in recent if t > passed - self.window]
+        for state, left in ((self.recent, kept), (self.waiting, rest)):
             state.put(left) if left else state.clear()
-        if rest or recent:
-            self._wake(min(t for t, _ in rest) // 1000 if rest else (recent[-1] + self.window) // 1000)
+        if rest or kept:
+            self._wake(min(t for _, t, _ in rest) // 1000 if rest else (max(t for _, t in kept) + self.window) // 1000)
         if due:
-            yield pd.DataFrame({"key": key[0], "id": [i for _, i in due], "wait": pd.array(waits, dtype="Int64")})
+            yield pd.DataFrame({"key": [k for k, _, _ in due], "id": [i for _, _, i in due], "wait": pd.array(waits, dtype="Int64")})
 
     def close(self) -> None:
         pass
 
 
 def sliding_limit_in_time(
-    events: DataFrame, key: str, ts: str, id_: str, limit: int = SLIDING_LIMIT, seconds: int = SLIDING_SECONDS, delay: str = "10 minutes"
+    events: DataFrame, key: str, ts: str, id_: str, limit: int = SLIDING_LIMIT, seconds: int = SLIDING_SECONDS, delay: str = "10 minutes",
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Streaming form whose decisions are those of the batch form, in whatever order events arrive within ``delay``.
 
     An event is decided once the watermark has reached its time. An event that the watermark had already reached in the batch before gets no decision and does
-    not count; Spark reports how many those were in the query's progress (``numRowsDroppedByWatermark``).
+    not count; Spark reports how many those were in the query's progress (``numRowsDroppedByWatermark``). Keys are dealt into ``buckets`` by their hash;
+    what waits of a bucket is sorted in memory when it is due, so a larger stream takes more of them.
     """
     stamped = events.withColumn("at", F.col(ts).cast("timestamp")).withWatermark("at", delay)
     rows = stamped.select(F.col(key).alias("key"), "at", micros(F.col("at")).alias("t"), F.col(id_).cast("bigint").alias("id"))
     kind = dict(rows.dtypes)["key"]
-    decided = rows.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=EventTimeLimit(limit, seconds * MICRO), outputStructType=f"key {kind}, id bigint, wait bigint", outputMode="Append", timeMode="EventTime")
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    decided = dealt.groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=EventTimeLimit(rows.schema["key"].dataType, limit, seconds * MICRO), outputStructType=f"key {kind}, id bigint, wait bigint", outputMode="Append", timeMode="EventTime")
     return decided.select(F.col("key").alias(key), F.col("id").alias(id_), F.col("wait").isNull().alias("admitted"), F.col("wait").alias("retry_after"))
 
 
@@ -143,13 +155,16 @@ def read_table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def in_slices(df: DataFrame, number: Column, slices: int) -> DataFrame:
-    """A table as a stream whose batches are the slices 0, 1, … by ``number``, each in a scattered order."""
+    """A table as a stream whose batches are the slices 0, 1, … by ``number``, each in a scattered order.
+
+    A slice has the same number of files whatever its size, so a larger table has larger batches, not more of them.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, "slices")
     for i in range(slices):
-        df.where(number == i).repartition(F.xxhash64(*df.columns)).write.mode("append").parquet(f"{path}/slice={i}")
-    # Files are read by their age; no batch takes so many that it reaches beyond its slice and the next.
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/slice=*")
+        df.where(number == i).repartition(SLICE_FILES, F.xxhash64(*df.columns)).write.mode("append").parquet(f"{path}/slice={i}")
+    # Files are read by their age; a batch takes as many as a slice has, and more than one slice only where slices have too few rows for all files.
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", SLICE_FILES).parquet(f"{path}/slice=*")
 
 
 def drained(stream: DataFrame, label: str) -> DataFrame:

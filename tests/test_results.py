@@ -191,6 +191,34 @@ def test_events_are_decided_in_time_order(spark, tmp_path):
     assert got == brute_force(in_time, 2, 60)
 
 
+def test_slices_are_few_batches_and_buckets_many_keys(spark, tmp_path):
+    """Twice as many shuffle partitions make no more files a slice, and keys that share a bucket are decided each by itself."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        numbers = L.in_slices(spark.range(6000), F.col("id") % 3, 3)
+        query = numbers.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [2000] * 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    rng, base = random.Random(9), dt.datetime(2025, 1, 1)
+    events = [(rng.choice("abcdefg"), rng.randrange(0, 400), i) for i in range(300)] + [("z", 1000, 300)]
+    df = spark.createDataFrame([(k, base + dt.timedelta(seconds=s), i) for k, s, i in events], "k string, ts timestamp, i long")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    got = {(r["k"], r["i"]): r["admitted"] for r in L.drained(L.sliding_limit_in_time(stream, "k", "ts", "i", 2, 60, "10 seconds", buckets=2), "in-time").collect()}
+    assert got == brute_force(events[:-1], 2, 60)
+
+
+def test_warnings_are_numbered_on(spark):
+    rows = [(("kuzey", "güney", "doğu")[i % 3], 40 + i * 7 % 13) for i in range(300)] + [("doğu", 9_000)]
+    found = O.overview(spark.createDataFrame(rows, "depo string, tutar int")).collect()
+    assert [r["seq"] for r in found] == list(range(len(found))) and {"outliers", "duplicates"} <= {r["kind"] for r in found}
+
+
 def test_outliers_and_text_only(spark):
     rows = [(("kuzey", "güney", "doğu")[i % 3], 40 + i * 7 % 13) for i in range(300)] + [("doğu", 9_000), ("kuzey", -6)]
     df = spark.createDataFrame(rows, "depo string, tutar int")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ SLIDING_LIMIT, SLIDING_SECONDS = 10, 60
 DAILY_LIMIT = 2000
 SLICE_WINDOWS = 64
 ROUNDS = 3
+FEW = 32  # events that are decided one by one
 # --------------------------------------------------------------------------------------------------
 
 MICRO = 1_000_000
@@ -37,6 +39,29 @@ def admit(times, recent: deque, limit: int, window: int):
             yield None
 
 
+def waits_of(times: np.ndarray, recent: deque, limit: int, window: int) -> np.ndarray:
+    """``admit`` for sorted times at once, -1 for an admitted event: a stretch of refused events is one step, however many there are."""
+    waits, i, n = np.full(len(times), -1, np.int64), 0, len(times)
+    while i < n:
+        t = int(times[i])
+        while recent and recent[0] <= t - window:
+            recent.popleft()
+        if len(recent) < limit:
+            recent.append(t)
+            i += 1
+            continue
+        until = recent[0] + window
+        # Most stretches are short; only beyond a few events is the rest searched.
+        j = i + 1
+        while j < n and j < i + 8 and times[j] < until:
+            j += 1
+        if j == i + 8:
+            j += int(np.searchsorted(times[j:], until))
+        waits[i:j] = np.maximum(1, -((times[i:j] - until) // MICRO))
+        i = j
+    return waits
+
+
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
@@ -54,15 +79,27 @@ def _decided(rows: DataFrame, by: list[str], limit: int, window: int, decisions:
     def run(frames):
         group, recent = None, deque()
         for frame in frames:
-            waits, exits = [], []
-            for row in zip(frame["key"], frame["slice"], frame["t"], frame["entry"]):
-                if row[:width] != group:
+            if not len(frame):
+                continue
+            exits, times = [], frame["t"].to_numpy()
+            new = np.zeros(len(frame), bool)
+            new[0] = True
+            for c in by:
+                new |= (frame[c] != frame[c].shift()).to_numpy() & ~(frame[c].isna() & frame[c].shift().isna()).to_numpy()
+            starts = np.flatnonzero(new | (np.arange(len(frame)) == 0))
+            waits, listed = np.empty(len(frame), np.int64), times.tolist()
+            heads = zip(*(frame[c].iloc[starts] for c in ("key", "slice", "entry")))
+            for (*row, entry), a, b in zip(heads, starts.tolist(), [*starts[1:].tolist(), len(frame)]):
+                if tuple(row[:width]) != group:
                     if group is not None:
                         exits.append((*group, list(recent)))
-                    group, recent = row[:width], deque(sorted(row[3]) if row[3] is not None else ())
-                waits += admit((row[2],), recent, limit, window)
+                    group, recent = tuple(row[:width]), deque(sorted(entry) if entry is not None else ())
+                if b - a <= FEW:
+                    waits[a:b] = [-1 if w is None else w for w in admit(listed[a:b], recent, limit, window)]
+                else:
+                    waits[a:b] = waits_of(times[a:b], recent, limit, window)
             if decisions:
-                yield pd.DataFrame({"key": frame["key"], "slice": frame["slice"], "id": frame["id"], "wait": pd.array(waits, dtype="Int64")})
+                yield pd.DataFrame({"key": frame["key"], "slice": frame["slice"], "id": frame["id"], "wait": pd.arrays.IntegerArray(waits, waits < 0)})
             elif exits:
                 yield pd.DataFrame(exits, columns=["key", "slice", "exit"])
         if not decisions and group is not None:

@@ -4,7 +4,9 @@ import datetime as dt
 import math
 import random
 import time
+from collections import deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +193,15 @@ def test_events_are_decided_in_time_order(spark, tmp_path):
     assert got == brute_force(in_time, 2, 60)
 
 
+def test_refused_stretches_are_one_step():
+    rng = random.Random(4)
+    for limit, window, n in ((1, 50, 300), (3, 2_000_000, 500), (2, 7_000_000, 400)):
+        times = sorted(rng.randrange(0, 40_000_000) for _ in range(n))
+        a, b = deque([5, 9][:limit]), deque([5, 9][:limit])
+        want = [-1 if w is None else w for w in M.admit(times, a, limit, window)]
+        assert M.waits_of(np.array(times), b, limit, window).tolist() == want and a == b
+
+
 def test_slices_are_few_batches_and_buckets_many_keys(spark, tmp_path):
     """Twice as many shuffle partitions make no more files a slice, and keys that share a bucket are decided each by itself."""
     before = spark.conf.get("spark.sql.shuffle.partitions")

@@ -136,5 +136,6 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     per_key = written(took.groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source")).agg(F.max(times).alias("mix_times")).where(F.col("mix_times") > 0), "mix-times")
     # Each row travels as one struct, so its columns cannot clash with those of the mix.
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("kept"))
-    kept = rows.join(per_key, F.col("kept.doc_id").eqNullSafe(F.col("mix_id")) & F.col("kept.source").eqNullSafe(F.col("mix_source")))
+    # One plan at every size: beyond the smallest tables the keys are too many to be sent whole to every executor, and texts need not be sorted to meet them.
+    kept = rows.join(per_key.hint("shuffle_hash"), F.col("kept.doc_id").eqNullSafe(F.col("mix_id")) & F.col("kept.source").eqNullSafe(F.col("mix_source")))
     return kept.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select("kept.*")

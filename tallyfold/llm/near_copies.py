@@ -1,8 +1,9 @@
 """Near copies by the Jaccard similarity of word shingles.
 
-1. Every distinct text gets 160 minimum hashes of its shingles, joined four by four to 40 keys. Texts of similarity s share no key with
+1. Every distinct text gets a fingerprint and 160 minimum hashes of its shingles, joined four by four to 40 keys. Texts of similarity s share no key with
    probability (1 - s⁴)⁴⁰: 7e-10 at 0.8, less above. (Fingerprints of 64 bits differ in about 10 bits there, too many for chain budgets.)
-2. Where texts meet by a key, pairs are confirmed by their whole shingle sets. First each meets one representative per key, so a dense group
+2. The closest texts meet first: those of equal fingerprints, and the forests of the pigeonring chains of ``simhash``. What is left of a group meets by keys.
+   All pairs are confirmed by their whole shingle sets. By keys each text first meets one representative per key, so a dense group
    of n costs n pairs a key; then the pairs of one key that are not yet in one component are held against each other as bit maps of their sets. A bit
    that only one of two has is a shingle that only one has, so the maps bound the similarity from above; only pairs that reach it are made.
 3. Pairs are confirmed in tiles: texts that met lie in one home, a large home is halved by the names' hash until its sets fit a task, and a set is sent
@@ -18,7 +19,7 @@ gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.llm.common import text_of, written
 from tallyfold.llm.components import components
+from tallyfold.llm.repeats import maybe_in
 
 SEED = 42
 WORDS, SIMILARITY = 5, 0.8
@@ -44,8 +46,8 @@ _FACTORS = _rng.integers(0, 1 << 64, (KEYS * IN_KEY, 1), dtype=np.uint64) | np.u
 _MASKS = _rng.integers(0, 1 << 64, (KEYS * IN_KEY, 1), dtype=np.uint64)
 
 
-def shingles(text: str, words: int = WORDS) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the word shingles."""
+def hashed_shingles(text: str, words: int = WORDS) -> np.ndarray:
+    """The 64-bit hashes of the word shingles, repeats included."""
     tokens = text.encode().lower().split()  # bytes: only A-Z change, only ASCII white space separates
     if not tokens:
         return np.zeros(0, np.uint64)
@@ -53,7 +55,12 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     ends = np.cumsum(sizes + 1) - 1
     lo, hi = (ends - sizes)[: max(len(tokens) - words + 1, 1)].tolist(), ends[min(words, len(tokens)) - 1:].tolist()
     hashed = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((hashed(line[a:b], SEED) for a, b in zip(lo, hi)), np.uint64, len(lo)))
+    return np.fromiter((hashed(line[a:b], SEED) for a, b in zip(lo, hi)), np.uint64, len(lo))
+
+
+def shingles(text: str, words: int = WORDS) -> np.ndarray:
+    """The sorted distinct hashes of the word shingles."""
+    return np.unique(hashed_shingles(text, words))
 
 
 def keys_of(found: np.ndarray) -> list[int]:
@@ -64,17 +71,23 @@ def keys_of(found: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(part.tobytes(), no) for no, part in enumerate(least.reshape(KEYS, IN_KEY))]
 
 
-def _sketches(texts: DataFrame, words: int) -> DataFrame:
-    """name, n (shingles) and keys of every text."""
+def _sketches(texts: DataFrame, words: int, print_of: Callable[[np.ndarray], int]) -> DataFrame:
+    """name, n (different shingles), fp (fingerprint) and keys of every text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = (shingles(t.as_py(), words) for t in batch.column(1))
-            made = [(len(s), keys_of(s)) for s in sets]
-            keys = np.array([k for _, k in made], np.uint64).view(np.int64)
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, KEYS, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in made], pa.int64()), listed], names=["name", "n", "keys"])
+            sizes, prints, keys = [], [], []
+            for text in batch.column(1):
+                every = hashed_shingles(text.as_py(), words)
+                different = np.unique(every)
+                sizes.append(len(different))
+                prints.append(print_of(every))
+                keys.append(keys_of(different))
+            flat = np.array(keys, np.uint64).view(np.int64)
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, KEYS, dtype=np.int32)), pa.array(flat.ravel()))
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), listed]
+            yield pa.RecordBatch.from_arrays(columns, names=["name", "n", "fp", "keys"])
 
-    return texts.select("name", "text").mapInArrow(run, "name binary, n long, keys array<long>")
+    return texts.select("name", "text").mapInArrow(run, "name binary, n long, fp long, keys array<long>")
 
 
 def bit_map(found: np.ndarray) -> bytes:
@@ -201,23 +214,32 @@ def _across(rooted: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, "u binary, v binary").distinct()
 
 
-def links(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """u, v: pairs of similar texts whose components are those of all similar pairs. ``texts`` has name and text."""
+def links(texts: DataFrame, print_of: Callable[[np.ndarray], int], chained: Callable[[DataFrame], DataFrame],
+          words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """u, v: pairs of similar texts whose components are those of all similar pairs. ``texts`` has name and text.
+
+    ``print_of`` makes a fingerprint of a text's hashes, ``chained`` gives the pairs u, v that the fingerprints of (name, fp) propose.
+    """
     # Copies are told apart after the sketch: whole texts are not shuffled for it.
-    marked = written(_sketches(texts, words).dropDuplicates(["name"]), "copies-keys").select(F.explode("keys").alias("key"), "name", "n")
+    sketches = written(_sketches(texts, words, print_of).dropDuplicates(["name"]), "copies-keys")
+    marked = sketches.select(F.explode("keys").alias("key"), "name", "n")
     shared = marked.groupBy("key").agg(F.count("*").alias("many"), F.min(F.xxhash64("name")).alias("low")).where(F.col("many") > 1)
     met = written(marked.join(written(shared.select("key", "low"), "copies-shared"), "key"), "copies-met")
     homes = written(_homes(met), "copies-homes")
-    needed = texts.join(met.select("name").distinct(), "name", "left_semi").dropDuplicates(["name"])
+    # Most texts share no key: a bit table of fixed size keeps them from being shuffled only to meet nothing.
+    at = F.xxhash64("name").alias("d1")
+    perhaps, _ = maybe_in(texts.select("name", "text", at), homes.select(at))
+    needed = perhaps.drop("d1").join(homes.select("name"), "name", "left_semi").dropDuplicates(["name"])
     sets = written(_sets(needed, words), "copies-sets")
     found = tried = None
-    for turn in range(SPARSE_ROUNDS + 1):
-        rooted = met.withColumn("root", F.col("name"))
-        if found is not None:
+    for turn in range(SPARSE_ROUNDS + 2):
+        if turn == 0:
+            # Names that share no key have no home: such a pair is less similar than asked for.
+            pairs = chained(sketches.select("name", "fp"))
+        else:
             roots = written(components(found).select(F.col("node").alias("name"), F.col("root").alias("top")), "copies-roots")
             rooted = met.join(roots, "name", "left").select("key", "name", "n", F.coalesce("top", "name").alias("root"))
-        pairs = _with_representative(rooted, turn, similarity) if turn < SPARSE_ROUNDS else _across(rooted, sets, similarity)
-        if tried is not None:
+            pairs = _with_representative(rooted, turn - 1, similarity) if turn <= SPARSE_ROUNDS else _across(rooted, sets, similarity)
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = written(pairs, "copies-pairs")
         near = written(_confirmed(pairs, sets, homes, similarity), "copies-links")
@@ -230,11 +252,12 @@ def name_of(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def groups(docs: DataFrame, print_of: Callable[[np.ndarray], int], chained: Callable[[DataFrame], DataFrame],
+           words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """name, doc_id, n and root of every different (text, id): how many rows have it, and its group of near copies."""
     named = docs.select("doc_id", name_of(F.col("text")).alias("name"), text_of("text").alias("text"))
     each = written(named.groupBy("name", "doc_id").agg(F.count("*").alias("n")), "copies-classes")
-    found = components(links(named.select("name", "text"), words, similarity)).withColumnRenamed("node", "name")
+    found = components(links(named.select("name", "text"), print_of, chained, words, similarity)).withColumnRenamed("node", "name")
     return written(each.join(found, "name", "left").select("name", "doc_id", "n", F.coalesce("root", "name").alias("root")), "copies-groups")
 
 

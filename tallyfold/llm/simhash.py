@@ -46,9 +46,15 @@ def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
     starts = ends - np.fromiter(map(len, tokens), np.int64, len(tokens)) - 1
     lo = starts[: max(len(tokens) - words + 1, 1)].tolist()
     hi = (ends[min(words, len(tokens)) - 1:] - 1).tolist()
-    hashed, ones, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), len(lo)
+    hashed = xxhash.xxh64_intdigest
+    return majority(np.fromiter((hashed(line[a:b], SEED) for a, b in zip(lo, hi)), "<u8", len(lo)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes."""
+    ones, n = np.zeros(64, np.int64), len(hashes)
     for at in range(0, n, _COUNTED):
-        h = np.array([hashed(line[a:b], SEED) for a, b in zip(lo[at:at + _COUNTED], hi[at:at + _COUNTED])], dtype="<u8")
+        h = hashes[at:at + _COUNTED].astype("<u8", copy=False)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")[0])
 
@@ -161,13 +167,23 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def chained_pairs(prints: DataFrame) -> DataFrame:
+    """u, v: pairs of names that (name, fp) proposes: each with the first of its fingerprint, and those firsts along the chains' forests."""
+    classes = written(prints.groupBy("fp").agg(F.min("name").alias("first")), "copies-prints")
+    equal = prints.join(classes, "fp").where(F.col("name") != F.col("first")).select(F.col("name").alias("a"), F.col("first").alias("b"))
+    one, two = classes.select(F.col("fp").alias("u"), F.col("first").alias("a")), classes.select(F.col("fp").alias("v"), F.col("first").alias("b"))
+    near = links(classes).join(one, "u").join(two, "v").select("a", "b")
+    return equal.unionByName(near).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
 def keep_one(docs: DataFrame, words: int = near_copies.WORDS, similarity: float = near_copies.SIMILARITY) -> DataFrame:
     """One row of each group of near copies, the first of it; all columns stay.
 
-    No contract fixes bits here: near copies are texts whose word shingles have at least this Jaccard similarity.
+    No contract fixes bits here: near copies are texts whose word shingles have at least this Jaccard similarity. Fingerprints and their chains
+    propose the closest pairs; those whose fingerprints are further apart meet by minimum hashes.
     Rows are told apart by text and id: of different texts that share an id each is judged by itself, and of rows with both alike one stays.
     """
-    grouped = near_copies.groups(docs, words, similarity)
+    grouped = near_copies.groups(docs, majority, chained_pairs, words, similarity)
     first = written(near_copies.first_of(grouped), "copies-first")
 
     def same(a: DataFrame, b: DataFrame) -> Column:

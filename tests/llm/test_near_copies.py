@@ -5,7 +5,7 @@ import random
 import re
 
 import corpus_pipeline
-from tallyfold.llm import near_copies
+from tallyfold.llm import near_copies, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.01"
@@ -112,3 +112,17 @@ def test_dense_group_in_parts_and_homes(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "KEY_ROWS", 7)
     monkeypatch.setattr(near_copies, "HOME_BYTES", 5000)
     assert kept_rows(corpus_pipeline.without_near_copies(spark, df, SF)) == expected
+
+
+def test_fingerprint_chains_come_first(spark, monkeypatch):
+    """The stage's groups begin with the pigeonring chains; without any key pairs, what they link and the sets confirm is still grouped."""
+    base = [f"w{i}" for i in range(4_000)]
+    close = [" ".join([*base[:at], "edited", *base[at + 1:]]) for at in (700, 1500, 3200)]
+    docs = list(enumerate([" ".join(base), *close, "an other text", "one more that is not alike"]))
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], DOCS)
+    prints = [simhash.majority(near_copies.hashed_shingles(t)) for _, t in docs]
+    assert all(0 < (p ^ prints[0]).bit_count() <= 3 or p == prints[0] for p in prints[1:4])
+    none = lambda rooted, *rest: rooted.select(*near_copies._pair(rooted["name"], rooted["root"])).where("false")
+    monkeypatch.setattr(near_copies, "_with_representative", none)
+    monkeypatch.setattr(near_copies, "_across", none)
+    assert kept_rows(corpus_pipeline.without_near_copies(spark, df, SF)) == plain_kept(docs)

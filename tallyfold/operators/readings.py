@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions.text import TURKISH_FROM, TURKISH_TO, tr_lower
 from tallyfold.operators.pages import LOW_CONFIDENCE
+from tallyfold.session import stored
 
 # ---- fixed values -------------------------------------------------------------------------------------
 NUMBER = r"(?i)^[-+(]?[₺$€£]?\d[\d.,]*%?(₺|tl|try|usd|eur|\$|€)?\)?-?\z"
@@ -71,24 +72,32 @@ def reading_vote(readings: DataFrame) -> DataFrame:
     cell = [*table, "row", "col"]
     first = readings.filter(F.col("engine") == 1)
     columns = value_columns(first).withColumn("in_value_column", F.lit(True))
-    cells = readings.groupBy(*cell).agg(
-        F.max(F.when(F.col("engine") == 1, F.col("text"))).alias("first"), F.max(F.when(F.col("engine") == 2, F.col("text"))).alias("second"),
-        F.max((F.col("engine") == 1).cast("int")).alias("there"),
-        F.transform(F.array_sort(F.collect_list(F.struct("engine", "text"))), lambda r: r["text"]).alias("all"),
-    ).filter("there = 1").join(columns, [*table, "col"], "left").withColumn("in_value_column", F.coalesce("in_value_column", F.lit(False)))
-    value_rows = cells.groupBy(*table, "row").agg(
-        F.coalesce(F.bool_or(F.col("in_value_column") & is_value(digitize(F.col("first")))), F.lit(False)).alias("value_row")
-    )
-    known = cells.join(value_rows, [*table, "row"])
+    # A cell has a few readings: they are brought together once, unmerged before, and every engine's text is taken from the list.
+    listed = readings.repartition(*cell).groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("engine", "text"))).alias("read"))
+
+    def text_by(engine: int) -> Column:
+        return F.array_max(F.transform(F.filter("read", lambda r: r["engine"] == engine), lambda r: r["text"]))
+
+    cells = listed.filter(F.exists("read", lambda r: r["engine"] == 1)).select(
+        *cell, text_by(1).alias("first"), text_by(2).alias("second"), F.transform("read", lambda r: r["text"]).alias("all")
+    ).join(columns, [*table, "col"], "left").withColumn("in_value_column", F.coalesce("in_value_column", F.lit(False)))
+    # Cells without a place in a value column need no patterns; the others meet each pattern once, as they are read by two steps and several columns.
+    known = stored(cells.withColumn("like_value", F.when(F.col("in_value_column"), is_value(digitize(F.col("first"))))), "cells")
+    value_rows = known.filter("like_value").select(*table, "row").distinct().withColumn("value_row", F.lit(True))
+    known = known.join(value_rows, [*table, "row"], "left")
     text, second = F.col("first"), F.col("second")
     misread = (F.length(compact(text)) <= SHORT_TOKEN) | text.rlike(r"\d")
-    checked = F.col("in_value_column") & F.col("value_row") & text.isNotNull() & (is_value(text) | misread)
-    same = is_value(text) & second.isNotNull() & (digitize(second) == compact(text))
-    votes = F.filter(F.transform(F.filter("all", lambda t: t.isNotNull()), digitize), is_value)
-    agreed = F.get(F.filter(votes, lambda t: F.size(F.filter(votes, lambda u: u == t)) >= 2), F.lit(0))
-    value = _with_marks(agreed, F.array(text, second))
+    placed = F.col("in_value_column") & F.coalesce("value_row", F.lit(False)) & text.isNotNull()
+    known = known.withColumn("plain_value", F.when(placed, is_value(text)))
+    checked = F.when(F.col("plain_value"), True).when(placed, misread)
+    same = F.when(F.col("plain_value") & second.isNotNull(), digitize(second) == compact(text))
     known = known.withColumn("checked", F.coalesce(checked, F.lit(False))).withColumn("open", F.col("checked") & ~F.coalesce(same, F.lit(False)))
-    known = known.withColumn("value", F.when(F.col("open"), value))
+    # Votes stand in a column of their own: inside the comparison they would be read again for every vote.
+    known = known.withColumn("votes", F.when(F.col("open"), F.filter(F.transform(F.filter("all", lambda t: t.isNotNull()), digitize), is_value)))
+    votes = F.col("votes")
+    agreed = F.get(F.filter(votes, lambda t: F.size(F.filter(votes, lambda u: u == t)) >= 2), F.lit(0))
+    known = known.withColumn("agreed", F.when(F.col("open"), agreed))
+    known = known.withColumn("value", F.when(F.col("agreed").isNotNull(), _with_marks(F.col("agreed"), F.array(text, second))))
     changed = compact(F.col("value")) != compact(text)
     result = (
         F.when(~F.col("open"), text).when(F.col("value").isNull(), F.concat(text, F.lit(f" {UNCERTAIN_MARK}")))

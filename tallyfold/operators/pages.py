@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from tallyfold.session import settled
 # ---- fixed values: shapes and distances ---------------------------------------------------------------
 NUMERIC = r"(?i)^[-+(]?[₺$€£]?\s*\d[\d.,\s]*%?\s*(₺|tl|try|usd|eur|\$|€)?\)?-?\z"
 DATE = r"^\d{1,4}[./-]\d{1,2}[./-]\d{1,4}(\s+\d{1,2}:\d{2}(:\d{2})?)?\z"
-RULE_TEXT = r"^[|_¦]+\z"
+RULE_MARKS, RULE_TEXT = "|_¦", r"^[|_¦]+\z"
 PAGE_NUMBER = r"^(sayfa|page|s\.|p\.)?\s*#\s*((\/|of|\/ ?|-)\s*#)?\z|^#\s*(\/|of)\s*#\z|^-\s*#\s*-\z"
 WORD_GAP, GLUE_GAP = 0.6, 0.1
 MIN_COLUMN_GAP = 2.5
@@ -35,7 +37,6 @@ BELOW_BASE = 0.3
 OCR_CHARS, LOW_CONFIDENCE = 10, 70
 # -------------------------------------------------------------------------------------------------------
 
-_LINES_AT_A_TIME = 2_000
 SPAN_PAGES = 512
 
 PAGE = ["doc_id", "page"]
@@ -48,7 +49,11 @@ def is_value(c: Column) -> Column:
 
 def split_spaced(glyphs: DataFrame) -> DataFrame:
     """Text items that align columns with runs of spaces become one item per column, placed by character share."""
-    text = F.rtrim(F.regexp_replace("text", r"\s+\z", ""))
+    # Most texts hold single blanks at most and meet no pattern.
+    wide = F.lit(False)
+    for mark in ("  ", "\t", "\n", "\x0b", "\f", "\r"):
+        wide = wide | F.col("text").contains(mark)
+    text = F.rtrim(F.when(wide, F.regexp_replace("text", r"\s+\z", "")).otherwise(F.col("text")))
     pieces = F.col("_pieces")
     share = (F.col("x1") - F.col("x0")) / F.greatest(F.length("text"), F.lit(1))
 
@@ -61,14 +66,50 @@ def split_spaced(glyphs: DataFrame) -> DataFrame:
     whole = F.array(F.struct(F.trim(text).alias("text"), "x0", "x1"))
     parts = F.when(pieces.isNotNull(), F.transform(pieces, placed)).otherwise(whole)
     others = [c for c in glyphs.columns if c not in ("text", "x0", "x1")]
-    spaced = F.when(text.rlike(r"\S\s{2,}\S"), F.regexp_extract_all(text, F.lit(r"\s*\S+(?: \S+)*"), F.lit(0)))
+    spaced = F.when(wide & text.rlike(r"\S\s{2,}\S"), F.regexp_extract_all(text, F.lit(r"\s*\S+(?: \S+)*"), F.lit(0)))
     out = glyphs.withColumn("_pieces", spaced).select(*others, F.inline(parts))
-    return out.filter((F.col("text") != "") & (F.col("h") > 0) & ~F.col("text").rlike(RULE_TEXT))
-
-
-def _middle(values: list[float]) -> float:
-    ordered, n = sorted(values), len(values)
-    return 0.5 * ordered[(n - 1) // 2] + 0.5 * ordered[n // 2]
+    return out.filter((F.col("text") != "") & (F.col("h") > 0) & ~(F.substring("text", 1, 1).isin(*RULE_MARKS) & F.col("text").rlike(RULE_TEXT)))
+
+
+def _differs(column: pa.ChunkedArray) -> np.ndarray:
+    """Whether each value but the first is another one than the one before it; nulls are alike."""
+    values = column.combine_chunks()
+    now, before = values[1:], values[:-1]
+    return pc.fill_null(pc.not_equal(now, before), pc.not_equal(now.is_null(), before.is_null()) if values.null_count else False).to_numpy(zero_copy_only=False)
+
+
+def _in_line_order(rows: pa.Table, starts: list[int]) -> pa.Table:
+    """The glyphs of each line by x0, y, x1, text, h and conf. Lines of one height come in that order; the others are sorted."""
+    x0, y, x1 = (rows.column(c).to_numpy() for c in ("x0", "y", "x1"))
+    inside = np.ones(len(x0) - 1, bool)
+    inside[np.array(starts[1:], int) - 1] = False
+    rising = (x0[1:] > x0[:-1]) | (x0[1:] == x0[:-1]) & ((y[1:] > y[:-1]) | (y[1:] == y[:-1]) & (x1[1:] > x1[:-1]))
+    if (rising | ~inside).all():
+        return rows
+    line = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(x0))))
+    keys = ["_line", "x0", "y", "x1", "text", "h", "conf"]
+    return rows.take(pc.sort_indices(rows.append_column("_line", pa.array(line)), [(k, "ascending") for k in keys]))
+
+
+def _middles(values: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The median of each line's values."""
+    out = values[at]
+    for i in np.flatnonzero(np.minimum.reduceat(values, at) != np.maximum.reduceat(values, at)).tolist():
+        ordered, n = np.sort(values[at[i]:at[i] + sizes[i]]), sizes[i]
+        out[i] = 0.5 * ordered[(n - 1) // 2] + 0.5 * ordered[n // 2]
+    return out
+
+
+def _reach(x1: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How far to the right each line reaches up to each of its glyphs."""
+    falls = np.flatnonzero(x1[1:] < x1[:-1]) + 1
+    lines = np.unique(np.searchsorted(at, falls, side="right") - 1)
+    if not len(lines):
+        return x1
+    out = x1.copy()
+    for i in lines[sizes[lines] > 1].tolist():
+        out[at[i]:at[i] + sizes[i]] = np.maximum.accumulate(x1[at[i]:at[i] + sizes[i]])
+    return out
 
 
 def page_lines(glyphs: DataFrame) -> DataFrame:
@@ -85,63 +126,52 @@ def page_lines(glyphs: DataFrame) -> DataFrame:
     names = [*PAGE, "line", "y", "h", "segments", "x0", "x1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page, words, line, first_y, first_h, kinds_of = None, [], -1, 0.0, 0.0, []
-        docs, numbers, places, ys, hs, starts, x0s, x1s = ([] for _ in range(8))
-        texts, lefts, rights, confs = [], [], [], []
-
-        def close() -> None:
-            """The open line's words, cut into segments, go to the columns."""
-            words.sort()
-            starts.append(len(texts))
-            h = words[0][4] if len(words) == 1 else _middle([w[4] for w in words])
-            reach = None
-            for x0, _, x1, text, _, conf in words:
-                if reach is None or x0 - reach > WORD_GAP * h:
-                    texts.append([text])
-                    lefts.append(x0)
-                    rights.append(x1)
-                    confs.append(conf)
-                    reach = x1 if reach is None or x1 > reach else reach
-                    continue
-                texts[-1].append(f" {text}" if x0 - reach > GLUE_GAP * h else text)
-                lefts[-1], rights[-1], confs[-1] = min(lefts[-1], x0), max(rights[-1], x1), min(confs[-1], conf)
-                reach = max(reach, x1)
-            docs.append(page[0])
-            numbers.append(page[1])
-            places.append(line)
-            ys.append(words[0][1] if len(words) == 1 else _middle([w[1] for w in words]))
-            hs.append(h)
-            x0s.append(words[0][0])
-            x1s.append(reach)
-
-        def made() -> pa.RecordBatch:
-            parts = [pa.array(["".join(t) for t in texts], pa.string()), *[pa.array(c, pa.float64()) for c in (lefts, rights, confs)]]
-            segments = pa.ListArray.from_arrays(pa.array([*starts, len(texts)], pa.int32()), pa.StructArray.from_arrays(parts, fields=list(segment)))
-            columns = [pa.array(docs, kinds_of[0]), pa.array(numbers, kinds_of[1]), pa.array(places, pa.int32()), pa.array(ys, pa.float64()),
-                       pa.array(hs, pa.float64()), segments, pa.array(x0s, pa.float64()), pa.array(x1s, pa.float64())]
-            for c in (docs, numbers, places, ys, hs, starts, x0s, x1s, texts, lefts, rights, confs):
-                c.clear()
+        held, line = None, 0  # the open line's glyphs and its number on the page
+
+        def made(rows: pa.Table, starts: list[int], numbers: list[int]) -> pa.RecordBatch:
+            """Whole lines of glyphs as rows; ``starts`` are their first glyphs."""
+            rows = _in_line_order(rows, starts)
+            y, x0, x1, h, conf = (rows.column(c).to_numpy() for c in ("y", "x0", "x1", "h", "conf"))
+            at, n = np.array(starts), len(y)
+            sizes = np.diff(np.append(at, n))
+            mid_y, mid_h = _middles(y, at, sizes), _middles(h, at, sizes)
+            first = np.zeros(n, bool)
+            first[at] = True
+            gap = np.concatenate(([0.0], x0[1:] - _reach(x1, at, sizes)[:-1]))
+            pitch = np.repeat(mid_h, sizes)
+            cut = first | (gap > WORD_GAP * pitch)
+            texts, cuts = rows.column("text").combine_chunks(), np.flatnonzero(cut)
+            if len(cuts) < n:
+                parts = pc.if_else(pa.array(~cut & (gap > GLUE_GAP * pitch)), pc.binary_join_element_wise("", texts, " "), texts)
+                texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(cuts, n).astype(np.int32)), parts), "")
+            parts = [texts, pa.array(x0[cuts]), pa.array(np.maximum.reduceat(x1, cuts)), pa.array(np.minimum.reduceat(conf, cuts))]
+            upto = np.append(np.searchsorted(cuts, at), len(cuts)).astype(np.int32)
+            segments = pa.ListArray.from_arrays(pa.array(upto), pa.StructArray.from_arrays(parts, fields=list(segment)))
+            keys = [rows.column(c).combine_chunks().take(pa.array(at)) for c in PAGE]
+            columns = [*keys, pa.array(numbers, pa.int32()), pa.array(mid_y), pa.array(mid_h), segments, pa.array(x0[at]), pa.array(np.maximum.reduceat(x1, at))]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
-            kinds_of = [batch.schema.field(0).type, batch.schema.field(1).type]
-            keys, numbers_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            measures = [batch.column(i).to_numpy(zero_copy_only=False).tolist() for i in (2, 3, 4, 5, 7)]
-            for doc_id, number, y, x0, x1, h, conf, text in zip(keys, numbers_, *measures, batch.column(6).to_pylist()):
-                if page is None or number != page[1] or doc_id != page[0]:
-                    if words:
-                        close()
-                    page, words, line, first_y, first_h = (doc_id, number), [], 0, y, h
-                elif y != first_y and abs(y - first_y) > 0.5 * min(h, first_h):
-                    close()
-                    words, line, first_y, first_h = [], line + 1, y, h
-                words.append((x0, y, x1, text, h, conf))
-                if len(docs) >= _LINES_AT_A_TIME:
-                    yield made()
-        if words:
-            close()
-        if docs:
-            yield made()
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            if held is not None:
+                rows = pa.concat_tables([held, rows]).combine_chunks()
+            y, h = rows.column("y").to_numpy(), rows.column("h").to_numpy()
+            other_page = _differs(rows.column("doc_id")) | _differs(rows.column("page"))
+            # A glyph as high and as large as the one before it on its page stays on that one's line.
+            changes = np.flatnonzero(other_page | (y[1:] != y[:-1]) | (h[1:] != h[:-1])) + 1
+            starts, numbers, first_y, first_h = [0], [line if held is not None else 0], float(y[0]), float(h[0])
+            for i, fresh, at, high in zip(changes.tolist(), other_page[changes - 1].tolist(), y[changes].tolist(), h[changes].tolist()):
+                if fresh or (at != first_y and abs(at - first_y) > 0.5 * min(high, first_h)):
+                    starts.append(i)
+                    numbers.append(0 if fresh else numbers[-1] + 1)
+                    first_y, first_h = at, high
+            held, line = rows.slice(starts[-1]), numbers[-1]
+            if len(starts) > 1:
+                yield made(rows.slice(0, starts[-1]), starts[:-1], numbers[:-1])
+        if held is not None:
+            yield made(held, [0], [line])
 
     ordered = placed.repartition(*PAGE).sortWithinPartitions(*PAGE, "y", "x0", "x1", "h", "text", "conf")
     return ordered.mapInArrow(run, (
@@ -170,9 +200,11 @@ def drop_page_furniture(lines: DataFrame, pages: DataFrame) -> DataFrame:
     keyed = placed.withColumn("candidate", zone & ~row).withColumn("key", F.when(F.col("candidate"), _furniture_key(lines)))
     counts = keyed.filter("candidate").groupBy("doc_id", "key").agg(F.count_distinct("page").alias("seen"))
     totals = pages.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"))
-    known = keyed.join(counts, ["doc_id", "key"], "left").join(totals, "doc_id")
-    repeated = (F.col("pages") >= 2) & (F.col("seen") >= F.greatest(F.lit(2), F.ceil(F.col("pages") / 2)))
-    furniture = F.col("candidate") & (F.coalesce(repeated, F.lit(False)) | F.col("key").rlike(PAGE_NUMBER))
+    # A document's keys are judged before they meet its lines, which are moved once for it.
+    often = (F.col("pages") >= 2) & (F.col("seen") >= F.greatest(F.lit(2), F.ceil(F.col("pages") / 2)))
+    repeated = counts.join(totals, "doc_id").filter(often).select("doc_id", "key", F.lit(True).alias("repeated"))
+    known = keyed.join(repeated, ["doc_id", "key"], "left")
+    furniture = F.col("candidate") & (F.coalesce("repeated", F.lit(False)) | F.col("key").rlike(PAGE_NUMBER))
     return known.withColumn("furniture", furniture).select(*lines.columns, "width", "furniture")
 
 

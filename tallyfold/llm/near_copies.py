@@ -222,9 +222,12 @@ def links(texts: DataFrame, print_of: Callable[[np.ndarray], int], chained: Call
     """
     # Copies are told apart after the sketch: whole texts are not shuffled for it.
     sketches = written(_sketches(texts, words, print_of).dropDuplicates(["name"]), "copies-keys")
-    marked = sketches.select(F.explode("keys").alias("key"), "name", "n")
-    shared = marked.groupBy("key").agg(F.count("*").alias("many"), F.min(F.xxhash64("name")).alias("low")).where(F.col("many") > 1)
-    met = written(marked.join(written(shared.select("key", "low"), "copies-shared"), "key"), "copies-met")
+    # Nearly every key has one text, and there are 40 a text: they are shuffled once, with a hash in place of the name. Counting and the join back read
+    # that one exchange. Texts whose hashes collide take each other's keys as well, which only adds candidates.
+    ids = sketches.select(F.xxhash64("name").alias("h"), "name", "n")
+    marked = sketches.select(F.explode("keys").alias("key"), F.xxhash64("name").alias("h")).repartition("key")
+    shared = marked.groupBy("key").agg(F.count("*").alias("many"), F.min("h").alias("low")).where(F.col("many") > 1)
+    met = written(marked.join(shared.select("key", "low"), "key").join(ids, "h").select("key", "name", "n", "low"), "copies-met")
     homes = written(_homes(met), "copies-homes")
     # Most texts share no key: a bit table of fixed size keeps them from being shuffled only to meet nothing.
     at = F.xxhash64("name").alias("d1")

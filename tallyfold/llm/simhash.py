@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from tallyfold.llm import near_copies
 from tallyfold.llm.common import written
 from tallyfold.llm.components import components
+from tallyfold.llm.repeats import maybe_in
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -190,12 +191,17 @@ def keep_one(docs: DataFrame, words: int = near_copies.WORDS, similarity: float
         return (a["name"] == b["name"]) & a["doc_id"].eqNullSafe(b["doc_id"])
 
     dropped = written(grouped.join(first, same(grouped, first), "left_anti").select("name", "doc_id"), "near-copies")
-    name = near_copies.name_of(docs["text"])
-    kept = docs.join(dropped, (name == dropped["name"]) & docs["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti")
+    # Most rows stay: only those whose id may be among the dropped ones are shuffled, with their texts.
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].alias("id"), F.xxhash64(docs["doc_id"]).alias("d1"))
+    name = near_copies.name_of(F.col("row.text"))
+    perhaps, stays = maybe_in(rows, dropped.select(F.xxhash64("doc_id").alias("d1")))
+    gone = (F.col("held") == F.col("name")) & F.col("id").eqNullSafe(F.col("doc_id"))
+    kept = perhaps.withColumn("held", name).join(dropped, gone, "left_anti").drop("held").unionByName(stays)
     repeated = first.where(F.col("n") > 1)
     if repeated.isEmpty():
-        return kept
+        return kept.select("row.*")
     several = repeated.select(F.col("name").alias("held"))
-    rows = kept.select(F.struct(*(kept[c] for c in kept.columns)).alias("row"), near_copies.name_of(kept["text"]).alias("held"))
-    one = rows.join(several, "held", "left_semi").dropDuplicates(["held"])
-    return rows.join(several, "held", "left_anti").unionByName(one).select("row.*")
+    perhaps, single = maybe_in(kept, repeated.select(F.xxhash64("doc_id").alias("d1")))
+    held = perhaps.withColumn("held", name)
+    one = held.join(several, "held", "left_semi").dropDuplicates(["held"])
+    return held.join(several, "held", "left_anti").unionByName(one).drop("held").unionByName(single).select("row.*")

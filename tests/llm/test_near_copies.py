@@ -126,3 +126,35 @@ def test_fingerprint_chains_come_first(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "_with_representative", none)
     monkeypatch.setattr(near_copies, "_across", none)
     assert kept_rows(corpus_pipeline.without_near_copies(spark, df, SF)) == plain_kept(docs)
+
+
+def shuffled(spark, make):
+    """Bytes that the stages of ``make`` write to shuffles."""
+    store, scheduler = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().dagScheduler()
+    begin = scheduler.nextStageId()
+    made = make()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    total = 0
+    for i in range(begin, scheduler.nextStageId()):
+        try:
+            total += store.lastStageAttempt(i).shuffleWriteBytes()
+        except Exception:  # a stage that was skipped
+            continue
+    return made, total
+
+
+def test_rows_that_stay_are_not_shuffled(spark):
+    """Texts that are no copies stay where they are, and a text's keys are shuffled once, however large the other sides of the joins are."""
+    rng = random.Random(11)
+    texts = [" ".join(f"{rng.getrandbits(60):x}" for _ in range(600)) for _ in range(300)]
+    texts += texts[:20]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS).repartition(4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = near_copies.written(df, "test-docs")
+        kept, moved = shuffled(spark, lambda: kept_rows(near_copies.written(corpus_pipeline.without_near_copies(spark, docs, SF), "test-kept")))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert kept == sorted((str(i), t) for i, t in enumerate(texts[:300]))
+    assert 0 < moved < 0.5 * sum(map(len, texts))

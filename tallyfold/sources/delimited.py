@@ -49,7 +49,9 @@ def detect_encoding(lines: DataFrame) -> DataFrame:
     """
     # Line numbers rise within a piece of a file, so only lines of its first piece whose number is near the first one can begin in its first bytes.
     first = F.min(F.struct("at.block", "at.line"))
-    begin = lines.groupBy("file_id").agg(first.alias("begin"))
+    valid = F.bool_and(F.is_valid_utf8(F.col("raw").cast("string")))
+    # One pass, one row per file, written: so it is seen to be small, and the lines need not be moved to meet it.
+    begin = stored(lines.groupBy("file_id").agg(first.alias("begin"), valid.alias("utf8")), "file-begins")
     near = lines.join(begin, "file_id").filter((F.col("at.block") == F.col("begin.block")) & (F.col("at.line") - F.col("begin.line") < SAMPLE_BYTES))
     order = Window.partitionBy("file_id").orderBy("at")
     before = F.coalesce(F.sum(F.octet_length("raw") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -61,9 +63,8 @@ def detect_encoding(lines: DataFrame) -> DataFrame:
     sample = head.groupBy("file_id").agg(
         F.max(F.when(F.col("n") == 1, F.hex(F.substring("raw", 1, 3)))).alias("lead"),
         (F.max(F.col("start") + F.octet_length("piece")) / 2).alias("half"),
-        F.sum(odd_zeros).alias("odd"), F.sum(even_zeros).alias("even"),
+        F.sum(odd_zeros).alias("odd"), F.sum(even_zeros).alias("even"), F.bool_and("utf8").alias("utf8"),
     )
-    valid = lines.groupBy("file_id").agg(F.bool_and(F.is_valid_utf8(F.col("raw").cast("string"))).alias("utf8"))
 
     def mostly(many: str, few: str) -> Column:
         return (F.try_divide(many, "half") > ZERO_MANY) & (F.try_divide(few, "half") < ZERO_FEW)
@@ -73,7 +74,7 @@ def detect_encoding(lines: DataFrame) -> DataFrame:
         .when(F.col("lead").startswith("FEFF"), "utf-16be").when(mostly("odd", "even"), "utf-16le")
         .when(mostly("even", "odd"), "utf-16be").when(F.col("utf8"), "utf-8").otherwise("windows-1254")
     )
-    return sample.join(valid, "file_id").select("file_id", encoding.alias("encoding"))
+    return sample.select("file_id", encoding.alias("encoding"))
 
 
 def _running(df: DataFrame, value: Column, name: str) -> DataFrame:
@@ -192,28 +193,30 @@ def join_quoted_lines(texts: DataFrame, delimiters: DataFrame) -> DataFrame:
         closed, opened = _quoting(F.col("text"), d)
         this = (F.col("delimiter") == d) & F.contains("text", F.lit('"'))
         after_closed, after_open = F.when(this, closed).otherwise(after_closed), F.when(this, opened).otherwise(after_open)
-    lines = known.select("file_id", "at", "text", after_closed.alias("after_closed"), after_open.alias("after_open"), F.col("at.block").alias("block"))
+    # What a line does to the state is read several times below; the patterns run once.
+    lines = stored(known.select("file_id", "at", "text", after_closed.alias("after_closed"), after_open.alias("after_open"), F.col("at.block").alias("block")), "quoting")
     open_files = stored(lines.filter("after_closed").select("file_id").distinct(), "open-files")
     if open_files.isEmpty():
         return texts
-    simple = texts.join(open_files, "file_id", "left_anti")
+    simple = lines.join(open_files, "file_id", "left_anti")
     broken = lines.join(open_files, "file_id", "left_semi")
-    # What a whole piece does to the state: its last line, met with the quote closed and open before the piece.
-    last = F.struct("at", F.when(F.col("opened"), F.col("after_open")).otherwise(F.col("after_closed")).alias("after"))
-    piece = None
-    for name, before in (("after_closed", False), ("after_open", True)):
-        ends = _open_before(broken, ["file_id", "block"], F.lit(before)).groupBy("file_id", "block").agg(F.max(last).getField("after").alias(f"piece_{name}"))
-        piece = ends if piece is None else piece.join(ends, ["file_id", "block"])
-    pieces = settled(piece.select("file_id", "block", F.col("block").alias("at"), F.col("piece_after_closed").alias("after_closed"), F.col("piece_after_open").alias("after_open")))
-    carried = _open_before(pieces, ["file_id"]).select("file_id", "block", F.col("opened").alias("carried"))
-    placed = _open_before(broken.join(carried, ["file_id", "block"]), ["file_id", "block"], F.col("carried"))
+    # What a whole piece does to the state, and its last start of a record: met with the quote closed and open before the piece, in one pass.
     # A line starts a record when no quote is open before it; a record is named by its first line.
-    started = placed.withColumn("start", F.when(~F.col("opened"), F.col("at")))
+    both = broken
+    for name, before in (("after_closed", False), ("after_open", True)):
+        both = _open_before(both, ["file_id", "block"], F.lit(before)).withColumnRenamed("opened", f"opened_{name}")
+    facts = []
+    for name in ("after_closed", "after_open"):
+        opened = F.col(f"opened_{name}")
+        facts.append(F.max(F.struct("at", F.when(opened, F.col("after_open")).otherwise(F.col("after_closed")).alias("after"))).getField("after").alias(name))
+        facts.append(F.max(F.when(~opened, F.col("at"))).alias(f"latest_{name}"))
+    pieces = settled(both.groupBy("file_id", "block").agg(*facts).withColumn("at", F.col("block")))
+    latest = F.when(F.col("opened"), F.col("latest_after_open")).otherwise(F.col("latest_after_closed"))
     blocks_before = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    last_in_block = started.groupBy("file_id", "block").agg(F.max("start").alias("latest"))
-    earlier = last_in_block.select("file_id", "block", F.max("latest").over(blocks_before).alias("earlier"))
+    carried = stored(_open_before(pieces, ["file_id"]).select("file_id", "block", F.col("opened").alias("carried"), F.max(latest).over(blocks_before).alias("earlier")), "quoting-pieces")
+    started = _open_before(broken.join(carried, ["file_id", "block"]), ["file_id", "block"], F.col("carried")).withColumn("start", F.when(~F.col("opened"), F.col("at")))
     upto = Window.partitionBy("file_id", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    named = started.join(earlier, ["file_id", "block"]).withColumn("record", F.coalesce(F.max("start").over(upto), F.col("earlier")))
+    named = started.withColumn("record", F.coalesce(F.max("start").over(upto), F.col("earlier")))
     whole = named.groupBy("file_id", F.col("record").alias("at")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda r: r["text"]), "\n").alias("text")
     )
@@ -248,7 +251,8 @@ def split_fields(texts: DataFrame, delimiters: DataFrame) -> DataFrame:
 def ingest(lines: DataFrame) -> T.Tidied:
     """Raw lines to tidy rows: encoding, dialect, records, fields, then the tidying."""
     encodings = stored(detect_encoding(lines), "encodings")
-    texts = decode_lines(lines, encodings)
+    # Decoding puts UTF-16 lines together over several shuffles, and three steps read what comes of it.
+    texts = stored(decode_lines(lines, encodings), "texts")
     delimiters = stored(sniff_delimiter(texts), "delimiters")
     # The tidying reads the cells several times: they are written once, the small facts too.
     done = T.tidy(stored(split_fields(join_quoted_lines(texts, delimiters), delimiters), "cells"))

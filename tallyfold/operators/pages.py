@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions.text import tr_lower
-from tallyfold.session import settled
+from tallyfold.session import Scratch, settled
 
 # ---- fixed values: shapes and distances ---------------------------------------------------------------
 NUMERIC = r"(?i)^[-+(]?[₺$€£]?\s*\d[\d.,\s]*%?\s*(₺|tl|try|usd|eur|\$|€)?\)?-?\z"
@@ -185,7 +185,7 @@ def _furniture_key(lines: DataFrame) -> Column:
     return F.when(row_like, F.concat(F.lit("="), text)).otherwise(F.regexp_replace(text, r"\d+", "#"))
 
 
-def drop_page_furniture(lines: DataFrame, pages: DataFrame) -> DataFrame:
+def drop_page_furniture(lines: DataFrame, pages: DataFrame, tables: Scratch | None = None) -> DataFrame:
     """Lines with ``furniture`` set where they are page headers, footers or page numbers."""
     order = Window.partitionBy(*PAGE).orderBy("line")
     n = F.size("segments")
@@ -197,15 +197,19 @@ def drop_page_furniture(lines: DataFrame, pages: DataFrame) -> DataFrame:
 
     row = (n >= 2) & (near(F.lead) | near(F.lag))
     zone = (F.col("y") < F.col("height") * FURNITURE_ZONE) | (F.col("y") > F.col("height") * (1 - FURNITURE_ZONE))
-    keyed = placed.withColumn("candidate", zone & ~row).withColumn("key", F.when(F.col("candidate"), _furniture_key(lines)))
-    counts = keyed.filter("candidate").groupBy("doc_id", "key").agg(F.count_distinct("page").alias("seen"))
+    # Lines are written once, with what tells furniture; only those that may be furniture are read to judge it.
+    keyed = (tables or Scratch(lines.sparkSession)).stored(
+        placed.withColumn("candidate", zone & ~row).withColumn("key", F.when(F.col("candidate"), _furniture_key(lines))).select(*lines.columns, "width", "candidate", "key"),
+        "lines")
+    candidates = keyed.filter("candidate").select(*PAGE, "line", "key")
+    counts = candidates.groupBy("doc_id", "key").agg(F.count_distinct("page").alias("seen"))
     totals = pages.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"))
     # A document's keys are judged before they meet its lines, which are moved once for it.
     often = (F.col("pages") >= 2) & (F.col("seen") >= F.greatest(F.lit(2), F.ceil(F.col("pages") / 2)))
     repeated = counts.join(totals, "doc_id").filter(often).select("doc_id", "key", F.lit(True).alias("repeated"))
-    known = keyed.join(repeated, ["doc_id", "key"], "left")
-    furniture = F.col("candidate") & (F.coalesce("repeated", F.lit(False)) | F.col("key").rlike(PAGE_NUMBER))
-    return known.withColumn("furniture", furniture).select(*lines.columns, "width", "furniture")
+    judged = candidates.join(repeated, ["doc_id", "key"], "left").filter(F.coalesce("repeated", F.lit(False)) | F.col("key").rlike(PAGE_NUMBER))
+    known = keyed.join(judged.select(*PAGE, "line", F.lit(True).alias("furniture")), [*PAGE, "line"], "left")
+    return known.select(*lines.columns, "width", F.coalesce("furniture", F.lit(False)).alias("furniture"))
 
 
 def page_regions(lines: DataFrame) -> DataFrame:
@@ -360,16 +364,17 @@ def _column_of(s: Column) -> Column:
 
 
 def line_cells(lines: DataFrame, bounds: DataFrame) -> DataFrame:
-    """``(doc_id, table_no, page, line, y, cells)``: segments dealt into columns by their centre."""
-    placed = lines.join(bounds, TABLE)
-    at = F.sequence(F.lit(0), F.size("bounds"))
-    cells = F.transform(at, lambda c: F.nullif(
-        F.array_join(F.transform(F.filter("segments", lambda s: _column_of(s) == c), lambda s: s["text"]), " "), F.lit("")
-    ))
-    return placed.select(*TABLE, "page", "line", "y", cells.alias("cells"))
+    """``(doc_id, table_no, page, line, y, h, cells, boxes)``: segments dealt into columns by their centre, with how far each column's reach and their lowest confidence."""
+    dealt = lines.join(bounds, TABLE).withColumn("parts", F.transform(
+        F.sequence(F.lit(0), F.size("bounds")), lambda c: F.filter("segments", lambda s: _column_of(s) == c)))
+    cells = F.transform("parts", lambda p: F.nullif(F.array_join(F.transform(p, lambda s: s["text"]), " "), F.lit("")))
+    boxes = F.transform("parts", lambda p: F.struct(
+        F.array_min(F.transform(p, lambda s: s["x0"])).alias("x0"), F.array_max(F.transform(p, lambda s: s["x1"])).alias("x1"),
+        F.array_min(F.transform(p, lambda s: s["conf"])).alias("conf")))
+    return dealt.select(*TABLE, "page", "line", "y", "h", cells.alias("cells"), boxes.alias("boxes"))
 
 
-def merge_wrapped(cells: DataFrame) -> DataFrame:
+def merge_wrapped(cells: DataFrame, tables: Scratch | None = None) -> DataFrame:
     """Rows whose text only continues the row above are merged into it; ``merged`` counts them per row."""
     order = Window.partitionBy(*TABLE, "page").orderBy("line")
     spaced = cells.withColumn("gap", F.col("y") - F.lag("y").over(order))
@@ -383,7 +388,7 @@ def merge_wrapped(cells: DataFrame) -> DataFrame:
     # Only a thin row can continue another one, so a full row with no thin row after it needs no folding; most rows take this way and never leave the JVM.
     follows = F.coalesce(F.lead("thin").over(order), F.lit(False))
     known = known.withColumn("thin", thin).select(*TABLE, "page", "line", "cells", F.transform("cells", is_value).alias("values"), "thin")
-    marked = settled(known.withColumn("wraps", F.col("thin") | follows))
+    marked = (tables or Scratch(cells.sparkSession)).stored(known.withColumn("wraps", F.col("thin") | follows), "marked")
     kinds = dict(known.dtypes)
     keys = [*TABLE, "page", "line"]
     names = [*keys, "cells", "merged"]
@@ -427,24 +432,32 @@ def merge_wrapped(cells: DataFrame) -> DataFrame:
     return plain.unionByName(folded)
 
 
-def cell_boxes(lines: DataFrame, bounds: DataFrame, rows: DataFrame) -> DataFrame:
+def cell_boxes(lines: DataFrame, rows: DataFrame, tables: Scratch | None = None) -> DataFrame:
     """``(doc_id, table_no, row STRUCT<page, line>, col, page, text, x0, y0, x1, y1, conf)``: filled cells with the box around their segments.
 
-    ``rows`` are merged rows: the lines that were merged into a row widen the boxes of its cells. A cell's confidence is its lowest segment's.
-    Empty cells have no box.
+    ``lines`` are those of ``line_cells``, ``rows`` the merged rows: the lines that were merged into a row widen the boxes of its cells. A cell's confidence is its
+    lowest segment's. Empty cells have no box.
     """
+    keys = [*TABLE, "page", "line"]
+    owned = lines.select(*keys, "y", "h", "boxes").join(rows.select(*keys, F.col("cells").alias("texts"), "merged"), keys, "left")
+    owned = (tables or Scratch(lines.sparkSession)).stored(owned, "owned")
+
+    def cells(some: DataFrame) -> DataFrame:
+        return some.select(*keys, (F.col("y") - F.col("h")).alias("y0"), (F.col("y") + BELOW_BASE * F.col("h")).alias("y1"), F.inline(
+            F.transform("boxes", lambda b, i: F.struct(
+                i.alias("col"), F.get("texts", i).alias("text"), b["x0"].alias("x0"), b["x1"].alias("x1"), b["conf"].alias("conf")))))
+
+    # A row of one line has its boxes there. Only the lines of merged rows are brought together: a head and those after it that are no rows.
+    single = cells(owned.filter("merged = 0"))
     order = Window.partitionBy(*TABLE, "page").orderBy("line")
-    heads = rows.select(*TABLE, "page", "line", F.col("line").alias("head"))
-    owned = lines.join(heads, [*TABLE, "page", "line"], "left").withColumn("head", F.last("head", ignorenulls=True).over(order))
-    parts = owned.join(bounds, TABLE).select(*TABLE, "page", F.col("head").alias("line"), "y", "h", F.inline(
-        F.transform("segments", lambda s: F.struct(_column_of(s).alias("col"), s["x0"].alias("x0"), s["x1"].alias("x1"), s["conf"].alias("conf")))
-    ))
-    boxes = parts.groupBy(*TABLE, "page", "line", "col").agg(
-        F.min("x0").alias("x0"), F.min(F.col("y") - F.col("h")).alias("y0"), F.max("x1").alias("x1"),
-        F.max(F.col("y") + BELOW_BASE * F.col("h")).alias("y1"), F.min("conf").alias("conf"),
+    head = F.last(F.when(F.col("merged") > 0, F.col("line")), ignorenulls=True).over(order)
+    parts = cells(owned.filter("merged > 0 OR merged IS NULL").withColumn("line", head))
+    found = F.col("x0").isNotNull()
+    several = parts.groupBy(*keys, "col").agg(
+        F.min(F.when(found, F.col("y0"))).alias("y0"), F.max(F.when(found, F.col("y1"))).alias("y1"), F.max("text").alias("text"),
+        F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("conf").alias("conf"),
     )
-    texts = rows.select(*TABLE, "page", "line", F.posexplode("cells").alias("col", "text")).filter(F.col("text").isNotNull())
-    return texts.join(boxes, [*TABLE, "page", "line", "col"]).select(
+    return single.unionByName(several).filter(F.col("text").isNotNull()).select(
         *TABLE, F.struct("page", "line").alias("row"), "col", "page", "text", "x0", "y0", "x1", "y1", "conf"
     )
 
@@ -454,28 +467,43 @@ class Layout:
     """What several steps read of a set of pages, each written once."""
 
     lines: DataFrame  # all lines, with ``furniture``
-    linked: DataFrame  # lines of tables, with ``table_no``
-    bounds: DataFrame  # column bounds per table
+    cells: DataFrame  # lines of tables, dealt into columns, see ``line_cells``
     rows: DataFrame  # ``(doc_id, table_no, page, line, cells, merged)``
 
 
-def lay_out(glyphs: DataFrame, pages: DataFrame, rules: DataFrame | None = None) -> Layout:
-    """Page text to lines, tables and merged rows."""
-    lines = settled(drop_page_furniture(settled(page_lines(glyphs)), pages))
-    linked = settled(link_across_pages(settled(page_regions(lines)), pages))
-    bounds = settled(column_bounds(linked, rules))
-    return Layout(lines, linked, bounds, merge_wrapped(settled(line_cells(linked, bounds))))
+def lay_out(glyphs: DataFrame, pages: DataFrame, rules: DataFrame | None = None, tables: Scratch | None = None) -> Layout:
+    """Page text to lines, tables and merged rows; ``tables`` holds ``lines``, ``cells`` and ``marked``, which what is returned reads."""
+    tables = tables or Scratch(glyphs.sparkSession)
+    lines = drop_page_furniture(page_lines(glyphs), pages, tables)
+    regions = tables.stored(page_regions(lines).drop("width", "furniture"), "regions")
+    linked = tables.stored(link_across_pages(regions, pages).drop("region"), "linked")
+    tables.drop("regions")
+    bounds = tables.stored(column_bounds(linked, rules), "bounds")
+    cells = tables.stored(line_cells(linked, bounds), "cells")
+    tables.drop("linked", "bounds")
+    return Layout(lines, cells, merge_wrapped(cells, tables))
 
 
 def extract_tables(glyphs: DataFrame, pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """``(doc_id, table_no, page, line, cells, merged)``: page text to table rows in reading order."""
-    return lay_out(glyphs, pages, rules).rows
+    tables = Scratch(glyphs.sparkSession)
+    rows = lay_out(glyphs, pages, rules, tables).rows
+    tables.drop("lines", "cells")
+    return rows
 
 
 def extract_cells(glyphs: DataFrame, pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """Page text to table cells with their boxes, see ``cell_boxes``; ``second_readings`` takes them."""
-    made = lay_out(glyphs, pages, rules)
-    return cell_boxes(made.linked, made.bounds, settled(made.rows))
+    """Page text to table cells with their boxes, see ``cell_boxes``, as a written table; ``second_readings`` takes them."""
+    tables = Scratch(glyphs.sparkSession)
+    made = lay_out(glyphs, pages, rules, tables)
+    tables.drop("lines")
+    rows = tables.stored(made.rows, "rows")
+    tables.drop("marked")
+    boxes = cell_boxes(made.cells, rows, tables)
+    tables.drop("cells", "rows")
+    done = tables.stored(boxes, "boxes")
+    tables.drop("owned")
+    return done
 
 
 def layout_report(layout: Layout, glyphs: DataFrame, pages: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions.text import TURKISH_FROM, TURKISH_TO, tr_lower
 from tallyfold.operators.pages import LOW_CONFIDENCE
-from tallyfold.session import stored
+from tallyfold.session import Scratch
 
 # ---- fixed values -------------------------------------------------------------------------------------
 NUMBER = r"(?i)^[-+(]?[₺$€£]?\d[\d.,]*%?(₺|tl|try|usd|eur|\$|€)?\)?-?\z"
@@ -73,16 +73,19 @@ def reading_vote(readings: DataFrame) -> DataFrame:
     first = readings.filter(F.col("engine") == 1)
     columns = value_columns(first).withColumn("in_value_column", F.lit(True))
     # A cell has a few readings: they are brought together once, unmerged before, and every engine's text is taken from the list.
+    tables = Scratch(readings.sparkSession)
     listed = readings.repartition(*cell).groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("engine", "text"))).alias("read"))
 
     def text_by(engine: int) -> Column:
         return F.array_max(F.transform(F.filter("read", lambda r: r["engine"] == engine), lambda r: r["text"]))
 
-    cells = listed.filter(F.exists("read", lambda r: r["engine"] == 1)).select(
+    # Written before they are moved to their columns, so that the shuffles of the two steps do not lie on the disk together.
+    cells = tables.stored(listed.filter(F.exists("read", lambda r: r["engine"] == 1)).select(
         *cell, text_by(1).alias("first"), text_by(2).alias("second"), F.transform("read", lambda r: r["text"]).alias("all")
-    ).join(columns, [*table, "col"], "left").withColumn("in_value_column", F.coalesce("in_value_column", F.lit(False)))
+    ), "listed").join(columns, [*table, "col"], "left").withColumn("in_value_column", F.coalesce("in_value_column", F.lit(False)))
     # Cells without a place in a value column need no patterns; the others meet each pattern once, as they are read by two steps and several columns.
-    known = stored(cells.withColumn("like_value", F.when(F.col("in_value_column"), is_value(digitize(F.col("first"))))), "cells")
+    known = tables.stored(cells.withColumn("like_value", F.when(F.col("in_value_column"), is_value(digitize(F.col("first"))))), "cells")
+    tables.drop("listed")
     value_rows = known.filter("like_value").select(*table, "row").distinct().withColumn("value_row", F.lit(True))
     known = known.join(value_rows, [*table, "row"], "left")
     text, second = F.col("first"), F.col("second")
@@ -114,18 +117,19 @@ def _bands(df: DataFrame, low: Column, high: Column) -> DataFrame:
     return df.withColumn("band", F.explode(F.sequence(F.floor(low / BAND), F.floor(high / BAND))))
 
 
-def second_readings(boxes: DataFrame, words: DataFrame, engine: int = 2) -> DataFrame:
-    """A further engine's text of each cell: the words whose centre lies in the cell's box."""
+def second_readings(boxes: DataFrame, words: DataFrame, engine: int | None = 2) -> DataFrame:
+    """A further engine's text of each cell: the words whose centre lies in the cell's box. Without ``engine`` the words name theirs, and all meet the boxes at once."""
     cell = [*_table_of(boxes), "row", "col"]
+    words = words if engine is None else words.withColumn("engine", F.lit(engine))
     cells = _bands(boxes, F.col("y0") - BOX_PAD, F.col("y1") + BOX_PAD)
     centre_y = F.col("y") - F.col("h") / 2
-    placed = words.select("doc_id", "page", F.col("text").alias("word"), F.col("x0").alias("wx"), ((F.col("x0") + F.col("x1")) / 2).alias("cx"), centre_y.alias("cy"))
+    placed = words.select("doc_id", "page", "engine", F.col("text").alias("word"), F.col("x0").alias("wx"), ((F.col("x0") + F.col("x1")) / 2).alias("cx"), centre_y.alias("cy"))
     placed = placed.withColumn("band", F.floor(F.col("cy") / BAND))
     inside = F.col("cx").between(F.col("x0") - BOX_PAD, F.col("x1") + BOX_PAD) & F.col("cy").between(F.col("y0") - BOX_PAD, F.col("y1") + BOX_PAD)
     met = cells.join(placed, ["doc_id", "page", "band"]).filter(inside)
-    return met.groupBy(*cell).agg(
+    return met.groupBy(*cell, "engine").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("wx", "word"))), lambda w: w["word"]), " ").alias("text")
-    ).select(*cell, F.lit(engine).alias("engine"), "text")
+    ).select(*cell, "engine", "text")
 
 
 def restore_letters(words: DataFrame, letters: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from tallyfold.operators import readings as R
 from tallyfold.operators import tidy as T
 from tallyfold.plans.registry import Tables, query
 from tallyfold.plans.recovery import local_number
-from tallyfold.session import settled
+from tallyfold.session import Scratch, settled
 
 ROWS = 8
 
@@ -76,7 +76,7 @@ def page_lines(t: Tables) -> DataFrame:
 @query("page_furniture", f"SELECT DISTINCT o_custkey AS doc_id, CAST(n // 8 + 1 AS INT) AS page, 1 AS dropped, 830.0::DOUBLE AS y FROM {N}")
 def page_furniture(t: Tables) -> DataFrame:
     glyphs, pages = report_pages(t)
-    lines = G.drop_page_furniture(settled(G.page_lines(glyphs)), pages).filter("furniture")
+    lines = G.drop_page_furniture(G.page_lines(glyphs), pages).filter("furniture")
     return lines.groupBy("doc_id", "page").agg(F.count("*").alias("dropped"), F.max("y").alias("y"))
 
 
@@ -85,7 +85,7 @@ def page_furniture(t: Tables) -> DataFrame:
 def page_regions(t: Tables) -> DataFrame:
     """Regions of every page, linked to one table per document."""
     glyphs, pages = report_pages(t)
-    linked = G.link_across_pages(settled(G.page_regions(G.drop_page_furniture(settled(G.page_lines(glyphs)), pages))), pages)
+    linked = G.link_across_pages(settled(G.page_regions(G.drop_page_furniture(G.page_lines(glyphs), pages))), pages)
     return linked.groupBy("doc_id", "page", "table_no").agg(F.count("*").alias("lines"))
 
 
@@ -209,7 +209,7 @@ def ruled_pages(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         return F.filter(F.array(*all_of), lambda i: i.isNotNull())
 
     one = F.lit(1).alias("page")
-    heads = rows.select("doc_id").distinct()
+    heads = rows.filter(F.col("n") % ROWS == 0).select("doc_id")
     titles = F.array(*[_item(F.lit(title), x, F.lit(120)) for title, x in (("Sipariş", 40.0), ("Durumu", 110.0), ("Tutar", 260.0), ("Tarih", 400.0))])
     glyphs = rows.select("doc_id", one, F.inline(items(first))).unionByName(heads.select("doc_id", one, F.inline(titles)))
     glyphs = glyphs.select("*", F.lit(10.0).alias("h"), F.lit(90.0).alias("conf"))
@@ -239,11 +239,9 @@ VOTED = f"""({_cell_sql(0, STATUS_CELL, "false")} UNION ALL {_cell_sql(2, "strft
 def voted_cells(t: Tables) -> DataFrame:
     """Page text to a ruled table, its cells' boxes, what further readings say inside them, and the vote."""
     glyphs, pages, rules, words = ruled_pages(t)
-    boxes = settled(G.extract_cells(glyphs, pages, rules))
+    boxes = G.extract_cells(glyphs, pages, rules)
     first = boxes.select("doc_id", "table_no", "row", "col", F.lit(1).alias("engine"), "text")
-    readings = first
-    for engine in (2, 3):
-        readings = readings.unionByName(R.second_readings(boxes, words.filter(F.col("engine") == engine), engine))
+    readings = first.unionByName(Scratch(t.spark).stored(R.second_readings(boxes, words, None), "second-readings"))
     return R.reading_vote(readings).select("doc_id", "col", "text", "checked", "corrected", "uncertain")
 
 
